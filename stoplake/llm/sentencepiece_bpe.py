@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from stoplake.llm.common import prepare, texts_of
 
 SPACE = "▁"
+UNCLEAR = "\uffff"
 #: Entries of a worker's word table and pair table; a full table is emptied.
 TABLE_ENTRIES = 600_000
 #: Longer parts (texts without spaces) are encoded anew each time, not kept.
@@ -80,9 +81,10 @@ class MergeModel:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, str] = {}
         self.runs: dict[str, str] = {}
-        #: The text of each id; NUL, which no piece has, for ids that have none of their own.
+        #: The text of each id; UNCLEAR, which no piece has, for ids whose text depends on others.
         self.shown = {str(i): self.pieces[i].replace(SPACE, " ") for i in self.ids.values()}
-        self.shown |= {str(i): "" if i in self.control else "\0" for i in range(len(self.pieces)) if str(i) not in self.shown}
+        self.shown |= {str(i): chr(b) if b < 128 else UNCLEAR for i, b in self.bytes_of.items()}
+        self.shown |= {str(i): "" if i in self.control else UNCLEAR for i in range(len(self.pieces)) if str(i) not in self.shown}
 
     def merged(self, text: str, halves: dict | None = None) -> list[str]:
         """The merges themselves: the best-scored adjacent pair first, the leftmost of equals.
@@ -271,7 +273,7 @@ class MergeModel:
         ids = " ".join(parts)
         each = ids.split(" ")
         back = "".join(map(self.shown.__getitem__, each))
-        back = self.decode(list(map(int, each))) if "\0" in back else back[back[:1] == " " :]
+        back = self.decode(list(map(int, each))) if UNCLEAR in back else back[back[:1] == " " :]
         return len(each), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
