@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stoplake.llm import jaccard_join, language_id, quality_rules, secret_scan, sentencepiece_bpe, token_orc, warc
+from stoplake.llm import decontaminate, jaccard_join, language_id, maxent_lm, pii_surrogates, quality_rules, secret_scan, sentencepiece_bpe, token_orc, warc
 from stoplake.llm.common import table
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.protect(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -35,12 +43,27 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable]:
-    each = (op2_quality_rules, op3_secret_scan, op4_token_orc, op6_language_id, op7_jaccard_join, op8_sentencepiece, op10_warc)
+    each = (
+        op1_maxent_lm,
+        op2_quality_rules,
+        op3_secret_scan,
+        op4_token_orc,
+        op5_pii_surrogates,
+        op6_language_id,
+        op7_jaccard_join,
+        op8_sentencepiece,
+        op9_decontaminate,
+        op10_warc,
+    )
     return {f.__name__: f for f in each}
 
 
