@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stoplake.llm.common import discard, materialise, prepare, texts_of
 
@@ -359,13 +360,8 @@ def components(docs: DataFrame, known: DataFrame) -> DataFrame | None:
         done, centres = centres, centres * GROWTH
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text).
-
-    component_id is the smallest doc_id that links reach. A text without words (or null) has no shingles
-    and is its own component, as is a row with a null doc_id that links with nothing (null then). Rows
-    that repeat a doc_id are compared by their texts. Other columns are not read.
-    """
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, node, n_shingles and, for rows with words, component and component_id of each row of docs."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     known = materialise(nodes(docs), "nodes")
@@ -373,6 +369,37 @@ def join(docs: DataFrame) -> DataFrame:
     first = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = first.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component_id")
-    out = known.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return known.join(named.join(least, "component").select("node", "component", "component_id"), "node", "left")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs(doc_id, text).
+
+    component_id is the smallest doc_id that links reach. A text without words (or null) has no shingles
+    and is its own component, as is a row with a null doc_id that links with nothing (null then). Rows
+    that repeat a doc_id are compared by their texts. Other columns are not read.
+    """
+    return labelled_rows(docs).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id; rows without words all stay.
+
+    Rows of a component that share the smallest doc_id are one row in the result. Null doc_ids come last.
+    All columns of docs stay, whatever their names.
+    """
+    prepare(docs.sparkSession)
+    rows = labelled_rows(docs).filter("node is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = rows.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_node"))
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [normal_words(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array([node_of(w) if w else None for w in each], pa.int64())], names=["row", "id", "node"])
+
+    with_node = held.mapInArrow(work, StructType([held.schema["row"], held.schema["id"], StructField("node", LongType())]))
+    kept = with_node.filter("node is not null").join(best, F.col("id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi").dropDuplicates(["id", "node"])
+    return kept.unionByName(with_node.filter("node is null")).select("row.*")

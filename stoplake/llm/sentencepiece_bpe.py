@@ -20,8 +20,10 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from stoplake.llm.common import prepare, texts_of
 
@@ -266,15 +268,19 @@ class MergeModel:
         text = self.plain(ids)
         return text[1:] if text[:1] == " " and next((i for i in ids if i not in self.control), None) not in self.bytes_of else text
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """n_tokens with the end id, sha256 of the ids, sha256 of the decoded text."""
+    def ids_and_text(self, text: str) -> tuple[str, str]:
+        """The ids in decimals joined by a space, end id included, and the text decoded from them."""
         parts = self.decimals(text)
         parts.append(str(self.end))
         ids = " ".join(parts)
         each = ids.split(" ")
         back = "".join(map(self.shown.__getitem__, each))
-        back = self.decode(list(map(int, each))) if UNCLEAR in back else back[back[:1] == " " :]
-        return len(each), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        return ids, self.decode(list(map(int, each))) if UNCLEAR in back else back[back[:1] == " " :]
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """n_tokens with the end id, sha256 of the ids, sha256 of the decoded text."""
+        ids, back = self.ids_and_text(text)
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 def utf8(held: bytes) -> str:
@@ -305,23 +311,25 @@ def model(path: str) -> MergeModel:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with piece_ids array<int> (end id included) and decoded string.
+    """docs with piece_ids array<int> (end id included), decoded string and n_tokens long.
 
-    Null and empty texts give the end id alone and an empty decoded text. All columns of docs stay;
-    columns named piece_ids or decoded are replaced.
+    Null and empty texts give the end id alone and an empty decoded text. All columns of docs stay, but
+    those named piece_ids, decoded or n_tokens are replaced. Rows that repeat give repeated results.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("piece_ids", "decoded")]
-    docs = docs.select(*[f"`{c}`" for c in keep])
-    schema = docs.schema.add("piece_ids", "array<int>").add("decoded", "string")
+    new = ["piece_ids", "decoded", "n_tokens"]
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in new])
+    schema = StructType([*docs.schema.fields, StructField("piece_ids", ArrayType(IntegerType())), StructField("decoded", StringType()), StructField("n_tokens", LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            ids = [m.encode(t) for t in texts_of(batch, text)]
-            back = [m.decode(i) for i in ids]
-            cols = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "piece_ids", "decoded"])
+            found = [m.ids_and_text(t) for t in texts_of(batch, text)]
+            ids = [np.fromstring(i, np.int32, sep=" ") for i, _ in found]
+            sizes = np.array([len(i) for i in ids], np.int64)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array([t for _, t in found], pa.string()), pa.array(sizes)], names=[*batch.schema.names, *new])
 
     return docs.mapInArrow(work, schema)
 
