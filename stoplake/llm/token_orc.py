@@ -6,7 +6,8 @@ Each row holds its place inside its file, so reading needs no running sum over t
 totals (one row for each file) give every file's first position.
 
 The tokenizer's rules never look across a blank or a line break, so texts are encoded in the pieces
-between them, and each worker keeps the ids of the pieces it met, in a table of bounded size.
+between them, letters and marks apart, and each worker keeps the ids of the pieces it met, in tables of
+bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from stoplake.llm.common import prepare, scratch, texts_of
 
 #: Entries of a worker's table; a full table is emptied. Longer pieces are not kept.
-TABLE_ENTRIES, KEPT_CHARS = 600_000, 40
+TABLE_ENTRIES, KEPT_CHARS = 500_000, 40
+#: Marks that the tokenizer never joins to letters (an apostrophe may begin a suffix).
+MARKS = ".,!?;:*&%$#|()"
 #: Rows between two entries of a file's row index, and bytes of a stripe.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 #: Columns of the files. part: the file's number in order; local_start: ids before the row in its file.
@@ -40,6 +43,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
@@ -49,17 +53,39 @@ class PieceEncoder:
         if len(known) + len(new) > TABLE_ENTRIES:
             known.clear()
             new = {w for words in split for w in words}
-        names = list(new)
-        found = self.tokenizer.encode_batch(names, add_special_tokens=False)
-        ids = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(names, found)}
-        known.update(ids)
+        self.learn(new)
         tail = int(end).to_bytes(4, "little")
         out = [b"".join([known[w] for w in words]) + tail for words in split]
-        for w in names:
+        for w in new:
             if len(w) > KEPT_CHARS:
                 del known[w]
         return out
 
+    def learn(self, new: set[str]) -> None:
+        """Encode pieces: those of letters with marks behind them by their two parts."""
+        parts = self.parts
+        if len(parts) + len(new) > TABLE_ENTRIES:
+            parts.clear()
+        halves = {w: apart(w) for w in new}
+        names = list({p for pair in halves.values() for p in pair if p not in parts})
+        found = self.tokenizer.encode_batch(names, add_special_tokens=False)
+        parts.update({p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(names, found)})
+        self.known.update({w: parts[a] + parts[b] for w, (a, b) in halves.items()})
+        for p in names:
+            if len(p) > KEPT_CHARS:
+                del parts[p]
+
+
+def apart(word: str) -> tuple[str, str]:
+    """Letters in lower case and the marks behind them, which the tokenizer takes apart as well.
+
+    Other words stay whole, as do letters beyond Latin-1: in lower case some end with a mark.
+    """
+    letters = word.rstrip(MARKS)
+    if not letters.isalpha() or not letters.isascii() and max(letters) > "\u00ff":
+        return word, ""
+    return letters.lower(), word[len(letters) :]
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
