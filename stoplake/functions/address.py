@@ -73,12 +73,12 @@ def squash(x: Column) -> Column:
 
 
 def generic_bucket(street: Column, number: Column, city: Column) -> Column:
-    return F.concat_ws("|", squash(city), squash(street), F.replace(squash(number), F.lit(" "), F.lit("")))
+    return F.concat_ws("|", squash(city), squash(street), squash(number))
 
 
 def split_freeform(text: Column) -> Column:
     """street and number of a free-form address; number is null if the last word does not begin with a digit."""
-    t = F.trim(text)
+    t = F.regexp_replace(F.trim(text), "[, ]+$", "")
     pattern = "^(.*?)[ ,]+([0-9][^ ,]*)$"
     return F.struct(F.coalesce(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")), t).alias("street"), F.nullif(F.regexp_extract(t, pattern, 2), F.lit("")).alias("number"))
 

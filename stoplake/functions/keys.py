@@ -69,7 +69,7 @@ def is_station_id(x: Column) -> Column:
 
 
 def valid_request_id(x: Column) -> Column:
-    return x.rlike("^[A-Za-z0-9._-]{1,128}$")
+    return x.rlike("^[A-Za-z0-9_-]{1,128}$")
 
 
 def trace_id(traceparent: Column) -> Column:
@@ -83,4 +83,4 @@ def valid_glyph_range(x: Column) -> Column:
 
 
 def unsafe_component(x: Column) -> Column:
-    return (x == "") | (x == ".") | x.contains("..") | x.contains("/") | x.contains("\\")
+    return (x == "") | x.contains("..") | x.contains("/") | x.contains("\\")

@@ -53,12 +53,12 @@ def route_type(mode: Column) -> Column:
 
 
 def line_kind(route: Column, ref: Column) -> Column:
-    """metro, tram or rail of a relation's route value; a light rail counts as metro if its line is one."""
-    return F.when(route == "subway", "metro").when(route == "tram", "tram").when((route == "light_rail") & is_metro_line(ref), "metro").when(route == "light_rail", "tram").when(route.isin("train", "railway"), "rail")
+    """Draw mode of a relation's route value; null for other values and for subways that are no metro line."""
+    return F.when((route == "subway") & is_metro_line(ref), "metro").when(route.isin("tram", "light_rail", "rail", "regional_rail"), route)
 
 
 def is_metro_line(ref: Column) -> Column:
-    return ref.isin(*METRO_COLOURS)
+    return ref.isin("A", "B", "C")
 
 
 def metro_colour(ref: Column) -> Column:
@@ -71,8 +71,8 @@ def gtfs_key(kind: Column, ref: Column) -> Column:
 
 
 def relabel_branch(ref: Column, slugs: Column) -> Column:
-    """B1 for a B line one of whose stops names that branch's end."""
-    return F.when((ref == "B") & F.exists(slugs, lambda s: s.contains("jonio") | s.contains("conca-d-oro") | s.contains("libia") | s.contains("annibaliano")), "B1")
+    """B1 for a B line one of whose stops names that branch's end, else null."""
+    return F.when((ref == "B") & F.exists(slugs, lambda s: s.contains("jonio") | s.contains("conca")), "B1")
 
 
 def is_rail_role(role: Column) -> Column:

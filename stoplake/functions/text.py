@@ -28,7 +28,7 @@ def percent_encode(x: Column) -> Column:
 
 
 def strip_file_prefix(file: Column) -> Column:
-    return F.regexp_replace(file, "^(File|Image):", "")
+    return F.regexp_replace(file, "^File:", "")
 
 
 def commons_file_url(file: Column, width: Column) -> Column:
