@@ -1,15 +1,17 @@
 """N-gram Jaccard self-join with connected components (operator 7), by vertical partitioning.
 
 A document's set is its distinct five-word shingles, hashed; equal word sequences are one node. The global
-order of shingles is: those that one node alone has first, then by hash. It is cut into fragments by hash.
+order of shingles is by the number of nodes that have them, rare ones first, then by hash. Shingles are cut
+into fragments by hash.
 
 1. Fragments. Every fragment is handled by itself and finds the shingles that two or more nodes share.
    A node whose shared shingles are under 75 % of its set links with nothing and leaves the join.
-2. Candidates. Linked sets share a shingle in the prefix of the global order (prefix filter). Where the
-   nodes of a prefix shingle are not all in one component yet, the nodes with most shared shingles become
-   centres, and every node of another component is paired with them, if sizes allow a link. The number
-   of centres grows by rounds, and a round contracts what it links, so that a group of near copies costs
-   pairs in proportion to its size; rounds end when no pair is left that could join two components.
+2. Candidates. Linked sets share a shingle in the prefix of the global order, and at the first one that
+   they share neither has fewer shingles left than a link needs (prefix and position filter). Where the
+   nodes of a prefix shingle are not all in one component yet, those with the fewest rarer shingles become
+   centres, and every node of another component is paired with them, if the filter allows a link. The
+   number of centres grows by rounds, and a round contracts what it links, so that a group of near copies
+   costs pairs in proportion to its size; rounds end when no pair is left that could join two components.
    Every pair that could join two components is compared in the end: no cap on partners.
 3. Overlaps. The pairs' common shingles are counted in each fragment separately and summed by pair.
 
@@ -119,16 +121,32 @@ def unpacked(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The payloads of each part, of rows sorted by part."""
+    return (blobs for _, blobs in numbered_parts(batches))
+
+
+def numbered_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     now, held = None, []
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist()):
             if part != now and held:
-                yield held
+                yield now, held
                 held = []
             now = part
             held.append(blob)
     if held:
-        yield held
+        yield now, held
+
+
+def cut_hashes(h: np.ndarray) -> np.ndarray:
+    """The low six bytes of each hash; with the fragment they tell shingles apart."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def whole_hashes(raw: np.ndarray, part: int) -> np.ndarray:
+    """Fragment and low bytes as one number, in place of the hash from here on."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64) | np.uint64((part & 0xFFFF) << 48)
 
 
 def fragment_rows(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -144,7 +162,7 @@ def fragment_rows(docs: DataFrame, n_parts: int) -> DataFrame:
             sizes = [len(x) for x, _ in held]
             node = np.repeat(np.array([k for _, k in held], np.int64), sizes)
             size = np.repeat(np.array(sizes, np.uint32), sizes)
-            yield from packed(((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32), h, node, size)
+            yield from packed(((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32), cut_hashes(h), node, size)
 
         for batch in batches:
             for text in texts_of(batch):
@@ -169,19 +187,21 @@ def by_part(rows: DataFrame, n_parts: int) -> DataFrame:
 
 
 def shared_rows(fragments: DataFrame, n_parts: int) -> DataFrame:
-    """Of each fragment the shingles that two or more nodes have, packed by node."""
+    """Of each fragment the shingles that two or more nodes have, with their number of nodes, packed by node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in parts_of(batches):
-            h, node, size = unpacked(blobs, "<u8", "<i8", "<u4")
+        for part, blobs in numbered_parts(batches):
+            raw, node, size = unpacked(blobs, "V6", "<i8", "<u4")
+            h = whole_hashes(raw.view(np.uint8), part)
             order = np.lexsort((node, h))
             h, node, size = h[order], node[order], size[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # several tasks can send a node
             h, node, size = h[new], node[new], size[new]
-            same = h[1:] == h[:-1]
-            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            h, node, size = h[shared], node[shared], size[shared]
-            yield from packed((node.view(np.uint64) % np.uint64(n_parts)).astype(np.int32), h, node, size)
+            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            many = np.repeat(np.diff(edges), np.diff(edges)).astype(np.uint32)
+            shared = many > 1
+            h, node, size, many = h[shared], node[shared], size[shared], many[shared]
+            yield from packed((node.view(np.uint64) % np.uint64(n_parts)).astype(np.int32), h, node, size, many)
 
     return fragments.mapInArrow(work, "part int, payload binary")
 
@@ -190,12 +210,12 @@ SURVIVOR = "node long, size int, shared int, hashes binary"
 
 
 def survivors(shared: DataFrame) -> DataFrame:
-    """Nodes that share at least 75 % of their set, with their shared shingles in order."""
+    """Nodes that share at least 75 % of their set, with their shared shingles in the global order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in parts_of(batches):
-            h, node, size = unpacked(blobs, "<u8", "<i8", "<u4")
-            order = np.lexsort((h, node))
+            h, node, size, many = unpacked(blobs, "<u8", "<i8", "<u4", "<u4")
+            order = np.lexsort((h, many, node))
             h, node, size = h[order], node[order], size[order]
             edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
             first, count = edges[:-1], np.diff(edges)
@@ -209,7 +229,7 @@ def survivors(shared: DataFrame) -> DataFrame:
 
 
 def prefix_rows(labelled: DataFrame, n_parts: int) -> DataFrame:
-    """Packed prefix shingles (shingle, node, component, size, shared) of labelled survivors."""
+    """Packed prefix shingles (shingle, node, component, size, position in the order) of labelled survivors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +239,9 @@ def prefix_rows(labelled: DataFrame, n_parts: int) -> DataFrame:
             length = np.minimum(length, shared)
             h = [np.frombuffer(b, "<u8", n) for b, n in zip(batch.column("hashes").to_pylist(), length)]
             h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-            columns = (np.repeat(x, length) for x in (node, comp, size.astype(np.int32), shared.astype(np.int32)))
+            within = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
+            position = (np.repeat(size - shared, length) + within).astype(np.int32)
+            columns = (*(np.repeat(x, length) for x in (node, comp, size.astype(np.int32))), position)
             yield from packed((h % np.uint64(n_parts)).astype(np.int32), h, *columns)
 
     return labelled.mapInArrow(work, "part int, payload binary")
@@ -228,12 +250,12 @@ def prefix_rows(labelled: DataFrame, n_parts: int) -> DataFrame:
 def ranked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """Columns of prefix_rows() by shingle, centres first, and where each shingle begins.
 
-    Centres come by their share of shared shingles, then the larger, then by node: as in every round.
+    Centres come by their number of rarer shingles, then the larger, then by node: as in every round.
     """
-    h, node, comp, size, shared = unpacked(blobs, "<u8", "<i8", "<i8", "<i4", "<i4")
-    order = np.lexsort((node, -size, (size - shared) / np.maximum(size, 1), h))
-    h, node, comp, size, shared = (x[order] for x in (h, node, comp, size, shared))
-    return h, node, comp, size, shared, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    h, node, comp, size, position = unpacked(blobs, "<u8", "<i8", "<i8", "<i4", "<i4")
+    order = np.lexsort((node, -size, position, h))
+    h, node, comp, size, position = (x[order] for x in (h, node, comp, size, position))
+    return h, node, comp, size, position, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
 
 
 def candidates(prefixes: DataFrame, done: int, centres: int) -> DataFrame:
@@ -241,7 +263,8 @@ def candidates(prefixes: DataFrame, done: int, centres: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in parts_of(batches):
-            h, node, comp, size, shared, edges = ranked(blobs)
+            h, node, comp, size, position, edges = ranked(blobs)
+            left = size.astype(np.int64) - position  # at their first common shingle two sets share this much at most
             sent: set[tuple[int, int]] = set()
             out: list[tuple[int, int, int]] = []
             for a, b in zip(edges, edges[1:]):
@@ -252,7 +275,7 @@ def candidates(prefixes: DataFrame, done: int, centres: int) -> DataFrame:
                     rest = slice(c + 1, b)
                     both = size[rest].astype(np.int64) + size[c]
                     need = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))  # least overlap of a link
-                    fit = (comp[rest] != comp[c]) & (np.minimum(shared[rest], shared[c]) >= need)
+                    fit = (comp[rest] != comp[c]) & (np.minimum(left[rest], left[c]) >= need)
                     for k in np.flatnonzero(fit) + c + 1:
                         pair = (int(node[c]), int(node[k]))
                         if pair not in sent:
@@ -274,13 +297,15 @@ def _pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def open_shingles(prefixes: DataFrame, done: int) -> bool:
-    """Whether any shingle has nodes of two components beyond the centres that are done."""
+    """Whether any shingle has nodes of two components beyond the centres that are done, if the filter allows a link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for blobs in parts_of(batches):
-            _, _, comp, _, _, edges = ranked(blobs)
-            n += sum(b - a - done > 1 and not (comp[a + done : b] == comp[a + done]).all() for a, b in zip(edges, edges[1:]))
+            _, _, comp, size, position, edges = ranked(blobs)
+            # a link needs 3 / 7 of both sizes; a set with less than 3 / 4 of its own left is in none here
+            live = DENOMINATOR * (size.astype(np.int64) - position) >= NUMERATOR * size
+            n += sum(b - a - done > 1 and len(np.unique(comp[a + done : b][live[a + done : b]])) > 1 for a, b in zip(edges, edges[1:]))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return bool(prefixes.mapInArrow(work, "n long").agg(F.sum("n")).first()[0])
@@ -290,13 +315,12 @@ def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
     """The pairs whose overlap, counted in each fragment and summed, makes a link."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(k << 64) // OVERLAP_FRAGMENTS for k in range(1, OVERLAP_FRAGMENTS)], np.uint64)
         for batch in batches:
             rows = []
             for node, blob in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
-                h = np.frombuffer(blob, "<u8")
-                edges = [0, *np.searchsorted(h, bounds), len(h)]
-                rows += [(node, k, h[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+                h = np.sort(np.frombuffer(blob, "<u8"))
+                which = h % np.uint64(OVERLAP_FRAGMENTS)
+                rows += [(node, k, x.tobytes()) for k in range(OVERLAP_FRAGMENTS) if len(x := h[which == k])]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["node", "fragment", "hashes"])
 
