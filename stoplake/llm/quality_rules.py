@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import GAP_SQL
+from stoplake.llm.common import GAP_SQL, materialise
 
 #: A line is above the limit in more documents of a host than this.
 LIMIT_DOCS = 30
@@ -35,22 +35,19 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP_SQL))
 
 
-def normal_hash(line: Column) -> Column:
-    """Hash of a line in lower case, digits as 0, white space as one blank; null without a word."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), GAP_SQL, " "))
-    return F.when(bare != "", F.substring(F.md5(bare), 1, 16))
+def normal(line: Column) -> Column:
+    """A line in lower case, digits as 0, white space as one blank; empty without a word."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), GAP_SQL, " "))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words in windows whose hash occurs twice or more; hashes: of the 3-word windows in order."""
-    n = F.size(hashes)
-    s = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    nothing = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    ahead = F.concat(F.slice(s, F.lit(2), n), nothing)
-    behind = F.concat(nothing, F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0))))
-    triples = F.arrays_zip(s.alias("x"), ahead.alias("y"), behind.alias("z"))
-    again = F.filter(triples, lambda t: (t["x"]["h"].eqNullSafe(t["y"]["h"])) | (t["x"]["h"].eqNullSafe(t["z"]["h"])))
-    return F.array_sort(F.transform(again, lambda t: t["x"]["i"]))
+def line_hash(normal_line: Column) -> Column:
+    """The first 60 bits of the MD5 of a normal line."""
+    return F.conv(F.substring(F.md5(normal_line), 1, 15), 16, 10).cast("long")
+
+
+def copy_hash(text: Column) -> Column:
+    """By this equal texts are known; 64 bits."""
+    return F.xxhash64(text)
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -68,9 +65,18 @@ def base_columns(docs: DataFrame) -> DataFrame:
             "_h": F.transform(windows, lambda x: F.xxhash64(x["x"], x["y"], x["z"])),
         }
     ).drop("_w", "_l")
-    # most texts repeat no window, and only the others are sorted
-    none = F.array().cast("array<int>")
-    out = out.withColumn("_p", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(repeated_words(F.col("_h")))).drop("_h")
+    # texts that repeat no window are not sorted; each array is a column, so that it is made once
+    pairs = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(pairs)).drop("_h")
+    edge = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+    ahead = F.concat(F.slice("_s", F.lit(2), F.size("_s")), edge)
+    behind = F.concat(edge, F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))
+    triples = F.arrays_zip(F.col("_s").alias("x"), ahead.alias("y"), behind.alias("z"))
+    out = out.withColumn("_t", F.when(F.size("_s") > 0, triples))
+    again = F.filter("_t", lambda t: (t["x"]["h"].eqNullSafe(t["y"]["h"])) | (t["x"]["h"].eqNullSafe(t["z"]["h"])))
+    places = F.sort_array(F.transform(again, lambda t: t["x"]["i"]))
+    out = out.withColumn("_p", F.coalesce(places, F.array().cast("array<int>"))).drop("_s", "_t")
     steps = F.zip_with(F.slice("_p", F.lit(2), F.size("_p")), F.slice("_p", F.lit(1), F.greatest(F.size("_p") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3)))
     covered = F.when(F.size("_p") == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda x, y: x + y))
     out = out.withColumn("n_repeat_words", covered.cast("long")).drop("_p")
@@ -79,19 +85,30 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """host, line, surrounding, copy (of the text) and words of each distinct line of each text."""
-    host = F.coalesce(F.col("source"), F.lit(""))
-    each = F.transform(F.split("text", "\n"), lambda x: F.struct(normal_hash(x).alias("line"), F.size(words(x)).alias("n")))
-    held = docs.filter(F.col("text").isNotNull()).select(host.alias("host"), F.md5("text").alias("copy"), F.filter(each, lambda x: x["line"].isNotNull()).alias("held"))
-    held = held.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("held", lambda x: x["line"]))), 1, 2))
+    """host, line, surrounding, copy (of the text) and words of each line of each text that has a word."""
+    held = docs.filter(F.col("text").isNotNull()).select(
+        F.coalesce("source", F.lit("")).alias("host"), copy_hash(F.col("text")).alias("copy"), F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != "").alias("lines")
+    )
+    # words of a normal line: its blanks and one
+    each = F.transform("lines", lambda x: F.struct(line_hash(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    held = held.select("host", "copy", each.alias("held"))
+    held = held.withColumn("least", F.slice(F.sort_array(F.array_distinct(F.transform("held", lambda x: x["line"]))), 1, 2))
     rows = held.select("host", "copy", "least", F.explode("held").alias("x")).select("host", "copy", "least", "x.line", "x.n")
     other = F.when(F.col("line") == F.get("least", F.lit(0)), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
-    return rows.select("host", "line", F.coalesce(other, F.lit("")).alias("surrounding"), "copy", "n")
+    return rows.select("host", "line", F.coalesce(other, F.lit(-1)).alias("surrounding"), "copy", "n")
+
+
+def lines_of_texts(docs: DataFrame) -> DataFrame:
+    """line_rows() with one row for each line of each distinct text of a host, written once for both uses.
+
+    n adds up the words of all copies of a text.
+    """
+    sums = line_rows(docs).groupBy("host", "line", "copy").agg(F.min("surrounding").alias("surrounding"), F.sum("n").alias("n"))
+    return materialise(sums, "lines")
 
 
-def boilerplate(rows: DataFrame) -> DataFrame:
-    """host and line of the lines to remove, of what line_rows() gives."""
-    once = rows.select("host", "line", "surrounding", "copy").distinct()
+def boilerplate(once: DataFrame) -> DataFrame:
+    """host and line of the lines to remove, of what lines_of_texts() gives."""
     apart = once.groupBy("host", "line", "surrounding").agg(F.count(F.lit(1)).alias("n"))
     lines = apart.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_surroundings"))
     return lines.filter((F.col("n_docs") > LIMIT_DOCS) & (100 * F.col("n_surroundings") >= SURROUNDINGS_PER_100 * F.col("n_docs"))).select("host", "line")
@@ -99,12 +116,10 @@ def boilerplate(rows: DataFrame) -> DataFrame:
 
 def lost_words(docs: DataFrame) -> DataFrame:
     """host, copy, lost (words in removed lines) and lines (their hashes), for texts that lose any."""
-    rows = line_rows(docs)
-    bad = boilerplate(rows)
-    once = rows.groupBy("host", "copy", "line").agg(F.max("n").alias("n1"), F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"))
+    once = lines_of_texts(docs)
     # copies of a text have the same lines: what they add up is divided by their number
-    copies = docs.filter(F.col("text").isNotNull()).groupBy(F.coalesce("source", F.lit("")).alias("host"), F.md5("text").alias("copy")).agg(F.count(F.lit(1)).alias("copies"))
-    lost = once.join(bad, ["host", "line"]).groupBy("host", "copy").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("lines"))
+    copies = docs.filter(F.col("text").isNotNull()).groupBy(F.coalesce("source", F.lit("")).alias("host"), copy_hash(F.col("text")).alias("copy")).agg(F.count(F.lit(1)).alias("copies"))
+    lost = once.join(boilerplate(once), ["host", "line"]).groupBy("host", "copy").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("lines"))
     return lost.join(copies, ["host", "copy"]).select("host", "copy", (F.col("lost") / F.col("copies")).cast("long").alias("lost"), "lines")
 
 
@@ -116,7 +131,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "source")
     lost = lost_words(docs).drop("lines")
-    base = base_columns(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.md5(F.coalesce("text", F.lit(""))).alias("copy"), *BASE)
+    base = base_columns(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), copy_hash(F.coalesce("text", F.lit(""))).alias("copy"), *BASE)
     joined = base.join(lost, ["host", "copy"], "left")
     removed = F.coalesce("lost", F.lit(0)).cast("long")
     kept = ~F.col("base_failed") & ~(100 * removed > DEPLETED_PER_100 * F.col("n_words"))
@@ -131,10 +146,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     base = base_columns(held.select("_row", F.col("_row.text").alias("text"))).filter(~F.col("base_failed"))
-    base = base.select("_row", "n_words", F.coalesce("_row.source", F.lit("")).alias("host"), F.md5(F.coalesce("_row.text", F.lit(""))).alias("copy"))
+    base = base.select("_row", "n_words", F.coalesce("_row.source", F.lit("")).alias("host"), copy_hash(F.coalesce("_row.text", F.lit(""))).alias("copy"))
     lost = lost_words(docs.select("doc_id", "text", "source"))
     rest = base.join(lost, ["host", "copy"], "left").filter(~(100 * F.coalesce("lost", F.lit(0)) > DEPLETED_PER_100 * F.col("n_words")))
-    left = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("lines"), normal_hash(x)), F.lit(False))), "\n")
+    left = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("lines"), line_hash(normal(x))), F.lit(False))), "\n")
     rest = rest.withColumn("_text", F.when(F.col("lines").isNull(), F.col("_row.text")).otherwise(left))
     renewed = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
     return rest.select(*[renewed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
@@ -163,7 +178,7 @@ WITH d AS (
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov ON w.rid = cov.rid
 ), lines AS (
-  SELECT rid, host, copy, substr(md5(b), 1, 16) AS line, n FROM (
+  SELECT rid, host, copy, substr(md5(b), 1, 15) AS line, n FROM (
     SELECT rid, host, md5(raw) AS copy,
       trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS b,
       len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
