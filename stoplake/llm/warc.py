@@ -6,11 +6,13 @@ pages is one row for each task. Digests that occur once never meet the join. The
 pages by digest, where Spark splits an overlong partition; a revisit keeps the headers alone.
 
 A record is one line of Spark's text writer whose line end is the blank lines that end a WARC record, so
-archives are written by the JVM through any Hadoop file system. They are read by content length.
+archives are written by the JVM through any Hadoop file system, compressed with gzip. They are read by
+content length.
 """
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,7 +66,7 @@ def write(decided: DataFrame, path: str) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(crlf, *head), F.lit(crlf + crlf), block)
-    decided.select(record.alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    decided.select(record.alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -98,7 +100,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content"):
                 rows = []
-                for head, block in records(raw.as_buffer().to_pybytes()):
+                for head, block in records(gzip.decompress(raw.as_buffer())):
                     http, _, body = block.partition(b"\r\n\r\n")
                     size = int(http.rsplit(b"Content-Length: ", 1)[1])
                     again = head["WARC-Type"] == "revisit"
