@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stoplake.llm.common import discard, materialise, prepare, texts_of
+from stoplake.llm.common import discard, materialise, prepare, release, texts_of
 
 SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Shingles that a task takes together, and fragments in which a pair's overlap is counted.
 FRAGMENT_SHINGLES, OVERLAP_FRAGMENTS = 1_000_000, 4
 #: Centres for each prefix shingle in the first round; each later round has GROWTH times as many.
 CENTRES, GROWTH = 1, 8
+#: Bits of the fixed-size table that marks the nodes of pairs.
+MARKED_BITS = 1 << 22
 #: Documents whose shingles are packed together.
 GROUP_DOCS = 1024
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -311,11 +313,35 @@ def open_shingles(prefixes: DataFrame, done: int) -> bool:
     return bool(prefixes.mapInArrow(work, "n long").agg(F.sum("n")).first()[0])
 
 
+def place_of(node: np.ndarray) -> np.ndarray:
+    return (node.view(np.uint64) % np.uint64(MARKED_BITS)).astype(np.int64)
+
+
+def marks(nodes_: DataFrame) -> np.ndarray:
+    """A bit for the place of each node, of fixed size; a place can stand for several nodes.
+
+    By this, nodes without pairs need not be shuffled; what a shared place lets through finds no pair.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(place_of(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5, pa.int32()), pa.array(np.int64(1) << (at & 31))], names=["word", "bits"])
+
+    words = nodes_.mapInArrow(work, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(MARKED_BITS >> 5, np.uint32)
+    for w in words:
+        out[w.word] = w.bits
+    return out
+
+
 def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
     """The pairs whose overlap, counted in each fragment and summed, makes a link."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], marked) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = place_of(batch.column("node").to_numpy())
+            batch = batch.filter(pa.array((marked.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
             rows = []
             for node, blob in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
                 h = np.sort(np.frombuffer(blob, "<u8"))
@@ -329,9 +355,12 @@ def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
             each = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("both"), pa.array(each, pa.int64())], names=["a", "b", "both", "common"])
 
-    cuts = alive.select("node", "hashes").mapInArrow(cut, "node long, fragment int, hashes binary")
-    left = cuts.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("x"))
-    right = cuts.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("y"))
+    def cuts(side: str) -> DataFrame:
+        marked = pairs.sparkSession.sparkContext.broadcast(marks(pairs.select(side)))
+        return alive.select("node", "hashes").mapInArrow(lambda batches: cut(batches, marked), "node long, fragment int, hashes binary")
+
+    left = cuts("a").select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("x"))
+    right = cuts("b").select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("y"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "both", "x", "y").mapInArrow(count, "a long, b long, both long, common long")
     total = partial.groupBy("a", "b").agg(F.max("both").alias("both"), F.sum("common").alias("common"))
     # 100 * common >= 75 * (both - common)
@@ -364,6 +393,8 @@ def components(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     fragments = by_part(fragment_rows(docs, n_parts), n_parts)
     shared = by_part(shared_rows(fragments, n_parts), n_parts)
     alive = materialise(survivors(shared), "survivors")
+    del fragments, shared
+    release(docs.sparkSession)
     labels = alive.select("node", F.col("node").alias("component"))
     done, centres = 0, CENTRES
     prefix_parts = max(8, n_parts // 4)
