@@ -36,8 +36,8 @@ CLASSES = (
 )
 #: Strings that look random and are not secret: UUIDs, published examples, hashes named as such.
 ALLOWED = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|EXAMPLE|^(?:sha(?:1|256|384|512)|md5)-|0123456789|abcdefghij")
-#: x * log2(x) for counts in a window.
-XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
+#: x * log2(x) for counts in a window, and one more while a character enters before one leaves.
+XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
 
 def hot_span(s: str, chars: frozenset[str], threshold: float, width: int = WINDOW) -> tuple[int, int] | None:

@@ -90,7 +90,7 @@ def duck(tables):
 
 def test_quality_matches_sql_on_awkward_rows(spark):
     line = "Licensed under the terms of a license"
-    rows = [(k, f"{line} 20{k % 90:02d}\n" + " ".join(f"w{k}x{j}" for j in range(60)), "h") for k in range(40)]
+    rows = [(k, f"{line} 20{k % 90:02d}\n" + " ".join(f"w{chr(97 + k // 20)}{chr(97 + k % 20)}x{chr(97 + j % 26)}{j // 26}" for j in range(60)), "h") for k in range(40)]
     rows += [(100, None, "h"), (101, "", None), (None, " \n\t", "h"), (102, "a b c " * 5000, "h"), (102, "a b c " * 5000, "h"), (103, "one\ntwo\none\n\none", None), (104, f"{line}\n{line} 7\n" * 12, "h")]
     df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOC)
     got = quality_rules.judge(df)
