@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def no_collector() -> Iterator[None]:
+    """Without Python's search for cycles: code that makes none would have its large tables walked each time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def texts_of(batch, name: str = "text") -> list[str]:
     """The texts of an Arrow batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import prepare, scratch, texts_of
+from stoplake.llm.common import no_collector, prepare, scratch, texts_of
 
 #: Entries of a worker's table; a full table is emptied. Longer pieces are not kept.
 TABLE_ENTRIES, KEPT_CHARS = 500_000, 40
@@ -69,7 +70,7 @@ class PieceEncoder:
         halves = {w: apart(w) for w in new}
         names = list({p for pair in halves.values() for p in pair if p not in parts})
         found = self.tokenizer.encode_batch(names, add_special_tokens=False)
-        parts.update({p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(names, found)})
+        parts.update({p: array("I", e.ids).tobytes() for p, e in zip(names, found)})
         self.known.update({w: parts[a] + parts[b] for w, (a, b) in halves.items()})
         for p in names:
             if len(p) > KEPT_CHARS:
@@ -107,7 +108,8 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            raw = enc.encode(texts_of(batch), end)
+            with no_collector():
+                raw = enc.encode(texts_of(batch), end)
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
