@@ -141,14 +141,17 @@ def judge(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, boilerplate lines removed from text; n_chars follows.
 
-    All columns of docs are kept, whatever their names; n_chars is renewed if there is one.
+    All columns of docs are kept, whatever their names; n_chars is renewed if there is one. Verdicts are
+    written first: a filter on them would otherwise be pushed into the arrays that they come from.
     """
     names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    base = base_columns(held.select("_row", F.col("_row.text").alias("text"))).filter(~F.col("base_failed"))
-    base = base.select("_row", "n_words", F.coalesce("_row.source", F.lit("")).alias("host"), copy_hash(F.coalesce("_row.text", F.lit(""))).alias("copy"))
-    lost = lost_words(docs.select("doc_id", "text", "source"))
-    rest = base.join(lost, ["host", "copy"], "left").filter(~(100 * F.coalesce("lost", F.lit(0)) > DEPLETED_PER_100 * F.col("n_words")))
+    narrow = docs.select("doc_id", "text", "source")
+    host, copy = F.coalesce("source", F.lit("")).alias("host"), copy_hash(F.coalesce("text", F.lit(""))).alias("copy")
+    base = materialise(base_columns(narrow).select(host, copy, "n_words", "base_failed"), "verdicts").dropDuplicates(["host", "copy"])
+    good = base.filter(~F.col("base_failed")).join(lost_words(narrow), ["host", "copy"], "left")
+    good = good.filter(~(100 * F.coalesce("lost", F.lit(0)) > DEPLETED_PER_100 * F.col("n_words"))).select("host", "copy", "lines")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), host, copy)
+    rest = held.join(good, ["host", "copy"])
     left = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("lines"), line_hash(normal(x))), F.lit(False))), "\n")
     rest = rest.withColumn("_text", F.when(F.col("lines").isNull(), F.col("_row.text")).otherwise(left))
     renewed = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
