@@ -16,12 +16,12 @@ def house_numbers(addresses: DataFrame, box: tuple[float, float, float, float])
     return held.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
 
 
-def house_number_documents(rows: DataFrame, country: str) -> DataFrame:
-    """The search index's document of each house number, as JSON."""
+def house_number_documents(rows: DataFrame, country: str, object_type: str = "house-number") -> DataFrame:
+    """The search index's document of each house number, as JSON (B07). object_type: the tag that the index gives them."""
     place_id = F.substring(F.concat(F.lit("ov"), F.regexp_replace("id", "[^A-Za-z0-9_-]", "")), 1, 60)
     content = F.struct(
         place_id.alias("place_id"),
-        F.lit("itermaps:civico").alias("object_type"),
+        F.lit(object_type).alias("object_type"),
         F.lit("place").alias("osm_key"),
         F.lit("house").alias("osm_value"),
         F.lit("house").alias("address_type"),

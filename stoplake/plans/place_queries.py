@@ -45,7 +45,7 @@ def house_numbers(spark, d):
 @query(
     "sink_house_number_documents",
     f"{ADDR}, o AS (SELECT *, row_number() OVER (PARTITION BY lower(street), number, lower(coalesce(postal_city, '')) ORDER BY id) AS rn FROM addr WHERE {IN_BOX} AND number IS NOT NULL AND street IS NOT NULL) "
-    "SELECT left('ov' || regexp_replace(id, '[^A-Za-z0-9_-]', '', 'g'), 60) AS place_id, 'itermaps:civico' AS object_type, number AS housenumber, postcode, street, postal_city AS city, lon, lat FROM o WHERE rn = 1",
+    "SELECT left('ov' || regexp_replace(id, '[^A-Za-z0-9_-]', '', 'g'), 60) AS place_id, 'house-number' AS object_type, number AS housenumber, postcode, street, postal_city AS city, lon, lat FROM o WHERE rn = 1",
 )
 def house_number_documents(spark, d):
     """The documents read back by path, since engines print JSON numbers differently."""
