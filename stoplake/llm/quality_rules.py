@@ -1,10 +1,11 @@
 """Quality rules by cross-document line frequency (operator 2), in DataFrame functions only.
 
 Normalised lines are hashed. For each host and line the distinct documents are counted; documents with
-equal texts count once. Lines above the limit are boilerplate if they stand in many surroundings: the
-first other line hash of a document is its surrounding, and near copies of one document share it, so a
-group of copies does not condemn its own lines. Boilerplate lines are removed, and a document that loses
-more than half of its words is rejected.
+equal texts count once. Lines above the limit are boilerplate if they stand in many surroundings. The
+surrounding is taken from a document's own lines: those that are neither above the limit nor an edited
+form of such a line (the same words at the beginning or end). So shared lines of a host do not hide each
+other, and a group of near copies, which differ in edits, does not condemn its own lines. Boilerplate
+lines are removed, and a document that loses more than half of its words is rejected.
 
 Counting sums up before each shuffle, so that a line or host with a third of all rows is one row for each
 task; the join of lines against the boilerplate lines is one that Spark can split where a key is hot.
@@ -85,33 +86,44 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """host, line, surrounding, copy (of the text) and words of each line of each text that has a word."""
+    """host, copy (of the text), line, words, head and tail of each line of each text that has a word.
+
+    head and tail are hashes of the first and last words, as many as the greatest power of two up to half
+    of the line; null where that is less than two. An edit of a line mostly leaves one of them.
+    """
     held = docs.filter(F.col("text").isNotNull()).select(
         F.coalesce("source", F.lit("")).alias("host"), copy_hash(F.col("text")).alias("copy"), F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != "").alias("lines")
     )
+    rows = held.select("host", "copy", F.explode("lines").alias("x"))
     # words of a normal line: its blanks and one
-    each = F.transform("lines", lambda x: F.struct(line_hash(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    held = held.select("host", "copy", each.alias("held"))
-    held = held.withColumn("least", F.slice(F.sort_array(F.array_distinct(F.transform("held", lambda x: x["line"]))), 1, 2))
-    rows = held.select("host", "copy", "least", F.explode("held").alias("x")).select("host", "copy", "least", "x.line", "x.n")
-    other = F.when(F.col("line") == F.get("least", F.lit(0)), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
-    return rows.select("host", "line", F.coalesce(other, F.lit(-1)).alias("surrounding"), "copy", "n")
+    rows = rows.withColumn("n", F.length("x") - F.length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
+    size = F.when(F.col("n") >= 64, 32).when(F.col("n") >= 32, 16).when(F.col("n") >= 16, 8).when(F.col("n") >= 8, 4).when(F.col("n") >= 4, 2)
+    edge = lambda k, seed: F.when(k.isNotNull(), F.xxhash64(F.lit(seed), F.call_function("substring_index", F.col("x"), F.lit(" "), k)))
+    return rows.select("host", "copy", line_hash(F.col("x")).alias("line"), "n", edge(size, 1).alias("head"), edge(-size, 2).alias("tail"))
 
 
 def lines_of_texts(docs: DataFrame) -> DataFrame:
-    """line_rows() with one row for each line of each distinct text of a host, written once for both uses.
+    """line_rows() with one row for each line of each distinct text of a host, written once for all uses.
 
     n adds up the words of all copies of a text.
     """
-    sums = line_rows(docs).groupBy("host", "line", "copy").agg(F.min("surrounding").alias("surrounding"), F.sum("n").alias("n"))
+    sums = line_rows(docs).groupBy("host", "line", "copy").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.sum("n").alias("n"))
     return materialise(sums, "lines")
 
 
 def boilerplate(once: DataFrame) -> DataFrame:
     """host and line of the lines to remove, of what lines_of_texts() gives."""
-    apart = once.groupBy("host", "line", "surrounding").agg(F.count(F.lit(1)).alias("n"))
+    above = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("head").alias("head"), F.min("tail").alias("tail")).filter(F.col("n_docs") > LIMIT_DOCS)
+    above = materialise(above, "above")
+    spots = once.select("host", "line", "copy").join(above.select("host", "line"), ["host", "line"])
+    own = once.join(spots.select("host", "copy").distinct(), ["host", "copy"], "left_semi").join(above.select("host", "line"), ["host", "line"], "left_anti")
+    for part in ("head", "tail"):
+        own = own.join(above.filter(F.col(part).isNotNull()).select("host", part).distinct(), ["host", part], "left_anti")
+    own = own.groupBy("host", "copy").agg(F.min("line").alias("surrounding"))
+    # documents without a line of their own are one surrounding
+    apart = spots.join(own, ["host", "copy"], "left").groupBy("host", "line", F.coalesce("surrounding", F.lit(-1)).alias("surrounding")).agg(F.count(F.lit(1)).alias("n"))
     lines = apart.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_surroundings"))
-    return lines.filter((F.col("n_docs") > LIMIT_DOCS) & (100 * F.col("n_surroundings") >= SURROUNDINGS_PER_100 * F.col("n_docs"))).select("host", "line")
+    return lines.filter(100 * F.col("n_surroundings") >= SURROUNDINGS_PER_100 * F.col("n_docs")).select("host", "line")
 
 
 def lost_words(docs: DataFrame) -> DataFrame:
@@ -158,7 +170,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return rest.select(*[renewed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
 
 
-#: DuckDB SQL for judge().
+#: DuckDB SQL for judge(). It still takes the surrounding from all other lines of a document, so it finds less
+#: than judge() where several lines of a host are above the limit.
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text AS raw, coalesce(text, '') AS text FROM documents

@@ -108,6 +108,23 @@ def test_quality_keeps_groups_of_near_copies(spark):
     assert all(r.kept for r in quality_rules.judge(docs_of(spark, rows)).collect())
 
 
+def test_quality_finds_several_boilerplate_lines_of_short_pages(spark):
+    word = lambda k: "w" + "".join(chr(97 + k // 26**j % 26) for j in range(5))
+    shared = [" ".join(word(10_000 * i + j) for j in range(15)) for i in range(1, 6)]
+    own = lambda k: " ".join(word(200_000 + 100 * k + j) for j in range(12))
+    depleted = [(k, "\n".join([*shared[:3], own(k), *shared[3:]])) for k in range(60)]
+    bare = [(1000 + k, "\n".join([*shared[: 5 - k], shared[0]])) for k in range(2)]
+    long = [(2000, "\n".join([*shared, *(own(5000 + j) for j in range(10))]))]
+    got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, depleted + bare + long)).collect()}
+    assert {i for i, r in got.items() if r.kept} == {2000}
+    assert {r.removed_words for i, r in got.items() if i < 1000} == {75}
+    cleaned = quality_rules.cleaned(docs_of(spark, depleted + bare + long)).collect()
+    assert [r.doc_id for r in cleaned] == [2000] and not any(x in cleaned[0].text for x in shared)
+    # copies of one page that differ by a word or by the place of an edit keep their lines
+    edited = [(k, "\n".join(" ".join(word(900_000 + k) if (i, j) == (k % 5, k % 15) else w for j, w in enumerate(x.split())) for i, x in enumerate(shared))) for k in range(60)]
+    assert all(r.kept and not r.removed_words for r in quality_rules.judge(docs_of(spark, edited)).collect())
+
+
 # --- 3: secrets -------------------------------------------------------------------------------------------
 
 
