@@ -3,7 +3,8 @@
 Words lose punctuation and case; numbers, names and units become typed placeholders. Windows of the
 resulting templates are hash-joined between documents and benchmark items, as are windows of the plain
 words. A template match counts if its slots are consistent: equal values of the item stand where the
-document has equal values, and different ones where it has different ones. So a question with other
+document has equal values, and different ones where it has different ones; this is asked of each
+occurrence by itself, so a document may hold several versions of a question. So a question with other
 numbers or names is caught, and a text that only has the same frame by chance is not. A document is
 contaminated by an item if matching windows cover at least COVER_PER_100 of a hundred of its words.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -144,26 +146,55 @@ class Items:
         out = []
         for k, found in hits.items():
             words, slot = self.words[k]
-            pairs: Counter = Counter()
-            for p, d, width, exact in found:
-                for j in range(width):
-                    if slot[p + j]:
-                        pairs[int(words[p + j]), int(plain[d + j])] += 1
-            # each value of the item goes with its commonest partner, each partner with one value
-            to, back = {}, {}
-            for (a, b), _ in pairs.most_common():
-                if a not in to and b not in back:
-                    to[a], back[b] = b, a
-            total = sum(pairs.values())
-            good = 100 * sum(n for (a, b), n in pairs.items() if to.get(a) == b) // total if total else 100
-            covered = np.zeros(len(words), bool)
-            for p, d, width, exact in found:
-                if exact or good >= CONSISTENT_PER_100:
-                    covered[p : p + width] = True
-            out.append((self.ids[k], 100 * int(covered.sum()) // len(words), good))
+            sure = np.zeros(len(words), bool)
+            for p, _, width, exact in found:
+                if exact:
+                    sure[p : p + width] = True
+            # all places together, then each occurrence by itself; what is covered word by word counts in all
+            best = (-1, 0)
+            for part in (found, *occurrences(found, len(words))):
+                good = consistency((int(words[p + j]), int(plain[d + j])) for p, d, width, _ in part for j in range(width) if slot[p + j])
+                covered = sure.copy()
+                if good >= CONSISTENT_PER_100:
+                    for p, _, width, _ in part:
+                        covered[p : p + width] = True
+                best = max(best, (100 * int(covered.sum()) // len(words), good))
+                if covered.all():
+                    break
+            out.append((self.ids[k], *best))
         return out
 
 
+def consistency(slots: Iterator[tuple[int, int]]) -> int:
+    """How many in a hundred pairs of an item's and a document's slot value agree; 100 without a pair."""
+    pairs = Counter(slots)
+    # each value of the item goes with its commonest partner, each partner with one value
+    to, back = {}, {}
+    for (a, b), _ in pairs.most_common():
+        if a not in to and b not in back:
+            to[a], back[b] = b, a
+    total = sum(pairs.values())
+    return 100 * sum(n for (a, b), n in pairs.items() if to.get(a) == b) // total if total else 100
+
+
+def occurrences(found: list[tuple[int, int, int, bool]], n: int) -> Iterator[list[tuple[int, int, int, bool]]]:
+    """Hits of an item of n words by where it would begin: at one place, and about one (words put in or left out)."""
+    at: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
+    for hit in found:
+        at[hit[1] - hit[0]].append(hit)
+    if len(at) < 2:
+        return
+    yield from at.values()
+    # the place with most hits takes those near it, then the next one
+    left, order = set(at), sorted(at)
+    for middle in sorted(at, key=lambda x: (-len(at[x]), x)):
+        if middle in left:
+            near = [x for x in order[bisect_left(order, middle - n // 3) : bisect_right(order, middle + n // 3)] if x in left]
+            left.difference_update(near)
+            if 1 < len(near) < len(order):
+                yield [hit for x in near for hit in at[x]]
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, by id; they pass through the driver one block at a time."""
     held, size = [], 0

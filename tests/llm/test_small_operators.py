@@ -258,6 +258,19 @@ def test_templates_catch_other_numbers_and_names(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_several_versions_of_a_question_in_one_document(spark):
+    frame = "on the way {0} takes {1} small boxes to {2} and {3} leaves {1} of them at the door while {0} walks {4} miles back"
+    bench = spark.createDataFrame([(7, frame.format("Anna", 12, "Rome", "Otto", 5))], "item_id long, text string")
+    sheet = [frame.format(*x) for x in (("Maria", 31, "Milan", "Ben", 8), ("Carl", 44, "Turin", "Dora", 9), ("Eva", 57, "Paris", "Finn", 6), ("Greta", 68, "Oslo", "Hugo", 7))]
+    fill = "and of the many things that were said here none is like it "
+    cut = sheet[3].replace("small boxes", "small and heavy boxes")
+    # the same frame, but no place agrees with another
+    odd = "on the way Ida takes 3 small boxes to Ida and Ida leaves 4 of them at the door while Jan walks 3 miles back"
+    rows = [(1, "\n".join(sheet)), (2, fill.join(sheet[:2])), (3, fill.join([*sheet[:3], cut])), (4, odd), (5, fill * 9)]
+    got = {r.doc_id: r.covered_per_100 for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] == 100
+
+
 def test_leaks_match_plain_search(spark, sf_dir):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     docs, bench = table_of(sf_dir, "documents"), table_of(sf_dir, "benchmark")
