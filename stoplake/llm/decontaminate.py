@@ -4,7 +4,9 @@ Words lose punctuation and case; numbers, names and units become typed placehold
 resulting templates are hash-joined between documents and benchmark items, as are windows of the plain
 words. A template match counts if its slots are consistent: equal values of the item stand where the
 document has equal values, and different ones where it has different ones; this is asked of each
-occurrence by itself, so a document may hold several versions of a question. So a question with other
+occurrence by itself, so a document may hold several versions of a question. A capital at the start of
+a sentence may be a name or not: both forms are looked up. Windows with a single plain word only say where
+an item may stand; it is then compared there word by word, and two plain words must agree. So a question with other
 numbers or names is caught, and a text that only has the same frame by chance is not. A document is
 contaminated by an item if matching windows cover at least COVER_PER_100 of a hundred of its words.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from stoplake.llm.common import prepare, texts_of
 
 WINDOW, COVER_PER_100, BLOCK_WINDOWS = 8, 50, 2_000_000
-#: Share of an item's slots that must be consistent, and of a template window that must be plain words.
+#: Share of an item's slots that must be consistent, and of plain words by which a template window counts by itself.
 CONSISTENT_PER_100, PLAIN_PER_100 = 75, 50
 #: Unit words after a number.
 UNITS = frozenset(
@@ -37,38 +39,54 @@ UNITS = frozenset(
     "percent % $ € £ mph kmh degree degrees watt watts kw volt volts".split()
 )
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|[$€£])?")
+#: Plain words that a comparison word by word must have (one where an item of a window or more has no other).
+LEAST_PLAIN = 2
+#: Never names, though sentences begin with them; so are words that the benchmark has in lower case.
+NO_NAMES = frozenset(
+    "a about after all also an and any are as at be because before but by can did do does each every few find for from give given had has have he her here his how "
+    "i if in is it its let many most much my no not of on one or our she so some such than that the their then there these they this those to two was we were what "
+    "when where which while who whom whose why will with would you your".split()
+)
 EDGES = string.punctuation + "«»“”‘’„…¿¡—–"
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x1F3A5B7C9D1E2F31, 0x2F3A5B7C9D1E2F33, 0x3F3A5B7C9D1E2F35))
+#: Kinds of windows: plain words, a template that counts by itself, and one that only says where to compare.
+EXACT, FRAME, SEED = range(3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Canon:
     """Per worker: what each raw word is; emptied when large."""
 
-    def __init__(self) -> None:
+    def __init__(self, no_names: frozenset[str] = NO_NAMES) -> None:
         self.at: dict[str, int] = {}
+        self.no_names = no_names
         self.clear()
 
     def clear(self) -> None:
         self.at.clear()
-        self.plain: list[int] = []  # hash of the word in lower case
-        self.kind: list[int] = []  # 0 word, 1 number, 2 capitalised, 3 unit, 4 nothing but punctuation
-        self.ends: list[bool] = []  # a sentence ends with it
+        self.plain = np.zeros(1024, np.uint64)  # hash of the word in lower case
+        self.kind = np.zeros(1024, np.int8)  # 0 word, 1 number, 2 capitalised, 3 unit, 4 nothing but punctuation
+        self.ends = np.zeros(1024, bool)  # a sentence ends with it
+        self.open = np.zeros(1024, bool)  # a name, if it is one at the start of a sentence
 
     def add(self, word: str) -> int:
         import xxhash
 
+        k = len(self.at)
+        if k == len(self.plain):
+            self.plain, self.kind, self.ends, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.kind, self.ends, self.open))
         bare = word.strip(EDGES)
         low = bare.lower()
         kind = 4 if not bare else 1 if NUMBER.fullmatch(bare) else 2 if bare[0].isupper() and not bare.isupper() else 3 if low in UNITS else 0
-        self.plain.append(xxhash.xxh3_64_intdigest(low))
-        self.kind.append(kind)
-        self.ends.append(word.rstrip("\"')”»")[-1:] in (".", "!", "?", ":"))
-        self.at[word] = len(self.plain) - 1
-        return self.at[word]
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Plain hashes, template hashes and whether a word is a slot, of the words of a text."""
+        self.plain[k] = xxhash.xxh3_64_intdigest(low)
+        self.kind[k] = kind
+        self.ends[k] = word.rstrip("\"')”»")[-1:] in (".", "!", "?", ":")
+        self.open[k] = kind == 2 and low not in self.no_names
+        self.at[word] = k
+        return k
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of a text: plain hashes, template hashes without and with names at the start of sentences, and whether a word is a slot in either."""
         if len(self.at) > 400_000:
             self.clear()
         at = self.at
@@ -82,17 +100,19 @@ class Canon:
             except KeyError:
                 ids += [at[w] if w in at else self.add(w) for w in words]
         k = np.array(ids, np.int64)
-        plain, kind, ends = (np.array([x[i] for i in ids], t) for x, t in ((self.plain, np.uint64), (self.kind, np.int8), (self.ends, bool)))
+        plain, kind, ends, could = self.plain[k], self.kind[k], self.ends[k], self.open[k]
         first = np.zeros(len(k) + 1, bool)
         first[np.array(starts, np.int64)] = True
         first[1:] |= ends
         live = kind != 4
-        plain, kind, first = plain[live], kind[live], first[:-1][live]
+        plain, kind, first, could = plain[live], kind[live], first[:-1][live], could[live]
         number = kind == 1
         name = (kind == 2) & ~first
         unit = (kind == 3) & np.concatenate([[False], number[:-1]]) if len(kind) else kind == 3
         template = np.where(number, NUM, np.where(name, NAME, np.where(unit, UNIT, plain)))
-        return plain, template, number | name | unit
+        slot = number | name | unit
+        opening = first & could
+        return plain, template, np.where(opening, NAME, template), slot, slot | opening
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -109,43 +129,60 @@ class Items:
     """Windows of some benchmark items, by hash: (item, position) of each."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        canon = Canon()
+        lower = (w.strip(EDGES) for _, text in rows for w in (text or "").split())
+        self.no_names = NO_NAMES.union(w.lower() for w in lower if w[:1].islower())
+        canon = Canon(self.no_names)
         self.ids, self.words = [], []
-        places: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+        places: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in rows:
-            plain, template, slot = canon.words(text or "")
+            plain, template, wide, slot, wide_slot = canon.words(text or "")
             if not len(plain):
                 continue
             k = len(self.ids)
             self.ids.append(item_id)
-            self.words.append((plain, slot))
-            for exact, h in ((True, plain), (False, template)):
-                if not exact and not slot.any():
-                    continue
-                for p, x in enumerate(windows(h, WINDOW).tolist()):
-                    part = slot[p : p + WINDOW]
-                    if exact or 100 * int((~part).sum()) >= PLAIN_PER_100 * len(part):
-                        places[x].append((k, p, exact))
+            self.words.append((plain, template, wide, slot, wide_slot))
+            for p, x in enumerate(windows(plain, WINDOW).tolist()):
+                places[x].append((k, p, EXACT))
+            if not wide_slot.any():
+                continue
+            for p, (x, y) in enumerate(zip(windows(template, WINDOW).tolist(), windows(wide, WINDOW).tolist())):
+                part, wide_part = slot[p : p + WINDOW], wide_slot[p : p + WINDOW]
+                if slot.any() and 100 * int((~part).sum()) >= PLAIN_PER_100 * len(part):
+                    places[x].append((k, p, FRAME))
+                elif not part.all():
+                    places[x].append((k, p, SEED))
+                if x != y and not wide_part.all():
+                    places[y].append((k, p, SEED))
         self.places = dict(places)
         self.hashes = np.array(sorted(self.places), np.uint64)
-        self.short = sorted({len(w) for w, _ in self.words if len(w) < WINDOW})
+        self.short = sorted({len(w[0]) for w in self.words if len(w[0]) < WINDOW})
 
-    def match(self, plain: np.ndarray, template: np.ndarray) -> list[tuple[int, int, int]]:
+    def match(self, plain: np.ndarray, template: np.ndarray, wide: np.ndarray) -> list[tuple[int, int, int]]:
         """item_id, words covered in a hundred, and slots that are consistent in a hundred."""
         hits: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
+        seeds: dict[int, set[int]] = defaultdict(set)
         for width in (WINDOW, *self.short):
             if len(plain) < width:
                 continue
-            for exact, h in ((True, plain), (False, template)):
+            usual = None
+            for form, h in enumerate((plain, template, wide)):
                 x = windows(h, width)
                 at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-                for d in np.flatnonzero(self.hashes[at] == x).tolist():
+                same = self.hashes[at] == x
+                if form == 1:
+                    usual = x
+                elif form == 2:
+                    same &= x != usual
+                for d in np.flatnonzero(same).tolist():
                     for k, p, kind in self.places[int(x[d])]:
-                        if kind == exact and min(len(self.words[k][0]), WINDOW) == width:
-                            hits[k].append((p, d, width, exact))
+                        if (kind == EXACT) == (form == 0) and min(len(self.words[k][0]), WINDOW) == width:
+                            if kind == EXACT or kind == FRAME and form == 1:
+                                hits[k].append((p, d, width, kind == EXACT))
+                            seeds[k].add(d - p)
         out = []
-        for k, found in hits.items():
-            words, slot = self.words[k]
+        for k, starts in seeds.items():
+            found = hits.get(k, [])
+            words, _, _, slot, _ = self.words[k]
             sure = np.zeros(len(words), bool)
             for p, _, width, exact in found:
                 if exact:
@@ -161,9 +198,36 @@ class Items:
                 best = max(best, (100 * int(covered.sum()) // len(words), good))
                 if covered.all():
                     break
+            if best[0] < 100:
+                best = max(best, self.laid(k, starts, sure, plain, template, wide))
             out.append((self.ids[k], *best))
         return out
 
+    def laid(self, k: int, starts: set[int], sure: np.ndarray, plain: np.ndarray, template: np.ndarray, wide: np.ndarray) -> tuple[int, int]:
+        """Best cover and consistency of item k laid word by word on a document at each of starts, and about it."""
+        words, usual, opened, _, slot = self.words[k]
+        n, width, n_plain, best = len(words), min(len(words), WINDOW), int((~slot).sum()), (-1, 0)
+        if not n_plain or n_plain < LEAST_PLAIN and n < WINDOW:
+            return best
+        at = {}
+        for start in starts:
+            a, b = max(0, -start), min(n, len(plain) - start)
+            there = slice(a + start, b + start)
+            same = (words[a:b] == plain[there]) | (usual[a:b] == template[there]) | (opened[a:b] == wide[there])
+            run = np.concatenate([[0], np.cumsum(same)])
+            covered = np.zeros(n, bool)
+            for p in np.flatnonzero(run[width:] - run[:-width] == width).tolist():
+                covered[a + p : a + p + width] = True
+            at[start] = [(p, p + start, 1, False) for p in np.flatnonzero(covered).tolist()]
+        found = [hit for part in at.values() for hit in part]
+        for part in (found, *occurrences(found, n)):
+            good = consistency((int(words[p]), int(plain[d])) for p, d, _, _ in part if slot[p])
+            covered = np.zeros(n, bool)
+            covered[[p for p, _, _, _ in part]] = True
+            if good >= CONSISTENT_PER_100 and int((covered & ~slot).sum()) >= min(LEAST_PLAIN, n_plain):
+                best = max(best, (100 * int((covered | sure).sum()) // n, good))
+        return best
+
 
 def consistency(slots: Iterator[tuple[int, int]]) -> int:
     """How many in a hundred pairs of an item's and a document's slot value agree; 100 without a pair."""
@@ -229,13 +293,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _matcher(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, canon = shared.value, Canon()
+        items = shared.value
+        canon = Canon(items.no_names)
         for batch in batches:
             rows = []
             for doc_id, text, copy in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("copy").to_pylist()):
-                plain, template, _ = canon.words(text)
+                plain, template, wide, _, _ = canon.words(text)
                 if len(plain):
-                    rows += [(doc_id, *m, copy) for m in items.match(plain, template) if m[1] >= COVER_PER_100]
+                    rows += [(doc_id, *m, copy) for m in items.match(plain, template, wide) if m[1] >= COVER_PER_100]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "covered_per_100", "consistent_per_100", "copy"])

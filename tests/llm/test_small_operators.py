@@ -271,6 +271,20 @@ def test_several_versions_of_a_question_in_one_document(spark):
     assert set(got) == {1, 2, 3} and got[1] == got[2] == 100
 
 
+def test_names_that_begin_sentences_and_dense_numbers(spark):
+    story = "{0} has {3} apples. {1} gives {0} {4}. {2} eats {5} of them. {0} sells {6} apples to {2}."
+    sums = "Compute the sum of {0}, {1}, {2}, {3}, {4}, {5}, {6}, {0}, {7} and {1}."
+    items = [(1, story.format("Anna", "Ben", "Carl", 3, 4, 2, 5)), (2, sums.format(*range(11, 19))), (3, "Where is the capital of France?"), (4, "5 6 7 8 9 10 11 12 13")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    fill = "Of the many things that were said here none is like it. "
+    other = story.format("Dora", "Emil", "Fritz", 7, 9, 6, 8)
+    rows = [(1, fill + other), (2, fill + sums.format(*range(31, 39)) + fill), (3, "\n".join([other, story.format("Gina", "Hans", "Ida", 12, 15, 13, 14)]))]
+    # other names in places of one name; a statement; rows of numbers
+    rows += [(4, "Dora has 7 apples. Dora gives Emil 7. Dora eats 7 of them. Fritz sells 7 apples to Dora."), (5, fill + "Paris is the capital of Italy."), (6, "of 21 22 23 24 25 26 27 28 29 30 31 32")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1)}
+
+
 def test_leaks_match_plain_search(spark, sf_dir):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     docs, bench = table_of(sf_dir, "documents"), table_of(sf_dir, "benchmark")
