@@ -1,21 +1,26 @@
 """N-gram Jaccard self-join with connected components (operator 7), by vertical partitioning.
 
 A document's set is its distinct five-word shingles, hashed; equal word sequences are one node. The global
-order of shingles is by the number of nodes that have them, rare ones first, then by hash. Shingles are cut
-into fragments by hash.
+order of shingles is by their level, rare ones first, then by hash: the level is the logarithm of the number
+of nodes that have a shingle, and the last one for shingles that are hot in some group of documents.
 
-1. Fragments. Every fragment is handled by itself and finds the shingles that two or more nodes share.
-   A node whose shared shingles are under 75 % of its set links with nothing and leaves the join.
+1. Counts. Postings are dealt by shingle, and each part finds the shingles that two or more nodes share. Hot
+   shingles skip this: the group that finds one knows that it is shared, tells its part and sends its
+   postings by node, so that no task has all postings of a hot shingle. A node whose shared shingles are under
+   75 % of its set links with nothing and leaves the join.
 2. Candidates. Linked sets share a shingle in the prefix of the global order, and at the first one that
-   they share neither has fewer shingles left than a link needs (prefix and position filter). Where the
-   nodes of a prefix shingle are not all in one component yet, those with the fewest rarer shingles become
-   centres, and every node of another component is paired with them, if the filter allows a link. The
-   number of centres grows by rounds, and a round contracts what it links, so that a group of near copies
-   costs pairs in proportion to its size; rounds end when no pair is left that could join two components.
-   Every pair that could join two components is compared in the end: no cap on partners.
-3. Overlaps. The pairs' common shingles are counted in each fragment separately and summed by pair.
-
-Shingles travel as packed arrays, a few rows for thousands of documents; only pairs and labels are rows.
+   they share neither has fewer shingles left than a link needs (prefix and position filter). First each node
+   is paired with one centre, so that a group of near copies becomes few components at a cost in proportion
+   to its size. Then, where the nodes of a prefix shingle are not all in one component yet, those with the
+   fewest rarer shingles become centres, and every node of another component is paired with them. The number
+   of centres grows by rounds, a round contracts what it links and drops shingles that are within one
+   component; rounds end when no pair is left that could join two components. Every pair that could do so is
+   compared in the end: no cap on partners.
+3. Overlaps. The global order is cut into ranges, the fragments. The pairs' common shingles are counted in
+   each fragment separately and summed by pair.
+
+Shingles travel as packed arrays, a few rows for thousands of documents; only pairs, labels and the prefixes
+of nodes that are left are rows. Hashes have 64 bits; two shingles that clash would count as one.
 """
 
 from __future__ import annotations
@@ -33,14 +38,16 @@ from pyspark.sql.types import LongType, StructField, StructType
 from stoplake.llm.common import discard, materialise, prepare, release, texts_of
 
 SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Shingles that a task takes together, and fragments in which a pair's overlap is counted.
-FRAGMENT_SHINGLES, OVERLAP_FRAGMENTS = 1_000_000, 4
+#: Shingles that a task takes together, about; bytes of text for each; postings that it handles at a time.
+PART_SHINGLES, SHINGLE_BYTES, PIECE_POSTINGS = 1_000_000, 7, 250_000
+#: Fragments of the global order in which a pair's overlap is counted, and bits of the hash that cut a level.
+OVERLAP_FRAGMENTS, BIN_BITS = 4, 4
 #: Centres for each prefix shingle in the first round; each later round has GROWTH times as many.
 CENTRES, GROWTH = 1, 8
-#: Bits of the fixed-size table that marks the nodes of pairs.
-MARKED_BITS = 1 << 22
-#: Documents whose shingles are packed together.
-GROUP_DOCS = 1024
+#: Shingles, and rows, that a task packs together.
+GROUP_SHINGLES, GROUP_ROWS = 500_000, 8192
+#: A shingle that more than so many nodes of a group have, and a share of them, is hot: last in the global order.
+HOT_DOCS, HOT_SHARE, HOT_LEVEL = 64, 16, 127
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -83,21 +90,6 @@ def node_of(words: list[bytes]) -> int:
     return struct.unpack("<q", hashlib.md5(b" ".join(words)).digest()[:8])[0]
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null without words) and n_shingles of each row."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            each = [normal_words(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([node_of(w) if w else None for w in each], pa.int64()), pa.array([len(shingles(w, known)) for w in each], pa.int64())],
-                names=["doc_id", "node", "n_shingles"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, node long, n_shingles long")
-
-
 def packed(part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (part, payload): the columns' values of each part, one after the other."""
     order = np.argsort(part, kind="stable")
@@ -140,213 +132,345 @@ def numbered_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, lis
 
 
 def cut_hashes(h: np.ndarray) -> np.ndarray:
-    """The low six bytes of each hash; with the fragment they tell shingles apart."""
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
+    """The low seven bytes of each hash; with the part they tell shingles apart."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7])
 
 
 def whole_hashes(raw: np.ndarray, part: int) -> np.ndarray:
-    """Fragment and low bytes as one number, in place of the hash from here on."""
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64) | np.uint64((part & 0xFFFF) << 48)
+    """Part and low bytes as one 64-bit number, in place of the hash from here on."""
+    out = np.empty((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = raw.reshape(-1, 7)
+    out[:, 7] = part & 0xFF
+    return out.reshape(-1).view(np.uint64)
+
+
+def level_of(n_nodes: np.ndarray) -> np.ndarray:
+    """The first part of the global order: half steps of the logarithm of a shingle's nodes."""
+    return np.minimum(2 * np.log2(n_nodes), HOT_LEVEL - 1).astype(np.uint8)
+
+
+def node_part(node: np.ndarray, n_parts: int) -> np.ndarray:
+    return (node.view(np.uint64) % np.uint64(n_parts)).astype(np.int32)
+
+
+#: Kinds of packed rows: postings (shingle, node) by shingle, shingles that are hot in some group, postings of
+#: hot shingles by node, and documents (node, doc_id, shingles, whether the id is null) by node.
+POSTINGS, HOT, HOT_POSTINGS, DOCUMENTS = range(4)
+PACKED = "part int, kind int, payload binary"
+
+
+def _kind(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, kind, np.int32)), b.column(1)], names=["part", "kind", "payload"])
 
 
-def fragment_rows(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Packed (shingle, node, set size) by fragment; a task sends each node once."""
+def posting_rows(docs: DataFrame, n_parts: int) -> DataFrame:
+    """Packed rows of docs(doc_id, text), in groups of bounded size; a task sends each node's shingles once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         held: list[tuple[np.ndarray, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
+        total = 0
 
         def send() -> Iterator[pa.RecordBatch]:
+            node, doc, n, none = (np.array(c, k) for c, k in zip(zip(*rows), ("<i8", "<i8", "<u4", "u1")))
+            yield from _kind(DOCUMENTS, packed(node_part(node, n_parts), node, doc, n, none))
+            if not held:
+                return
             h = np.concatenate([x for x, _ in held])
-            sizes = [len(x) for x, _ in held]
-            node = np.repeat(np.array([k for _, k in held], np.int64), sizes)
-            size = np.repeat(np.array(sizes, np.uint32), sizes)
-            yield from packed(((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32), cut_hashes(h), node, size)
+            node = np.repeat(np.array([k for _, k in held], np.int64), [len(x) for x, _ in held])
+            each, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            hot = count > max(HOT_DOCS, len(held) // HOT_SHARE)
+            if hot.any():
+                yield from _kind(HOT, packed(part_of(each[hot], n_parts), cut_hashes(each[hot])))
+                is_hot = hot[inverse]
+                part = part_of(h[is_hot], n_parts)
+                yield from _kind(HOT_POSTINGS, packed(node_part(node[is_hot], n_parts), whole_hashes(cut_hashes(h[is_hot]).reshape(-1), part), node[is_hot]))
+                h, node = h[~is_hot], node[~is_hot]
+            yield from _kind(POSTINGS, packed(part_of(h, n_parts), cut_hashes(h), node))
 
         for batch in batches:
-            for text in texts_of(batch):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 words = normal_words(text)
-                if not words or (node := node_of(words)) in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(node)
-                held.append((shingles(words, known), node))
-            if len(held) >= GROUP_DOCS:
-                yield from send()
-                held = []
-        if held:
+                node = node_of(words) if words else wordless(doc_id)
+                if not words:
+                    n = 0
+                elif node in seen:
+                    n = seen[node]
+                else:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    h = shingles(words, known)
+                    n = seen[node] = len(h)
+                    held.append((h, node))
+                    total += n
+                rows.append((node, doc_id or 0, n, doc_id is None))
+                if total >= GROUP_SHINGLES or len(rows) >= GROUP_ROWS:
+                    yield from send()
+                    held, rows, total = [], [], 0
+        if rows:
             yield from send()
 
-    return docs.select("text").mapInArrow(work, "part int, payload binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PACKED)
+
+
+def wordless(doc_id: int | None) -> int:
+    """Where the row of a text without words goes: it is no node."""
+    return (doc_id or 0) * 0x9E3779B9 % (1 << 62)
+
+
+def part_of(h: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
 
 
 def by_part(rows: DataFrame, n_parts: int) -> DataFrame:
     return rows.repartition(n_parts, "part").sortWithinPartitions("part")
 
 
-def shared_rows(fragments: DataFrame, n_parts: int) -> DataFrame:
-    """Of each fragment the shingles that two or more nodes have, with their number of nodes, packed by node."""
+def kinds_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """Each part and its payloads by kind, of rows sorted by part."""
+    now, held = None, {}
+    for batch in batches:
+        for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "payload"))):
+            if part != now and held:
+                yield now, held
+                held = {}
+            now = part
+            held.setdefault(kind, []).append(blob)
+    if held:
+        yield now, held
+
+
+def shared_rows(postings: DataFrame, n_parts: int) -> DataFrame:
+    """By node: the shingles that two or more nodes have, with their level, and what was by node already."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, blobs in numbered_parts(batches):
-            raw, node, size = unpacked(blobs, "V6", "<i8", "<u4")
+        for part, blobs in kinds_of_parts(batches):
+            for kind in (HOT_POSTINGS, DOCUMENTS):
+                for blob in blobs.pop(kind, ()):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["part", "kind", "payload"])
+            hot = whole_hashes(unpacked(blobs.pop(HOT, []), "V7")[0].view(np.uint8), part)
+            hot.sort()
+            raw, node = unpacked(blobs.pop(POSTINGS, []), "V7", "<i8")
             h = whole_hashes(raw.view(np.uint8), part)
-            order = np.lexsort((node, h))
-            h, node, size = h[order], node[order], size[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # several tasks can send a node
-            h, node, size = h[new], node[new], size[new]
-            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-            many = np.repeat(np.diff(edges), np.diff(edges)).astype(np.uint32)
-            shared = many > 1
-            h, node, size, many = h[shared], node[shared], size[shared], many[shared]
-            yield from packed((node.view(np.uint64) % np.uint64(n_parts)).astype(np.int32), h, node, size, many)
+            del raw
+            order = np.argsort(h, kind="stable")
+            h, node = h[order], node[order]
+            del order, blobs
+            for piece in pieces(h, node, PIECE_POSTINGS):
+                yield from _kind(POSTINGS, shared_piece(*piece, hot, n_parts))
+
+    return postings.mapInArrow(work, PACKED)
+
 
-    return fragments.mapInArrow(work, "part int, payload binary")
+def pieces(h: np.ndarray, node: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Postings sorted by shingle in pieces of about most, which end between two shingles."""
+    a = 0
+    while a < len(h):
+        b = int(np.searchsorted(h, h[min(a + most, len(h)) - 1], "right"))
+        yield h[a:b], node[a:b]
+        a = b
 
 
-SURVIVOR = "node long, size int, shared int, hashes binary"
+def shared_piece(h: np.ndarray, node: np.ndarray, hot: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by shingle, those of shared shingles packed by node: shingle, node, level."""
+    order = np.lexsort((node, h))
+    h, node = h[order], node[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # several tasks can send a node
+    h, node = h[new], node[new]
+    edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    level = np.repeat(level_of(np.diff(edges)), np.diff(edges))
+    if len(hot):
+        level[hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h] = HOT_LEVEL
+    shared = level > 0
+    h, node, level = h[shared], node[shared], level[shared]
+    yield from packed(node_part(node, n_parts), h, node, level)
+
+
+FOUND = "node long, size int, shared int, hashes binary, levels binary, prefix array<long>, doc_id long, n_shingles long"
 
 
 def survivors(shared: DataFrame) -> DataFrame:
-    """Nodes that share at least 75 % of their set, with their shared shingles in the global order."""
+    """Nodes that share at least 75 % of their set, with their shared shingles in the global order; and the documents.
+
+    A row of a document has node (null without words), doc_id and n_shingles, all others of a node are null.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in parts_of(batches):
-            h, node, size, many = unpacked(blobs, "<u8", "<i8", "<u4", "<u4")
-            order = np.lexsort((h, many, node))
-            h, node, size = h[order], node[order], size[order]
+        for _, blobs in kinds_of_parts(batches):
+            known, doc, n, none = unpacked(blobs.pop(DOCUMENTS, []), "<i8", "<i8", "<u4", "u1")
+            if len(known):
+                nulls = pa.nulls(len(known), pa.int32())
+                blank = pa.nulls(len(known), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(known, pa.int64(), mask=n == 0), nulls, nulls, blank, blank, pa.nulls(len(known), pa.list_(pa.int64())), pa.array(doc, pa.int64(), mask=none.astype(bool)), pa.array(n.astype(np.int64))],
+                    names=FOUND_NAMES,
+                )
+            h, node, level = unpacked(blobs.pop(POSTINGS, []), "<u8", "<i8", "u1")
+            hot, hot_node = unpacked(blobs.pop(HOT_POSTINGS, []), "<u8", "<i8")
+            if len(hot):
+                h, node, level = np.concatenate([h, hot]), np.concatenate([node, hot_node]), np.concatenate([level, np.full(len(hot), HOT_LEVEL, np.uint8)])
+            if not len(h):
+                continue
+            order = np.lexsort((h, level, node))
+            h, node, level = h[order], node[order], level[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+            h, node, level = h[new], node[new], level[new]
             edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
             first, count = edges[:-1], np.diff(edges)
-            live = DENOMINATOR * count >= NUMERATOR * size[first].astype(np.int64)
-            found = [(int(node[a]), int(size[a]), int(c), h[a : a + c].tobytes()) for a, c in zip(first[live], count[live])]
-            for k in range(0, len(found), 512):
-                cols = zip(*found[k : k + 512])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["node", "size", "shared", "hashes"])
+            order = np.argsort(known)
+            size = n[order][np.searchsorted(known[order], node[first])].astype(np.int64)
+            least = -(-NUMERATOR * size // DENOMINATOR)
+            live = np.flatnonzero(count >= least)
+            # shingles of its own come first in a node's order
+            ahead = np.maximum(count + 1 - least, 0)
+            for k in range(0, len(live), 128):
+                each = live[k : k + 128]
+                spans = [slice(first[i], first[i] + count[i]) for i in each]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(node[first[each]]), pa.array(size[each], pa.int32()), pa.array(count[each], pa.int32()),
+                        pa.array([h[x].tobytes() for x in spans], pa.binary()), pa.array([level[x].tobytes() for x in spans], pa.binary()),
+                        pa.array([h[x][: ahead[i]].view(np.int64) for x, i in zip(spans, each)], pa.list_(pa.int64())),
+                        pa.nulls(len(each), pa.int64()), pa.nulls(len(each), pa.int64()),
+                    ],
+                    names=FOUND_NAMES,
+                )
 
-    return shared.mapInArrow(work, SURVIVOR)
+    return shared.mapInArrow(work, FOUND)
 
 
-def prefix_rows(labelled: DataFrame, n_parts: int) -> DataFrame:
-    """Packed prefix shingles (shingle, node, component, size, position in the order) of labelled survivors."""
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, comp, size, shared = (batch.column(c).to_numpy() for c in ("node", "component", "size", "shared"))
-            least = -(-NUMERATOR * size.astype(np.int64) // DENOMINATOR)
-            length = np.maximum(size - least + 1 - (size - shared), 0)  # unshared shingles come first in the order
-            length = np.minimum(length, shared)
-            h = [np.frombuffer(b, "<u8", n) for b, n in zip(batch.column("hashes").to_pylist(), length)]
-            h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-            within = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
-            position = (np.repeat(size - shared, length) + within).astype(np.int32)
-            columns = (*(np.repeat(x, length) for x in (node, comp, size.astype(np.int32))), position)
-            yield from packed((h % np.uint64(n_parts)).astype(np.int32), h, *columns)
 
-    return labelled.mapInArrow(work, "part int, payload binary")
+def prefix_postings(alive: DataFrame) -> DataFrame:
+    """h, node, size, position of each prefix shingle: where two sets share none, they don't link."""
+    each = alive.select("node", "size", "shared", F.posexplode("prefix").alias("k", "h"))
+    return each.select("h", "node", "size", (F.col("size") - F.col("shared") + F.col("k")).alias("position"))
 
 
-def ranked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Columns of prefix_rows() by shingle, centres first, and where each shingle begins.
+def may_link(size_a: str, position_a: str, size_b: str, position_b: str) -> F.Column:
+    """Whether sets can link whose first common shingle is at these positions of the global order."""
+    a, b = F.col(size_a).cast("long"), F.col(size_b).cast("long")
+    need = F.ceil(NUMERATOR * (a + b) / (NUMERATOR + DENOMINATOR))
+    return F.least(a - F.col(position_a), b - F.col(position_b)) >= need
 
-    Centres come by their number of rarer shingles, then the larger, then by node: as in every round.
-    """
-    h, node, comp, size, position = unpacked(blobs, "<u8", "<i8", "<i8", "<i4", "<i4")
-    order = np.lexsort((node, -size, position, h))
-    h, node, comp, size, position = (x[order] for x in (h, node, comp, size, position))
-    return h, node, comp, size, position, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
 
+def seeds(postings: DataFrame) -> DataFrame:
+    """One pair (a, b, both) for each node b that has any: with the least centre among its prefix shingles'.
 
-def candidates(prefixes: DataFrame, done: int, centres: int) -> DataFrame:
-    """Pairs (a, b, size sum) of nodes in two components: a among a shingle's centres done to centres."""
+    A shingle's centre is the node with the fewest rarer shingles. Centres are found by partial sums before the
+    shuffle, and the join back is one that Spark can split, so a shingle that many nodes have is no one task.
+    """
+    first = F.min(F.struct("position", (-F.col("size")).alias("neg"), "node")).alias("c")
+    centre = postings.groupBy("h").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    centre = centre.select("h", F.col("c.node").alias("a"), (-F.col("c.neg")).alias("size_a"), F.col("c.position").alias("position_a"))
+    met = postings.join(centre, "h").filter((F.col("a") != F.col("node")) & may_link("size_a", "position_a", "size", "position"))
+    best = met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("a", (F.col("size_a") + F.col("size")).alias("both"))).alias("x"))
+    return best.select(F.col("x.a").alias("a"), "b", F.col("x.both").cast("long").alias("both"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in parts_of(batches):
-            h, node, comp, size, position, edges = ranked(blobs)
-            left = size.astype(np.int64) - position  # at their first common shingle two sets share this much at most
-            sent: set[tuple[int, int]] = set()
-            out: list[tuple[int, int, int]] = []
-            for a, b in zip(edges, edges[1:]):
-                if b - a - done < 2 or (comp[a + done : b] == comp[a + done]).all():
-                    continue
-                for c in range(a + done, min(a + centres, b)):
-                    # pairs with earlier centres are their pairs
-                    rest = slice(c + 1, b)
-                    both = size[rest].astype(np.int64) + size[c]
-                    need = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))  # least overlap of a link
-                    fit = (comp[rest] != comp[c]) & (np.minimum(left[rest], left[c]) >= need)
-                    for k in np.flatnonzero(fit) + c + 1:
-                        pair = (int(node[c]), int(node[k]))
-                        if pair not in sent:
-                            if len(sent) > 500_000:
-                                sent.clear()
-                            sent.add(pair)
-                            out.append((*pair, int(size[c] + size[k])))
-                if len(out) > 10_000:
-                    yield _pairs(out)
-                    out = []
-            if out:
-                yield _pairs(out)
-
-    return prefixes.mapInArrow(work, "a long, b long, both long")
 
+def open_postings(postings: DataFrame, labels: DataFrame, done: int) -> DataFrame:
+    """postings with component, of shingles with nodes of two components beyond the centres that are done.
 
-def _pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "both"])
+    Extremes of components are summed up before the shuffle; a shingle that is not open stays so.
+    """
+    each = postings.drop("component").join(labels, "node")
+    spread = each.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    return each.join(spread.filter((F.col("x") < F.col("y")) & (F.col("n") > done + 1)).select("h"), "h", "left_semi").select("h", "node", "component", "size", "position")
 
 
-def open_shingles(prefixes: DataFrame, done: int) -> bool:
-    """Whether any shingle has nodes of two components beyond the centres that are done, if the filter allows a link."""
+def candidates(postings: DataFrame, done: int, centres: int) -> DataFrame:
+    """Pairs (a, b, size sum) of nodes in two components: a among a shingle's centres done to centres."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for blobs in parts_of(batches):
-            _, _, comp, size, position, edges = ranked(blobs)
-            # a link needs 3 / 7 of both sizes; a set with less than 3 / 4 of its own left is in none here
-            live = DENOMINATOR * (size.astype(np.int64) - position) >= NUMERATOR * size
-            n += sum(b - a - done > 1 and len(np.unique(comp[a + done : b][live[a + done : b]])) > 1 for a, b in zip(edges, edges[1:]))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        sent: set[tuple[int, int]] = set()
+        out: list[tuple[int, int, int]] = []
+        for node, comp, size, position in shingle_runs(batches):
+            left = size - position  # at their first common shingle two sets share this much at most
+            n = len(node)
+            if n - done < 2 or (comp[done:] == comp[done]).all():
+                continue
+            for c in range(done, min(centres, n)):
+                # pairs with earlier centres are their pairs
+                need = -(-NUMERATOR * (size[c + 1 :] + size[c]) // (NUMERATOR + DENOMINATOR))  # least overlap of a link
+                fit = (comp[c + 1 :] != comp[c]) & (np.minimum(left[c + 1 :], left[c]) >= need)
+                for k in np.flatnonzero(fit) + c + 1:
+                    pair = (int(node[c]), int(node[k]))
+                    if pair not in sent:
+                        if len(sent) > 200_000:
+                            sent.clear()
+                        sent.add(pair)
+                        out.append((*pair, int(size[c] + size[k])))
+                        if len(out) >= 10_000:
+                            yield _pairs(out)
+                            out = []
+        if out:
+            yield _pairs(out)
+
+    order = ["h", "position", F.desc("size"), "node"]
+    return postings.repartition("h").sortWithinPartitions(*order).mapInArrow(work, "a long, b long, both long").distinct()
+
+
+def shingle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """node, component, size and position of each shingle's rows, of rows sorted by shingle."""
+    held, now = [], None
+    for batch in batches:
+        h, *rest = (batch.column(c).to_numpy() for c in ("h", "node", "component", "size", "position"))
+        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else []
+        for a, b in zip(edges, edges[1:]):
+            if held and h[a] != now:
+                yield _joined(held)
+                held = []
+            now = h[a]
+            held.append([x[a:b].astype(np.int64) for x in rest])
+    if held:
+        yield _joined(held)
 
-    return bool(prefixes.mapInArrow(work, "n long").agg(F.sum("n")).first()[0])
 
+def _joined(held: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*held))
 
-def place_of(node: np.ndarray) -> np.ndarray:
-    return (node.view(np.uint64) % np.uint64(MARKED_BITS)).astype(np.int64)
 
+def _pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "both"])
 
-def marks(nodes_: DataFrame) -> np.ndarray:
-    """A bit for the place of each node, of fixed size; a place can stand for several nodes.
 
-    By this, nodes without pairs need not be shuffled; what a shared place lets through finds no pair.
-    """
+def order_bin(level: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Bins that follow the global order: level, then the first bits of the hash."""
+    return (level.astype(np.int64) << BIN_BITS) | (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def fragment_edges(alive: DataFrame) -> list[int]:
+    """The bins at which the global order is cut into fragments of about equal numbers of shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((HOT_LEVEL + 1) << BIN_BITS, np.int64)
         for batch in batches:
-            at = np.unique(place_of(batch.column(0).to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5, pa.int32()), pa.array(np.int64(1) << (at & 31))], names=["word", "bits"])
+            for h, level in zip(batch.column("hashes").to_pylist(), batch.column("levels").to_pylist()):
+                n += np.bincount(order_bin(np.frombuffer(level, "u1"), np.frombuffer(h, "<u8")), minlength=len(n))
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n[k], pa.int64())], names=["bin", "n"])
 
-    words = nodes_.mapInArrow(work, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(MARKED_BITS >> 5, np.uint32)
-    for w in words:
-        out[w.word] = w.bits
-    return out
+    rows = alive.select("hashes", "levels").mapInArrow(work, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    found = sorted((r.bin, r.n) for r in rows)
+    run, total = np.cumsum([n for _, n in found]), sum(n for _, n in found)
+    return [found[int(np.searchsorted(run, total * k / OVERLAP_FRAGMENTS))][0] + 1 for k in range(1, OVERLAP_FRAGMENTS)] if found else []
 
 
-def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
-    """The pairs whose overlap, counted in each fragment and summed, makes a link."""
+def links(pairs: DataFrame, alive: DataFrame, edges: list[int]) -> DataFrame:
+    """The pairs whose overlap, counted in each fragment of the global order and summed, makes a link."""
 
-    def cut(batches: Iterator[pa.RecordBatch], marked) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = place_of(batch.column("node").to_numpy())
-            batch = batch.filter(pa.array((marked.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
             rows = []
-            for node, blob in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
-                h = np.sort(np.frombuffer(blob, "<u8"))
-                which = h % np.uint64(OVERLAP_FRAGMENTS)
-                rows += [(node, k, x.tobytes()) for k in range(OVERLAP_FRAGMENTS) if len(x := h[which == k])]
+            for node, blob, levels in zip(*(batch.column(c).to_pylist() for c in ("node", "hashes", "levels"))):
+                h = np.frombuffer(blob, "<u8")
+                which = np.searchsorted(edges, order_bin(np.frombuffer(levels, "u1"), h), "right")
+                rows += [(node, k, np.sort(x).tobytes()) for k in range(OVERLAP_FRAGMENTS) if len(x := h[which == k])]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["node", "fragment", "hashes"])
 
@@ -356,12 +480,13 @@ def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("both"), pa.array(each, pa.int64())], names=["a", "b", "both", "common"])
 
     def cuts(side: str) -> DataFrame:
-        marked = pairs.sparkSession.sparkContext.broadcast(marks(pairs.select(side)))
-        return alive.select("node", "hashes").mapInArrow(lambda batches: cut(batches, marked), "node long, fragment int, hashes binary")
+        own = alive.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi")
+        return own.select("node", "hashes", "levels").mapInArrow(cut, "node long, fragment int, hashes binary")
 
     left = cuts("a").select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("x"))
     right = cuts("b").select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "both", "x", "y").mapInArrow(count, "a long, b long, both long, common long")
+    # each node's own shingles first, then the centre's, which many pairs share
+    partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "both", "x", "y").mapInArrow(count, "a long, b long, both long, common long")
     total = partial.groupBy("a", "b").agg(F.max("both").alias("both"), F.sum("common").alias("common"))
     # 100 * common >= 75 * (both - common)
     return total.filter((NUMERATOR + DENOMINATOR) * F.col("common") >= NUMERATOR * F.col("both")).select("a", "b")
@@ -378,49 +503,69 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = materialise(ways.groupBy("u").agg(F.min("v").alias("to")).filter("to < u"), "hooks")
         new = labels.join(hook, labels.component == hook.u, "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = materialise(new, "labels")
+        labels = replaced(labels, new, "labels")
         u = hook.select(F.col("u"), F.col("to").alias("u2"))
         v = hook.select(F.col("u").alias("v"), F.col("to").alias("v2"))
         moved = edges.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v"))
-        edges = materialise(moved.filter("u <> v").distinct(), "edges")
+        edges = replaced(edges, moved.filter("u <> v").distinct(), "edges")
+        discard(hook)
+    discard(edges)
     return labels
 
 
-def components(docs: DataFrame, known: DataFrame) -> DataFrame | None:
-    """node and component of the nodes that are left in the join; known: what nodes() gives."""
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    n_parts = max(8, -(-total // FRAGMENT_SHINGLES))
-    fragments = by_part(fragment_rows(docs, n_parts), n_parts)
-    shared = by_part(shared_rows(fragments, n_parts), n_parts)
-    alive = materialise(survivors(shared), "survivors")
-    del fragments, shared
+def replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """new, written; what it was made from is deleted."""
+    out = materialise(new, name)
+    discard(old)
+    return out
+
+
+def found_in(docs: DataFrame) -> DataFrame:
+    """What survivors() finds, written to the shared folder."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(8, -(-size // (SHINGLE_BYTES * PART_SHINGLES)))
+    postings = by_part(posting_rows(docs, n_parts), n_parts)
+    out = materialise(survivors(by_part(shared_rows(postings, n_parts), n_parts)), "survivors")
+    del postings
     release(docs.sparkSession)
-    labels = alive.select("node", F.col("node").alias("component"))
-    done, centres = 0, CENTRES
-    prefix_parts = max(8, n_parts // 4)
+    return out
+
+
+def components(found: DataFrame) -> DataFrame:
+    """node and component of the nodes that are left in the join."""
+    alive = found.filter("size is not null")
+    edges = fragment_edges(alive)
+    labels = materialise(alive.select("node", F.col("node").alias("component")), "labels")
+    postings, done, centres = prefix_postings(alive), 0, 0
     while True:
-        prefixes = materialise(prefix_rows(alive.join(labels, "node"), prefix_parts), "prefixes")
-        dealt = by_part(prefixes, prefix_parts)
-        if done and not open_shingles(dealt, done):
-            discard(prefixes)
-            return labels
-        pairs = materialise(candidates(dealt, done, centres).distinct(), "pairs")
+        if centres:
+            still = materialise(open_postings(postings, labels, done), "postings")
+            if done:
+                discard(postings)
+            postings = still
+            if postings.isEmpty():
+                discard(postings)
+                return labels
+            pairs = materialise(candidates(postings, done, centres), "pairs")
+            done, centres = centres, centres * GROWTH
+        else:
+            pairs = materialise(seeds(postings), "pairs")
+            centres = CENTRES
         if not pairs.isEmpty():
-            found = links(pairs, alive)
             a = labels.select(F.col("node").alias("a"), F.col("component").alias("u"))
             b = labels.select(F.col("node").alias("b"), F.col("component").alias("v"))
-            labels = contract(found.join(a, "a").join(b, "b").select("u", "v"), labels)
+            labels = contract(links(pairs, alive, edges).join(a, "a").join(b, "b").select("u", "v"), labels)
         discard(pairs)
-        discard(prefixes)
-        done, centres = centres, centres * GROWTH
+        release(found.sparkSession)
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_shingles and, for rows with words, component and component_id of each row of docs."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    known = materialise(nodes(docs), "nodes")
-    labels = components(docs, known)
+    found = found_in(docs)
+    labels = components(found)
+    known = found.filter("size is null").select("doc_id", "node", "n_shingles")
     first = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = first.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -11,6 +11,10 @@ SCHEMA = "doc_id long, text string, node string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def in_order(row):
+    return [(x is None, x or 0) for x in row]
+
+
 def brute(rows):
     sets = []
     for _, text in rows:
@@ -29,12 +33,11 @@ def brute(rows):
     least = {}
     for i, (doc_id, _) in enumerate(rows):
         least[root(i)] = min([x for x in (least.get(root(i)), doc_id) if x is not None], default=None)
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    return sorted(((d, len(s), least[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=key)
+    return sorted(((d, len(s), least[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=in_order)
 
 
 def got(df):
-    return sorted(map(tuple, df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return sorted(map(tuple, df.collect()), key=in_order)
 
 
 def test_query_matches_brute_force_on_whole_table(spark, sf_dir):
@@ -78,3 +81,43 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert got(jaccard_join.join(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_hot_shingles(spark, monkeypatch):
+    """A passage in a third of all texts, and a group of near copies of a third, past the limit for hot shingles."""
+    rng = random.Random(8)
+    monkeypatch.setattr(jaccard_join, "HOT_DOCS", 5)
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 50)
+    passage, text = [f"p{i}" for i in range(30)], [f"t{i}" for i in range(80)]
+    rows = []
+    for k in range(240):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(40)]
+        if k % 3 == 0:
+            new = own[:20] + passage + own[20:]
+        elif k % 3 == 1:
+            new = [w if rng.random() > 0.015 else f"x{rng.randrange(10**6)}" for w in text]
+        else:
+            new = own if rng.random() > 0.2 else passage + own[:1]
+        rows.append((k, " ".join(new)))
+    assert got(jaccard_join.join(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3))) == brute(rows)
+
+
+def test_pieces_of_a_part_are_bounded():
+    """A part is handled in pieces that end between two shingles: together they give what the whole gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    h, node = np.sort(rng.integers(0, 400, 5000).astype(np.uint64)), rng.integers(0, 90, 5000)
+    want = [b.to_pydict() for b in jaccard_join.shared_piece(h, node, np.zeros(0, np.uint64), 1)]
+    sizes, found = [], []
+
+    def seen(h, node, hot, n_parts, real=jaccard_join.shared_piece):
+        sizes.append(len(h))
+        return real(h, node, hot, n_parts)
+
+    rows = list(jaccard_join.pieces(h, node, 300))
+    assert max(len(x) for x, _ in rows) <= 300 + int(np.bincount(h.astype(int)).max())
+    for x, y in rows:
+        found += [b.to_pydict() for b in seen(x, y, np.zeros(0, np.uint64), 1)]
+    flat = lambda bs: sorted(zip(*(np.concatenate([jaccard_join.unpacked(b["payload"], "<u8", "<i8", "u1")[i] for b in bs]).tolist() for i in range(3))))
+    assert len(sizes) > 10 and flat(found) == flat(want)
