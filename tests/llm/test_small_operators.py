@@ -215,6 +215,114 @@ def test_surrogates_find_all_in_sample(spark, sf_dir):
             assert secret not in r.text
 
 
+def luhn(digits):
+    odd = [int(c) for c in digits[::-1]]
+    return sum(odd[::2] + [sum(divmod(2 * d, 10)) for d in odd[1::2]]) % 10
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def check_surrogates(before, after):
+    """Each mention of before, found by another engine, has a fitting surrogate in after; gives them by entity."""
+    import regex
+
+    pattern = regex.compile(pii_surrogates.PII.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"), regex.V0)
+    kinds = {k: regex.compile(p) for k, p in pii_surrogates.PATTERNS.items()}
+    made = {}
+    for old, new in zip(before, after):
+        if old is None:
+            assert new is None
+            continue
+        found, at = list(pattern.finditer(old)), 0
+        if not found:
+            assert new == old
+        if any(kinds["name"].fullmatch(m[0]) for m in found):
+            continue  # words beside the mentions may change as well
+        rests = pattern.split(old)
+        for k, (m, rest) in enumerate(zip(found, rests)):
+            assert new.startswith(rest, at)
+            at += len(rest)
+            end = new.index(rests[k + 1], at) if rests[k + 1] else len(new)
+            put = new[at:end] if "@" in m[0] else new[at : at + len(m[0])] if not kinds["ip"].fullmatch(m[0]) else re.match(r"[\d.]+", new[at:])[0].rstrip(".")
+            kind = next(k for k, p in kinds.items() if p.fullmatch(m[0]))
+            same = re.sub("[^0-9A-Za-z]", "", m[0]).lower() if kind not in ("email", "ip", "ip6") else m[0].lower()
+            flat = re.sub("[^0-9A-Za-z]", "", put).lower() if kind not in ("email", "ip", "ip6") else put
+            assert made.setdefault((kind, same), flat) == flat
+            if kind == "email":
+                assert put.count("@") == 1 and put.split("@")[1].count(".") == m[0].split("@")[1].count(".")
+            elif kind != "ip":
+                assert [c.isdigit() or kind == "ip6" for c in put if c.isalnum()] == [c.isdigit() or kind == "ip6" for c in m[0] if c.isalnum()]
+                assert [c for c in put if not c.isalnum()] == [c for c in m[0] if not c.isalnum()]
+            if kind == "card":
+                assert luhn(flat) == luhn(same) or luhn(same)
+                assert put[0] == m[0][0] and (luhn(flat) == 0) == (luhn(same) == 0)
+            if kind == "iban":
+                assert (mod97(flat) == 1) == (mod97(same) == 1) and flat[:2] == same[:2]
+            at += len(put)
+    by_kind = {}
+    for (kind, same), flat in made.items():
+        assert flat not in by_kind.setdefault(kind, {}), (kind, same, flat)
+        by_kind[kind][flat] = same
+    assert not any(set(x) & set(x.values()) for x in by_kind.values())
+    return made
+
+
+def test_surrogates_fit_each_mention(spark, sf_dir):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = [(r["doc_id"], r["text"]) for r in table_of(sf_dir, "documents")]
+    for k in range(120):
+        account = rng.choice(["", "NWBK"]) + digits(14)
+        iban = next(x for c in range(2, 99) if mod97(x := f"GB{c:02d}{account}") == 1)
+        card = next(x for c in range(10) if not luhn(x := "4" + body + str(c))) if (body := digits(14)) else ""
+        rows.append((10_000 + k, f"of a.{digits(2)}@b{digits(1)}.co.uk to {iban}, {' '.join(iban[i : i + 4] for i in range(0, len(iban), 4))} or {card} by 2001:db8::{rng.randrange(1, 9999)} and 2001:0db8:85a3:0000:0000:8a2e:0370:{digits(4)} from {rng.randrange(200, 999)} {rng.randrange(200, 999)} {digits(4)} for {digits(3)}-{digits(2)}-{digits(4)}"))
+    rows += [(1, None), (2, ""), (3, "no one"), (4, "x " * 60_000 + "a@b.org"), (4, "x " * 60_000 + "a@b.org")]
+    got = sorted(pii_surrogates.protect(docs_of(spark, rows)).collect(), key=repr)
+    want = sorted(docs_of(spark, rows).collect(), key=repr)
+    by_id = lambda rs: sorted(((r.doc_id, len(r.text or ""), r.text) for r in rs), key=lambda x: (x[0], x[2] is None))
+    assert len(got) == len(want)
+    old, new = {}, {}
+    for r in want:
+        old.setdefault(r.doc_id, []).append(r.text)
+    for r in got:
+        new.setdefault(r.doc_id, []).append(r.text)
+    once = [i for i in old if len(old[i]) == 1]
+    made = check_surrogates([old[i][0] for i in once], [new[i][0] for i in once])
+    assert {k for k, _ in made} >= {"email", "ip", "ip6", "iban", "card", "phone", "ssn"}
+    assert pii_surrogates.protect(docs_of(spark, [])).collect() == []
+
+
+def test_surrogates_of_names(spark):
+    text = "Mrs Anna Maria Kovac saw Mr O'Brien, Dr. J. Smith and Frau von der Leyen. Kovac left; Anna Kovac too, with Smith. Jane Kovacs and Ivan Petrov met Ivan Petrov. The Smithy of Berlin stays."
+    got = {r.doc_id: r for r in pii_surrogates.protect(docs_of(spark, [(1, text), (2, "Kovac and Smith are no names here."), (3, "Miss Kovac")])).collect()}
+    new = got[1].text
+    assert not re.search(r"Anna|Maria|Kovac|O'Brien|J\. Smith|Leyen|Jane|Ivan|Petrov|Smith\b", new)
+    m = re.fullmatch(r"Mrs (\w+) (\w+) (\w+) saw Mr (\w+), Dr\. X\. (\w+) and Frau von der (\w+)\. (\w+) left; (\w+) (\w+) too, with (\w+)\. (\w+) (\w+) and (\w+) (\w+) met (\w+) (\w+)\. The Smithy of Berlin stays\.", new)
+    assert m and m[3] == m[7] == m[9] and m[1] == m[8] and m[5] == m[10] and (m[13], m[14]) == (m[15], m[16])
+    assert m[1].endswith("na") and m[13].endswith("n") and m[12] != m[3]
+    assert got[2].text == "Kovac and Smith are no names here." and got[3].text == f"Miss {m[3]}"
+    assert got[1].n_entities == 8
+
+
+def test_surrogates_of_many_names_stay_distinct(spark, monkeypatch):
+    """With one syllable there are 32 names: later attempts are longer, and a family keeps one name."""
+    monkeypatch.setattr(pii_surrogates, "SYLLABLES", 1)
+    family = [f"Q{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(150)]
+    rows = [(k, f"Mrs Anna {x} and Mr {x}") for k, x in enumerate(family)]
+    got = {r.doc_id: r.text for r in pii_surrogates.protect(docs_of(spark, rows)).collect()}
+    names = [re.fullmatch(r"Mrs \w+ (\w+) and Mr (\w+)", got[k]) for k, _ in rows]
+    assert all(m and m[1] == m[2] for m in names) and len({m[1] for m in names}) == 150
+
+
+def test_surrogates_keep_other_columns(spark):
+    rows = [(1, "mail a.b@c.org", 5, "x", 7), (None, "Mr Smith", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_entities long, _pii_copy string, row long")
+    got = pii_surrogates.protect(df).orderBy("doc_id").collect()
+    assert got[1]["_pii_copy"] == "x" and got[1]["row"] == 7 and got[1].n_entities == 1 and set(got[0].asDict()) == set(df.columns)
+
+
 # --- 6: language ------------------------------------------------------------------------------------------
 
 
