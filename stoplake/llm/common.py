@@ -18,14 +18,18 @@ from stoplake.session import ship_package
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same separators for Java and RE2 regular expressions.
 GAP_SQL = r"[\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: texts can be long, so a batch holds few of them.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch, at most: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and bound Arrow batches; texts of any length then fit a worker."""
+    """Ship the package and bound Arrow batches by bytes; texts of any length then fit a worker.
+
+    The two settings stay in the session, since Spark reads them when a query runs.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

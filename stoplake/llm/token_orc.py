@@ -6,12 +6,13 @@ Each row holds its place inside its file, so reading needs no running sum over t
 totals (one row for each file) give every file's first position.
 
 The tokenizer's rules never look across a blank or a line break, so texts are encoded in the pieces
-between them, letters and marks apart, and each worker keeps the ids of the pieces it met, in tables of
-bounded size.
+between them, letters and marks apart. Batches are split and dictionary-encoded in Arrow; each worker keeps
+the ids of the distinct pieces it met, in tables of bounded size.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from array import array
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import no_collector, prepare, scratch, texts_of
+from stoplake.llm.common import no_collector, prepare, scratch
 
-#: Entries of a worker's table; a full table is emptied. Longer pieces are not kept.
-TABLE_ENTRIES, KEPT_CHARS = 500_000, 40
+#: Pieces in a worker's table; of a full one what was used least goes, and longer pieces.
+TABLE_ENTRIES, KEPT_CHARS = 600_000, 40
 #: Marks that the tokenizer never joins to letters (an apostrophe may begin a suffix).
 MARKS = ".,!?;:*&%$#|()"
 #: Rows between two entries of a file's row index, and bytes of a stripe.
@@ -36,65 +38,86 @@ COLUMNS = "part int, doc_id long, local_start long, n_tokens long, ids array<int
 
 
 class PieceEncoder:
-    """A tokenizer of the tokenizers library with a table of the pieces it has encoded."""
+    """A tokenizer of the tokenizers library with a table of the pieces it has encoded.
 
-    def __init__(self, path: str):
+    A piece has a place: its ids are those of flat from edges[place] to edges[place + 1]. Place 0 is the end id.
+    """
+
+    def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id last."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.known: dict[str | None, int] = {None: 0}
+        self.flat, self.edges, self.uses = array("I", [end]), array("q", [0, 1]), np.zeros(1, np.int64)
+
+    def prune(self) -> None:
+        """Keep of a full table what was used more than usual, without long pieces."""
+        flat, edges, usual = self.flat, self.edges, np.median(self.uses)
+        held = [(p, flat[edges[k] : edges[k + 1]], self.uses[k]) for p, k in self.known.items() if p is None or self.uses[k] > usual and len(p) <= KEPT_CHARS]
+        self.known = {p: k for k, (p, _, _) in enumerate(held)}
+        self.flat = array("I", b"".join([ids.tobytes() for _, ids, _ in held]))
+        self.edges = array("q", [0, *itertools.accumulate([len(ids) for _, ids, _ in held])])
+        self.uses = np.array([n for _, _, n in held], np.int64) // 2
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of distinct pieces; new ones are encoded."""
+        words = pieces.to_pylist()
+        if len(self.known) > TABLE_ENTRIES:
+            self.prune()
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > TABLE_ENTRIES:
-            known.clear()
-            new = {w for words in split for w in words}
-        self.learn(new)
-        tail = int(end).to_bytes(4, "little")
-        out = [b"".join([known[w] for w in words]) + tail for words in split]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del known[w]
+        found = list(map(known.get, words))
+        new = [w for w, k in zip(words, found) if k is None]
+        if new:
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new))))
+            for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
+                self.flat.extend(e.ids)
+                self.edges.append(len(self.flat))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            found = list(map(known.get, words))
+        out = np.array(found, np.int64)
+        self.uses[out] += 1
         return out
 
-    def learn(self, new: set[str]) -> None:
-        """Encode pieces: those of letters with marks behind them by their two parts."""
-        parts = self.parts
-        if len(parts) + len(new) > TABLE_ENTRIES:
-            parts.clear()
-        halves = {w: apart(w) for w in new}
-        names = list({p for pair in halves.values() for p in pair if p not in parts})
-        found = self.tokenizer.encode_batch(names, add_special_tokens=False)
-        parts.update({p: array("I", e.ids).tobytes() for p, e in zip(names, found)})
-        self.known.update({w: parts[a] + parts[b] for w, (a, b) in halves.items()})
-        for p in names:
-            if len(p) > KEPT_CHARS:
-                del parts[p]
-
-
-def apart(word: str) -> tuple[str, str]:
-    """Letters in lower case and the marks behind them, which the tokenizer takes apart as well.
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text, the end id last; a null text counts as empty.
+
+        A batch is split and its distinct pieces are found in Arrow; only those are looked up one by one.
+        """
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        halves = pa.concat_arrays(apart(coded.dictionary)).dictionary_encode()
+        place = self.places(halves.dictionary)[np.asarray(halves.indices)].reshape(2, -1)
+        # two places for each piece, and one for the end id behind each text's last piece
+        starts = 2 * (np.asarray(pieces.offsets, np.int64) - pieces.offsets[0].as_py())
+        order = np.insert(place[:, np.asarray(coded.indices)].T.reshape(-1), starts[1:], 0)
+        edges = np.frombuffer(self.edges, np.int64)
+        sizes = np.diff(edges)[order]
+        run = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(edges[order] - run[:-1], sizes) + np.arange(run[-1])
+        ids = np.frombuffer(self.flat, "<u4")[at].view("<i4")
+        return pa.ListArray.from_arrays(pa.array(run[starts + np.arange(len(starts))], pa.int32()), pa.array(ids))
+
+
+def apart(words: pa.Array) -> list[pa.Array]:
+    """Of each word the letters in lower case and the marks behind them, which the tokenizer takes apart as well.
 
     Other words stay whole, as do letters beyond Latin-1: in lower case some end with a mark.
     """
-    letters = word.rstrip(MARKS)
-    if not letters.isalpha() or not letters.isascii() and max(letters) > "\u00ff":
-        return word, ""
-    return letters.lower(), word[len(letters) :]
+    letters = pc.utf8_rtrim(words, characters=MARKS)
+    plain = pc.match_substring_regex(letters, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$")
+    marks = pc.struct_field(pc.extract_regex(words, f"(?P<m>[{MARKS}]*)$"), 0)
+    return [pc.if_else(plain, pc.utf8_lower(letters), words), pc.if_else(plain, marks, "")]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, end: int) -> PieceEncoder:
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = PieceEncoder(path, end)
+    return _ENCODERS[path, end]
 
 
 def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None:
@@ -106,15 +129,13 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None
     prepare(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(vocabulary, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             with no_collector():
-                raw = enc.encode(texts_of(batch), end)
-            sizes = np.array([len(r) // 4 for r in raw], np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                ids = enc.encode(batch.column("text"))
+            edges = np.asarray(ids.offsets, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(raw), part, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(edges[:-1] + at), pa.array(sizes), ids],
+                [pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(edges[:-1] + at), pa.array(np.diff(edges)), ids],
                 names=["part", "doc_id", "local_start", "n_tokens", "ids"],
             )
             at += int(edges[-1])
