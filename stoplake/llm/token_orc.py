@@ -124,7 +124,8 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None
     """Encode docs(doc_id, text) and write the ORC files of a corpus under path, in doc_id order.
 
     A null text counts as empty (the end id alone); null doc_ids come first; rows that repeat a doc_id
-    stand side by side, ordered by text. An empty table gives an empty corpus.
+    stand side by side, ordered by their texts' hashes. An empty table gives an empty corpus. Other columns
+    are not read.
     """
     prepare(docs.sparkSession)
 
@@ -140,7 +141,9 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None
             )
             at += int(edges[-1])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the hash parts rows that share an id (or have none), so that they need not be in one range
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     options = {
         "compression": "zstd",
         "orc.bloom.filter.columns": "doc_id",

@@ -46,3 +46,49 @@ def test_lookup_skips_by_metadata(spark, tmp_path):
     plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert re.search(r"PushedFilters: \[[^\]]*In\(doc_id, \[(?:7,2999|2999,7)\]\)", plan)
     assert sorted(r.doc_id for r in found.collect()) == [7, 2999]
+
+
+def rows_read(df):
+    """Rows that the reader of a query gave, after it skipped stripes and row groups."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    scan = plan.collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_are_skipped_by_ranges_and_bloom_filters(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("2 * id AS doc_id", "concat('text number ', id) AS text").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = f"file://{tmp_path}/ids"
+        token_orc.write_ids(docs, VOCABULARY, path)
+        read = lambda doc_id: rows_read(spark.read.schema(token_orc.COLUMNS).orc(path).filter(f"doc_id = {doc_id}").select("n_tokens"))
+        assert read(778) <= token_orc.INDEX_ROWS  # by the ranges of its file and row group
+        assert sum(read(k) for k in (779, 2001, 5553, 7001)) <= token_orc.INDEX_ROWS  # within a range, but in no Bloom filter (1 in 100 may err)
+        assert read(9999) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rows_without_an_id_are_split(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('text number ', id) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_orc.write_ids(docs, VOCABULARY, f"file://{tmp_path}/ids")
+        rows = token_orc.read_ids(spark, f"file://{tmp_path}/ids").orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r.part for r in rows}) > 1 and len(rows) == 3000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
+def test_table_of_pieces_is_pruned(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_orc, "TABLE_ENTRIES", 50)
+    enc, t = token_orc.PieceEncoder(VOCABULARY, 2), Tokenizer.from_file(VOCABULARY)
+    for k in range(40):
+        texts = [f"the word{k} of {k}th, the w{k}x. " + "y" * k, None, ""]
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+        assert enc.encode(pa.array(texts, pa.string())).to_pylist() == want
+    assert len(enc.known) < 120 and "the" in enc.known
