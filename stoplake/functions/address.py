@@ -47,16 +47,14 @@ def canonical_type(token: Column) -> Column:
     return out.otherwise(token)
 
 
-def normal_street(street: Column) -> Column:
-    """clean(), a leading street type in full."""
-    c = clean(street)
+def normal_street(c: Column) -> Column:
+    """A cleaned street with a leading street type in full."""
     head = F.substring_index(c, " ", 1)
     return F.concat(canonical_type(head), F.substr(c, F.length(head) + 1))
 
 
-def house_number(number: Column) -> Column:
-    """number and red (I43): rosso or a separate r at the end is a colour; none is a mark of its own."""
-    c = clean(number)
+def house_number(c: Column) -> Column:
+    """number and red of a cleaned number (I43): rosso or a separate r at the end is a colour; none is a mark of its own."""
     rosso, r = c.endswith("rosso"), c.endswith(" r")
     body = F.when(rosso, F.trim(F.regexp_replace(c, "rosso$", ""))).when(r, F.regexp_replace(c, " r$", "")).otherwise(c)
     none = (c == "") | (c == "snc")
@@ -64,8 +62,9 @@ def house_number(number: Column) -> Column:
 
 
 def italian_bucket(street: Column, number: Column, city: Column) -> Column:
+    """Bucket of cleaned parts."""
     n = house_number(number)
-    return F.concat(clean(city), F.lit("|"), normal_street(street), F.lit("|"), n["number"], F.when(n["red"], F.lit("|rosso")).otherwise(F.lit("")))
+    return F.concat(city, F.lit("|"), normal_street(street), F.lit("|"), n["number"], F.when(n["red"], F.lit("|rosso")).otherwise(F.lit("")))
 
 
 def squash(x: Column) -> Column:
@@ -73,7 +72,8 @@ def squash(x: Column) -> Column:
 
 
 def generic_bucket(street: Column, number: Column, city: Column) -> Column:
-    return F.concat_ws("|", squash(city), squash(street), squash(number))
+    """Bucket of squashed parts."""
+    return F.concat_ws("|", city, street, number)
 
 
 def split_freeform(text: Column) -> Column:
@@ -84,8 +84,15 @@ def split_freeform(text: Column) -> Column:
 
 
 #: Rules by country (L01, L05); others get the generic ones.
-NORMALIZERS: dict[str, Callable[[Column, Column, Column], Column]] = {"italy": italian_bucket}
+NORMALIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column, Column], Column]]] = {"italy": (clean, italian_bucket)}
+GENERIC = (squash, generic_bucket)
+
+
+def clean_for(country: str) -> Callable[[Column], Column]:
+    """How a country's rules clean each part of an address."""
+    return NORMALIZERS.get(country, GENERIC)[0]
 
 
 def bucket_for(country: str) -> Callable[[Column, Column, Column], Column]:
-    return NORMALIZERS.get(country, generic_bucket)
+    """How a country's rules put cleaned street, number and city together."""
+    return NORMALIZERS.get(country, GENERIC)[1]

@@ -40,6 +40,16 @@ def lookup(x: Column, table, other) -> Column:
     return out.otherwise(F.lit(other))
 
 
+def profile_of(flag: Column) -> Column:
+    """The profile that a flag names, null if it names none."""
+    return F.when(flag.isin(*PROFILES), flag)
+
+
+def profile_weights_of(flag: Column) -> list[Column]:
+    """The five weights of the profile that a flag names, null if it names none."""
+    return [F.try_element_at(F.create_map(*[x for name, w in PROFILES.items() for x in (F.lit(name), F.lit(w[k]))]), flag) for k in range(5)]
+
+
 def co2_per_km(mode: Column) -> Column:
     return lookup(mode, CO2, OTHER_CO2)
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoplake.session import ship_package
+
 #: Platform strips, smoothing and hulls, in metres.
 HALF_LENGTH_M, GAP_M, WIDTH_M = 52.0, 1.2, 5.0
 SMOOTH_PASSES, SMOOTH_AREA_M2, AREA_TOLERANCE = 2, 12.0, 0.25
@@ -22,24 +24,25 @@ Point = tuple[float, float]
 def chain(runs: Iterable[list[Point]]) -> list[Point]:
     """Ways chained by equal end points, reversed where needed; the longest chain, the first of equals.
 
-    Each chain starts from the last way that is left and grows at its tail, then at its head.
+    Each chain starts from the last way that is left and takes the first one that fits either of its ends, the
+    tail before the head, until none does. The last way takes the place of one that was taken.
     """
     rest = [list(r) for r in runs if len(r) > 1]
     best: list[Point] = []
-    best_length = -1.0
+    best_length = 0.0
     while rest:
         run = rest.pop()
-        for at_tail in (True, False):
-            while True:
-                end = run[-1] if at_tail else run[0]
-                hit = next((k for k, r in enumerate(rest) if end in (r[0], r[-1])), None)
-                if hit is None:
-                    break
-                way = rest.pop(hit)
-                if at_tail:
-                    run += (way if way[0] == end else way[::-1])[1:]
-                else:
-                    run = (way if way[-1] == end else way[::-1])[:-1] + run
+        while True:
+            fits = (k for k, way in enumerate(rest) if {way[0], way[-1]} & {run[0], run[-1]})
+            at = next(fits, None)
+            if at is None:
+                break
+            rest[at], rest[-1] = rest[-1], rest[at]
+            way = rest.pop()
+            if run[-1] in (way[0], way[-1]):
+                run += (way if way[0] == run[-1] else way[::-1])[1:]
+            else:
+                run = (way if way[-1] == run[0] else way[::-1])[:-1] + run
         length = float(np.hypot(*np.diff(np.array(run), axis=0).T).sum())
         if length > best_length:
             best, best_length = run, length
@@ -52,6 +55,8 @@ def stitch(members: DataFrame) -> DataFrame:
     A way counts once for each branch, at its first seq; fewer than two points give no shape.
     """
 
+    ship_package(members.sparkSession)
+
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["seq", "way_id"]).drop_duplicates("way_id")
         line = chain([list(zip(x, y)) for x, y in zip(g.lons, g.lats)])
@@ -157,6 +162,7 @@ def station_hulls(points: DataFrame) -> DataFrame:
         ring = np.zeros((0, 2)) if hull is None else smooth(hull, list(zip(g.x[g.is_stop], g.y[g.is_stop])))
         return pd.DataFrame({"name": [g.name.iloc[0]] * len(ring), "pos": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]})
 
+    ship_package(points.sparkSession)
     return points.groupBy("name").applyInPandas(lambda g: one(g.rename(columns={"name": "name"})), "name string, pos int, x double, y double")
 
 

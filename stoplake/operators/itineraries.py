@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stoplake.functions import weather as wx
-from stoplake.functions.geo import rounded
+from stoplake.functions.geo import exact_sum, rounded
 from stoplake.functions.keys import local_id
 from stoplake.functions.modes import PROFILES, co2_per_km, is_transit_leg, temperature_coefficient
 
@@ -85,7 +85,7 @@ def weather_penalty(legs: DataFrame, forecast: DataFrame) -> DataFrame:
     s = segments(legs).select(*ITINERARY, "precip_s", "temp_s", "key.*")
     f = badness_columns(forecast)
     on = [s.q_lat == f.q_lat, s.q_lon == f.q_lon, s.utc_hour == f.utc_hour, s.utc_date.eqNullSafe(f.utc_date)]
-    hit = s.join(f, on, "inner").groupBy(*ITINERARY).agg(F.sum(penalty(F.col("precip_s"), F.col("temp_s"), F.col("rain"), F.col("temp"))).alias("weather_penalty"))
+    hit = s.join(f, on, "inner").groupBy(*ITINERARY).agg(exact_sum(penalty(F.col("precip_s"), F.col("temp_s"), F.col("rain"), F.col("temp"))).alias("weather_penalty"))
     return legs.select(*ITINERARY).distinct().join(hit, ITINERARY, "left").select(*ITINERARY, F.coalesce("weather_penalty", F.lit(0.0)).alias("weather_penalty"))
 
 
@@ -118,7 +118,7 @@ def factors(legs: DataFrame, index: DataFrame, penalties: DataFrame | None = Non
     km = F.col("distance_m") / F.lit(1000.0)
     walk = (F.col("mode") == "WALK") & ~F.col("is_transit")
     out = g.groupBy(*ITINERARY).agg(
-        F.coalesce(F.avg("on_time_rate"), F.lit(NEUTRAL)).alias("reliability"),
+        F.coalesce(exact_sum(F.col("on_time_rate"), 15) / F.nullif(F.count("on_time_rate"), F.lit(0)), F.lit(NEUTRAL)).alias("reliability"),
         F.count_if("is_transit").cast("double").alias("transfers"),
         F.sum(F.when(walk, F.coalesce("duration_s", F.lit(0.0))).otherwise(F.lit(0.0))).alias("walk_s"),
         F.sum(F.when(F.col("distance_m") > 0, co2_per_km(F.coalesce("mode", F.lit(""))) * km).otherwise(F.lit(0.0))).alias("co2_g"),

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoplake.functions.address import bucket_for, split_freeform
+from stoplake.functions.address import bucket_for, clean_for, split_freeform
 from stoplake.functions.geo import haversine_m, in_bbox, rounded
 
 
 def house_numbers(addresses: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Addresses in a box with street and number, one for each street, number and city: the first by id."""
     held = addresses.filter(in_bbox(F.col("lon"), F.col("lat"), box) & F.col("number").isNotNull() & F.col("street").isNotNull())
-    one = Window.partitionBy(F.lower("street"), "number", F.lower(F.coalesce("postal_city", F.lit("")))).orderBy("id")
-    return held.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
+    key = [F.lower("street").alias("_s"), F.col("number").alias("_n"), F.lower(F.coalesce("postal_city", F.lit(""))).alias("_c")]
+    # the first row of each group is kept before the shuffle: no sort, and no group in one task
+    first = held.groupBy(*key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in held.columns]), "id").alias("_row"))
+    return first.select("_row.*")
 
 
 def house_number_documents(rows: DataFrame, country: str, object_type: str = "house-number") -> DataFrame:
@@ -42,11 +44,17 @@ def addressed_places(places: DataFrame, box: tuple[float, float, float, float])
     return held.select("id", F.col("names.primary").alias("name"), F.col("categories.primary").alias("category"), first["freeform"].alias("address"), first["locality"].alias("city"), F.col("brand.wikidata").alias("brand_wikidata"), "lon", "lat")
 
 
+def with_bucket(rows: DataFrame, country: str) -> DataFrame:
+    """rows(street, number, city) with their bucket; the cleaned parts are columns, so that each is made once."""
+    parts = rows.withColumns({f"_{c}": clean_for(country)(F.coalesce(c, F.lit(""))) for c in ("street", "number", "city")})
+    return parts.withColumn("bucket", bucket_for(country)(F.col("_street"), F.col("_number"), F.col("_city"))).drop("_street", "_number", "_city")
+
+
 def bucketed(pois: DataFrame, country: str = "italy") -> DataFrame:
     """POIs whose address ends in a number, with their bucket (E21); the others have no place in the index."""
     part = split_freeform(F.col("address"))
     rows = pois.withColumns({"street": part["street"], "number": part["number"]}).filter("number IS NOT NULL")
-    return rows.withColumn("bucket", bucket_for(country)(F.col("street"), F.col("number"), F.coalesce("city", F.lit(""))))
+    return with_bucket(rows, country)
 
 
 def _distance() -> Column:
@@ -55,8 +63,7 @@ def _distance() -> Column:
 
 def at_address(pois: DataFrame, anchors: DataFrame, country: str = "italy") -> DataFrame:
     """POIs in the bucket of each anchor (D08). anchors: anchor_id, street, number, city, a_lon, a_lat."""
-    key = bucket_for(country)(F.col("street"), F.col("number"), F.coalesce("city", F.lit("")))
-    wanted = anchors.filter("street IS NOT NULL AND number IS NOT NULL").select("anchor_id", "a_lon", "a_lat", key.alias("bucket"))
+    wanted = with_bucket(anchors.filter("street IS NOT NULL AND number IS NOT NULL"), country).select("anchor_id", "a_lon", "a_lat", "bucket")
     found = bucketed(pois, country).join(wanted, "bucket")
     return found.select("anchor_id", F.col("id").alias("poi_id"), F.lit("same-address").alias("relation"), _distance().alias("distance_m"))
 

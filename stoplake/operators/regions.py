@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def inherited(levels: DataFrame, key: str, item: str) -> DataFrame:
     """Items of all levels of each target; the deepest of an id wins (H03). levels: target, level, ..., item."""
-    one = Window.partitionBy(key, item).orderBy(F.desc("level"))
-    return levels.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
+    deepest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in levels.columns]), "level")
+    return levels.groupBy(F.col(key).alias("_t"), F.col(item).alias("_i")).agg(deepest.alias("_row")).select("_row.*")
 
 
 def resolved_scalars(levels: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -72,17 +72,30 @@ def rebuild_tier2(tier1: DataFrame) -> DataFrame:
     return typed.groupBy(*TIER2_KEY).agg(*merge())
 
 
+UPTO = [f"_upto{i}" for i in range(len(BINS))]
+
+
+def with_running_sums(tier: DataFrame) -> DataFrame:
+    """tier with the observations up to each bin as columns, each made from the one before."""
+    out = tier.withColumn(UPTO[0], F.col(BINS[0]))
+    for b, before, upto in zip(BINS[1:], UPTO, UPTO[1:]):
+        out = out.withColumn(upto, F.col(before) + F.col(b))
+    return out
+
+
 def quantile(q: float) -> Column:
-    """Linear interpolation within the bins; the outer bins are points; null without observations."""
-    total = sum((F.col(b) for b in BINS[1:]), F.col(BINS[0]))
+    """Linear interpolation within the bins; the outer bins are points; null without observations.
+
+    For rows of with_running_sums().
+    """
+    total = F.col(UPTO[-1])
     need = F.lit(min(max(q, 0.0), 1.0)) * total
     low = [BIN_EDGES_S[0], *BIN_EDGES_S]
     high = [*BIN_EDGES_S, BIN_EDGES_S[-1]]
-    out, before = F.when(total == 0, F.lit(None).cast("double")), F.lit(0).cast("long")
-    for b, lo, hi in zip(BINS, low, high):
-        upto = before + F.col(b)
-        out = out.when((F.col(b) > 0) & (upto >= need), F.lit(float(lo)) + F.lit(float(hi - lo)) * ((need - before) / F.col(b)))
-        before = upto
+    out = F.when(total == 0, F.lit(None).cast("double"))
+    for b, before, upto, lo, hi in zip(BINS, [None, *UPTO], UPTO, low, high):
+        ahead = F.col(before) if before else F.lit(0).cast("long")
+        out = out.when((F.col(b) > 0) & (F.col(upto) >= need), F.lit(float(lo)) + F.lit(float(hi - lo)) * ((need - ahead) / F.col(b)))
     return out
 
 
@@ -91,7 +104,7 @@ def readout(tier: DataFrame) -> DataFrame:
     keys = [c for c in tier.columns if c not in MOMENTS]
     n = F.col("n")
     rate = lambda x: F.when(n > 0, x / n)
-    return tier.select(*keys, "n", *[quantile(q).alias(f"p{int(100 * q)}_s") for q in (0.5, 0.85, 0.9)], rate(F.col("on_time_count")).alias("on_time_rate"), rate(F.col("sum_delay")).alias("mean_s"))
+    return with_running_sums(tier).select(*keys, "n", *[quantile(q).alias(f"p{int(100 * q)}_s") for q in (0.5, 0.85, 0.9)], rate(F.col("on_time_count")).alias("on_time_rate"), rate(F.col("sum_delay")).alias("mean_s"))
 
 
 def overview(tier2: DataFrame) -> DataFrame:

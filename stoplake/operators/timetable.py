@@ -9,13 +9,18 @@ from stoplake.functions.calendar import expand_bits
 from stoplake.functions.modes import route_type
 
 
+def complete_assignments(assignments: DataFrame) -> DataFrame:
+    """Assignments with a service and a period."""
+    return assignments.filter("service_id <> '' AND period_id <> ''")
+
+
 def service_dates(assignments: DataFrame, periods: DataFrame) -> DataFrame:
     """service_id and date of each valid day; duplicates across assignments stay.
 
     assignments: service_id, period_id; periods: period_id, from_date (date), bits. Rows with a missing
-    part are left out (C24).
+    part are left out.
     """
-    a = assignments.filter("service_id <> '' AND period_id <> ''")
+    a = complete_assignments(assignments)
     p = periods.filter("from_date IS NOT NULL AND bits <> ''")
     dates = a.join(p, "period_id").select("service_id", F.explode(expand_bits(F.col("from_date"), F.col("bits"))).alias("d"))
     return dates.select("service_id", F.date_format("d", "yyyyMMdd").alias("date"))

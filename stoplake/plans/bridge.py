@@ -58,9 +58,9 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forecast(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of the legs' grid with values from the id of the place and the hour."""
-    day = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("utc_date")).distinct().filter(F.substring("utc_date", 9, 2) == "15")
-    hours = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("utc_hour")
+    """Cells of the legs' grid with values from the id of the place and the hour: of each day the hours 1 to 9, others are missing."""
+    day = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("utc_date")).distinct()
+    hours = F.explode(F.sequence(F.lit(1), F.lit(9))).alias("utc_hour")
     cells = day.select("utc_date", hours).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(59))))
     n = F.col("s") + F.col("utc_hour") + F.substring("utc_date", 9, 2).cast("int")
     return cells.select(
@@ -73,7 +73,7 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
         ((n % 9) / F.lit(2.0)).alias("precip_mm"),
         F.when(n % 4 != 0, (n % 11).cast("double")).alias("uv"),
         F.when(n % 5 != 0, ((n * 7) % 60).cast("double")).alias("wind_kmh"),
-    ).distinct()
+    )  # 60 steps of 20 and 30 places are 60 cells
 
 
 def addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ SQL = {
     "fc": """fc AS (SELECT DISTINCT CAST(round((41.0::DOUBLE + (s % 20) / 16.0::DOUBLE) * 100) AS BIGINT) AS q_lat, CAST(round((12.0::DOUBLE + (s % 30) / 16.0::DOUBLE) * 100) AS BIGINT) AS q_lon,
   CAST(h AS INTEGER) AS utc_hour, utc_date, CAST(k % 50 - 8 AS DOUBLE) AS air_c, CASE WHEN k % 3 <> 0 THEN CAST(k % 50 - 10 AS DOUBLE) END AS felt_c,
   (k % 9) / 2.0::DOUBLE AS precip_mm, CASE WHEN k % 4 <> 0 THEN CAST(k % 11 AS DOUBLE) END AS uv, CASE WHEN k % 5 <> 0 THEN CAST((k * 7) % 60 AS DOUBLE) END AS wind_kmh
-  FROM (SELECT utc_date, h, s, s + h + CAST(substr(utc_date, 9, 2) AS INTEGER) AS k FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d') AS utc_date FROM lineitem) , range(24) hh(h), range(60) ss(s) WHERE substr(utc_date, 9, 2) = '15'))""",
+  FROM (SELECT utc_date, h, s, s + h + CAST(substr(utc_date, 9, 2) AS INTEGER) AS k FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d') AS utc_date FROM lineitem) , range(1, 10) hh(h), range(60) ss(s)))""",
     "addr": """addr AS (SELECT 'a:' || p_partkey AS id, CASE WHEN p_size % 10 <> 0 THEN 'Via ' || p_brand END AS street, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS VARCHAR) END AS number,
   CASE WHEN p_partkey % 4 <> 0 THEN n_name END AS postal_city, CAST(n_nationkey AS VARCHAR) AS postcode,
   12.0::DOUBLE + p_size / 64.0::DOUBLE AS lon, 41.5::DOUBLE + n_nationkey / 32.0::DOUBLE AS lat, p_partkey AS k FROM part JOIN nation ON p_partkey % 25 = n_nationkey)""",

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from stoplake.functions import weather as wx
 from stoplake.functions.geo import rounded
-from stoplake.functions.modes import PROFILES, co2_per_km, temperature_coefficient
+from stoplake.functions.modes import PROFILES, co2_per_km, profile_of, profile_weights_of, temperature_coefficient
 from stoplake.operators import itineraries as ops
+from stoplake.operators import reliability as rel
 from stoplake.plans import bridge
 from stoplake.plans.bridge import quantile_sql, with_sql
 from stoplake.plans.registry import query
@@ -31,13 +32,13 @@ RAMP = lambda x, full, worst: f"CASE WHEN {x} > 0 THEN least({x} / {full}::DOUBL
 BAD = f"""bad0 AS (SELECT *, {RAMP('precip_mm', 4, 0.9)} AS rain, coalesce({RAMP('uv', 8, 0.25)}, 0) AS u, coalesce({RAMP('wind_kmh', 40, 0.25)}, 0) AS w,
   CASE WHEN coalesce(felt_c, air_c) < 5 THEN least((5 - coalesce(felt_c, air_c)) / 10, 1) * 0.6::DOUBLE WHEN coalesce(felt_c, air_c) > 30 THEN least((coalesce(felt_c, air_c) - 30) / 8, 1) * 0.6::DOUBLE ELSE 0 END AS th FROM fc),
 bad AS (SELECT *, least(1, greatest(th, u, w) + (u + w) / 2) AS temp FROM bad0)"""
-PENALTY = f"""pen AS (SELECT plan_id, itin_idx, sum(rain * precip_s / 60 + temp * temp_s / 60) AS weather_penalty FROM cells JOIN bad USING (q_lat, q_lon, utc_hour, utc_date) GROUP BY ALL)"""
+PENALTY = f"""pen AS (SELECT plan_id, itin_idx, CAST(sum(CAST(rain * precip_s / 60 + temp * temp_s / 60 AS DECIMAL(28,9))) AS DOUBLE) AS weather_penalty FROM cells JOIN bad USING (q_lat, q_lon, utc_hour, utc_date) GROUP BY ALL)"""
 INDEX = bridge.SQL["ev"] + ", " + bridge.SQL["tier"]
-FACTORS = f"""idx AS (SELECT route_id AS r, direction_id AS d, stop_id AS s, round(sum(on_time_count) / sum(n) * 1e6) / 1e6 AS rate FROM t2 GROUP BY ALL),
-fac AS (SELECT plan_id, itin_idx, coalesce(avg(rate), 0.5) AS reliability, CAST(count(*) FILTER (is_transit) AS DOUBLE) AS transfers, coalesce(sum(duration_s) FILTER (mode = 'WALK' AND NOT is_transit), 0) AS walk_s,
+FACTORS = f"""idx AS (SELECT route_id AS r, direction_id AS d, stop_id AS s, sum(on_time_count) / sum(n) AS rate FROM t2 GROUP BY ALL),
+fac AS (SELECT plan_id, itin_idx, coalesce(CAST(sum(CAST(rate AS DECIMAL(34,15))) AS DOUBLE) / count(rate), 0.5) AS reliability, CAST(count(*) FILTER (is_transit) AS DOUBLE) AS transfers, coalesce(sum(duration_s) FILTER (mode = 'WALK' AND NOT is_transit), 0) AS walk_s,
   sum(CASE WHEN distance_m > 0 THEN ({CO2}) * (distance_m / 1000) ELSE 0 END) AS co2_g FROM keyed LEFT JOIN idx ON r = key_route AND d = key_direction AND s = key_stop GROUP BY ALL),
 raw AS (SELECT fac.*, coalesce(weather_penalty, 0) AS weather_penalty FROM fac LEFT JOIN pen USING (plan_id, itin_idx)),
-stable AS (SELECT plan_id, itin_idx, {', '.join(f'{R(c)} AS {c}' for c in ('reliability', 'transfers', 'walk_s', 'co2_g', 'weather_penalty'))} FROM raw)"""
+stable AS (SELECT plan_id, itin_idx, {', '.join(f'{R(c)} AS {c}' for c in ('reliability', 'transfers', 'walk_s', 'co2_g'))}, {R('weather_penalty', 3)} AS weather_penalty FROM raw)"""
 ALL = f"WITH {bridge.SQL['legs']}, {KEYED}, {SEGMENTS}, {bridge.SQL['fc']}, {BAD}, {PENALTY}, {INDEX}, {FACTORS}"
 
 
@@ -73,14 +74,19 @@ def penalty_single(spark, d):
     return ops.exposure(legs(spark, d)).select("plan_id", "itin_idx", rounded(ops.penalty(F.col("precip_s"), F.col("temp_s"), wx.precip_badness(x(9.0)), temp), 6).alias("penalty"))
 
 
-@query("join_weather_penalty", f"WITH {bridge.SQL['legs']}, {KEYED}, {SEGMENTS}, {bridge.SQL['fc']}, {BAD}, {PENALTY} SELECT plan_id, itin_idx, {R('coalesce(weather_penalty, 0)')} AS weather_penalty FROM (SELECT DISTINCT plan_id, itin_idx FROM legs) LEFT JOIN pen USING (plan_id, itin_idx)")
+@query("join_weather_penalty", f"WITH {bridge.SQL['legs']}, {KEYED}, {SEGMENTS}, {bridge.SQL['fc']}, {BAD}, {PENALTY} SELECT plan_id, itin_idx, {R('coalesce(weather_penalty, 0)', 3)} AS weather_penalty FROM (SELECT DISTINCT plan_id, itin_idx FROM legs) LEFT JOIN pen USING (plan_id, itin_idx)")
 def weather_penalty(spark, d):
-    return steady(ops.weather_penalty(legs(spark, d), bridge.forecast(spark, d)))
+    return thousandths(ops.weather_penalty(legs(spark, d), bridge.forecast(spark, d)))
+
+
+def thousandths(df):
+    """Penalties run to millions: in six decimals a double has no room for another order of factors."""
+    return df.withColumn("weather_penalty", rounded(F.col("weather_penalty"), 3))
 
 
 @query("agg_itinerary_factors", f"{ALL} SELECT * FROM stable")
 def factors(spark, d):
-    return steady(ops.factors(legs(spark, d), on_time_index(spark, d), ops.weather_penalty(legs(spark, d), bridge.forecast(spark, d))))
+    return thousandths(steady(ops.factors(legs(spark, d), rel.on_time_index(tier2(spark, d)), ops.weather_penalty(legs(spark, d), bridge.forecast(spark, d)))))
 
 
 BENEFIT = lambda c, up: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN {'' if up else '1 - '}({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0.5 END"
@@ -149,9 +155,15 @@ def weather_badness(spark, d):
     return steady(f.select("q_lat", "q_lon", "utc_hour", "utc_date", rain.alias("rain"), wx.thermal_badness(felt).alias("thermal"), wx.uv_badness(F.col("uv")).alias("uv"), wx.wind_badness(F.col("wind_kmh")).alias("wind"), temp.alias("temp"), wx.badness(rain, temp).alias("badness")))
 
 
-@query("scalar_profile_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)})" for k, v in PROFILES.items()) + ") t(profile, reliability, transfers, walk, eco, weather)")
+PROFILE_OF = "CASE o_orderpriority WHEN '1-URGENT' THEN 'reliability' WHEN '2-HIGH' THEN 'balanced' WHEN '3-MEDIUM' THEN 'eco' WHEN '4-NOT SPECIFIED' THEN 'comfort' ELSE 'fastest' END"
+WEIGHTS = "('reliability', 1.0, 0.0, 0.0, 0.0, 0.0), ('balanced', 1.0, 0.6, 0.4, 0.6, 0.5), ('eco', 0.3, 0.3, 0.2, 1.5, 0.2), ('comfort', 0.5, 1.2, 1.0, 0.2, 1.0)"
+
+
+@query("scalar_profile_weights", f"SELECT o_orderkey AS request, profile, a::DOUBLE AS reliability, b::DOUBLE AS transfers, c::DOUBLE AS walk, d::DOUBLE AS eco, e::DOUBLE AS weather FROM (SELECT o_orderkey, {PROFILE_OF} AS flag FROM orders) LEFT JOIN (VALUES {WEIGHTS}) t(profile, a, b, c, d, e) ON flag = profile")
 def profile_weights(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in PROFILES.items()], "profile string, reliability double, transfers double, walk double, eco double, weather double")
+    """Each order asks for a ranking by a flag; a flag that is not known has no profile."""
+    o = bridge.table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), F.expr(PROFILE_OF).alias("flag"))
+    return o.select("request", profile_of(F.col("flag")).alias("profile"), *[x.alias(n) for n, x in zip(("reliability", "transfers", "walk", "eco", "weather"), profile_weights_of(F.col("flag")))])
 
 
 @query("agg_tier2_cells_per_plan", f"WITH {bridge.SQL['legs']}, {KEYED}, {INDEX} SELECT plan_id, count(*) AS cells FROM keyed JOIN t2 ON t2.route_id = key_route AND t2.direction_id = key_direction AND t2.stop_id = key_stop GROUP BY ALL")

@@ -20,6 +20,7 @@ TYPES = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(repr(x) for x in short)})
 STREET = lambda x: TYPES.format(f"split_part({CLEAN(x)}, ' ', 1)") + f" || substr({CLEAN(x)}, length(split_part({CLEAN(x)}, ' ', 1)) + 1)"
 NUMBER = lambda x: f"CASE WHEN {CLEAN(x)} IN ('', 'snc') THEN '__snc__' ELSE replace(CASE WHEN {CLEAN(x)} LIKE '%rosso' THEN trim(regexp_replace({CLEAN(x)}, 'rosso$', '')) WHEN {CLEAN(x)} LIKE '% r' THEN regexp_replace({CLEAN(x)}, ' r$', '') ELSE {CLEAN(x)} END, ' ', '') END"
 RED = lambda x: f"({CLEAN(x)} LIKE '%rosso' OR {CLEAN(x)} LIKE '% r')"
+SQUASH = lambda x: f"trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 BUCKET = lambda s, n, c: f"{CLEAN(c)} || '|' || {STREET(s)} || '|' || {NUMBER(n)} || CASE WHEN {RED(n)} THEN '|rosso' ELSE '' END"
 SPLIT_S = "coalesce(nullif(regexp_extract(regexp_replace(trim(address), '[, ]+$', ''), '^(.*?)[ ,]+([0-9][^ ,]*)$', 1), ''), regexp_replace(trim(address), '[, ]+$', ''))"
 SPLIT_N = "nullif(regexp_extract(regexp_replace(trim(address), '[, ]+$', ''), '^(.*?)[ ,]+([0-9][^ ,]*)$', 2), '')"
@@ -95,13 +96,23 @@ def bbox_rows(spark, d):
 
 
 BOXES = ["12.1,41.6,12.9,42.2", " 12.1, 41.6 ,12.9,42.2", "12.9,41.6,12.1,42.2", "1,2,3", "a,b,c,d", "200,0,201,1", "", "0,0,0,1", "-10,-10,10,10"]
-BOX_ROWS = "bx(id, bbox) AS (VALUES " + ", ".join(f"({i}, '{b}')" for i, b in enumerate(BOXES)) + ")"
+#: Each supplier asks for a box: fixed ones, some of them wrong, and boxes about a place of its own.
+BOX_ROWS = "bx AS (SELECT CAST(s_suppkey AS INTEGER) AS id, CASE s_suppkey % 12 " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BOXES)) + " ELSE concat_ws(',', (s_suppkey % 200 - 10), (s_suppkey % 100 - 5), (s_suppkey % 200 - 8), (s_suppkey % 100 - 4)) END AS bbox FROM supplier)"
+
+
+def boxes(spark, d):
+    k = F.col("s_suppkey")
+    own = F.concat_ws(",", *[x.cast("string") for x in (k % 200 - 10, k % 100 - 5, k % 200 - 8, k % 100 - 4)])
+    fixed = F.get(F.array(*map(F.lit, BOXES)), (k % 12).cast("int"))
+    return bridge.table(spark, d, "supplier").select(k.cast("int").alias("id"), F.when(k % 12 < len(BOXES), fixed).otherwise(own).alias("bbox"))
+
+
 PARTS = "p AS (SELECT id, bbox, list_transform(string_split(bbox, ','), lambda x: try_cast(trim(x) AS DOUBLE)) AS v FROM bx)"
 
 
 @query("filter_parse_bbox", f"WITH {BOX_ROWS}, {PARTS} SELECT id, round((v[3] - v[1]) * (v[4] - v[2]) * 1e6) / 1e6 AS area FROM p WHERE len(v) = 4 AND v[1] BETWEEN -180 AND 180 AND v[3] BETWEEN -180 AND 180 AND v[2] BETWEEN -90 AND 90 AND v[4] BETWEEN -90 AND 90 AND v[1] < v[3] AND v[2] < v[4]")
 def bbox_parse(spark, d):
-    b = spark.createDataFrame(list(enumerate(BOXES)), "id int, bbox string").withColumn("p", parse_bbox(F.col("bbox")))
+    b = boxes(spark, d).withColumn("p", parse_bbox(F.col("bbox")))
     return b.filter("p IS NOT NULL").select("id", rounded(F.col("p.area_deg2"), 6).alias("area"))
 
 
@@ -111,8 +122,7 @@ def bbox_parse(spark, d):
     "SELECT id, error, CASE WHEN error IS NULL THEN least(id * 3, least(id * 10, 14)) END AS minzoom, CASE WHEN error IS NULL THEN least(id * 10, 14) END AS maxzoom FROM c",
 )
 def validate(spark, d):
-    b = spark.createDataFrame([(i, x, i * 3, i * 10) for i, x in enumerate(BOXES)], "id int, bbox string, minzoom int, maxzoom int")
-    return regions.validate_extract(b)
+    return regions.validate_extract(boxes(spark, d).withColumns({"minzoom": F.col("id") * 3, "maxzoom": F.col("id") * 10}))
 
 
 @query("scalar_haversine", f"{ADDR} SELECT id, round((2 * 6371000.0::DOUBLE * asin(least(1, sqrt(pow(sin(radians(lat - 41.9::DOUBLE) / 2), 2) + cos(radians(41.9::DOUBLE)) * cos(radians(lat)) * pow(sin(radians(lon - 12.5::DOUBLE) / 2), 2))))) * 100) / 100 AS m FROM addr")
@@ -134,10 +144,13 @@ def nearest_station(spark, d):
 
 
 ADDRESSES = [("V.le Trastevere", "12/A", "Roma"), ("P.za di Spagna", "12 bis", "ROMA"), ("C.so Vittorio", "1 rosso", "Roma"), ("L.go Argentina", "12/r", "Forlì"), ("V XX Settembre", "12r", "Roma"), ("Via Cavour", "snc", ""), ("borgo Pio", "", "Cefalù"), ("", "7", "X"), ("S. Pietro", "7-9", "L'Aquila")]
-ADDRESS_ROWS = "ar(street, number, city) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in ADDRESSES) + ")"
+#: Each customer has one of these, with its own street number where it is none.
+ADDRESS_ROWS = f"ar AS (SELECT c_custkey AS id, street || ' ' || c_nationkey AS street, number, city || c_mktsegment AS city FROM customer JOIN (VALUES " + ", ".join(f"({i}, " + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for i, r in enumerate(ADDRESSES)) + f") t(i, street, number, city) ON c_custkey % {len(ADDRESSES)} = i)"
 
 
-@query("scalar_address_buckets", f"WITH {ADDRESS_ROWS} SELECT street, number, city, {BUCKET('street', 'number', 'city')} AS italian FROM ar")
+@query("scalar_address_buckets", f"WITH {ADDRESS_ROWS} SELECT id, {BUCKET('street', 'number', 'city')} AS italian, {SQUASH('city')} || '|' || {SQUASH('street')} || '|' || {SQUASH('number')} AS generic FROM ar")
 def address_buckets(spark, d):
-    a = spark.createDataFrame(ADDRESSES, "street string, number string, city string")
-    return a.withColumn("italian", ad.italian_bucket(F.col("street"), F.col("number"), F.col("city")))
+    k = F.col("c_custkey") % len(ADDRESSES)
+    part = lambda i: F.get(F.array(*[F.lit(r[i]) for r in ADDRESSES]), k.cast("int"))
+    a = bridge.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(part(0), F.lit(" "), F.col("c_nationkey").cast("string")).alias("street"), part(1).alias("number"), F.concat(part(2), F.col("c_mktsegment")).alias("city"))
+    return ops.with_bucket(ops.with_bucket(a, "italy").withColumnRenamed("bucket", "italian"), "elsewhere").select("id", "italian", F.col("bucket").alias("generic"))

@@ -16,28 +16,32 @@ def days(spark, d):
     return bridge.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
 
 
-@query("scalar_tod_bucket", "SELECT h, CASE WHEN h < 0 THEN 'night' WHEN h <= 5 THEN 'early' WHEN h <= 8 THEN 'am-peak' WHEN h <= 14 THEN 'midday' WHEN h <= 18 THEN 'pm-peak' WHEN h <= 21 THEN 'evening' ELSE 'night' END AS tod FROM (SELECT CAST(x - 2 AS INTEGER) AS h FROM range(30) t(x))")
+@query("scalar_tod_bucket", "WITH hours AS (SELECT event_id, CAST(extract(hour FROM ts) AS INTEGER) + CAST(event_id % 5 AS INTEGER) - 2 AS h FROM events) SELECT event_id, h, CASE WHEN h < 0 THEN 'night' WHEN h <= 5 THEN 'early' WHEN h <= 8 THEN 'am-peak' WHEN h <= 14 THEN 'midday' WHEN h <= 18 THEN 'pm-peak' WHEN h <= 21 THEN 'evening' ELSE 'night' END AS tod FROM hours")
 def tod(spark, d):
-    h = spark.range(30).select((F.col("id") - 2).cast("int").alias("h"))
+    """Hours from -2 to 26: those of the events, moved by up to two."""
+    h = bridge.table(spark, d, "events").select("event_id", (F.hour("ts") + (F.col("event_id") % 5).cast("int") - 2).alias("h"))
     return h.withColumn("tod", cal.tod_bucket(F.col("h")))
 
 
-EASTER = {1992: "0420", 1993: "0412", 1994: "0404", 1995: "0417", 1996: "0408", 1997: "0331", 1998: "0413", 1999: "0405", 2000: "0424", 2024: "0401", 2025: "0421", 2026: "0406"}
-MONDAYS = ", ".join(f"'{y}{md}'" for y, md in EASTER.items())
+# Easter by the full moon's place in the lunar year, another way than the operator's
+EASTER = """moon AS (SELECT y, (y // 100) AS c, y % 19 AS g FROM yr), epact AS (SELECT y, c, g, (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30 AS h0 FROM moon),
+full_moon AS (SELECT y, c, h0 - (h0 // 28) * (1 - (h0 // 28) * (29 // (h0 + 1)) * ((21 - g) // 11)) AS i FROM epact),
+monday AS (SELECT y, make_date(y, 3, 28) + CAST(i - (y + y // 4 + i + 2 - c + c // 4) % 7 AS INTEGER) + 1 AS m FROM full_moon)"""
 
 
 @query(
     "scalar_day_type",
-    f"WITH {DAYS}, y AS (SELECT strftime(d, '%Y%m%d') AS ymd, d FROM dy) SELECT ymd, CASE WHEN strftime(d, '%m-%d') IN ('01-01','01-06','04-25','05-01','06-02','08-15','11-01','12-08','12-25','12-26') OR ymd IN ({MONDAYS}) OR isodow(d) = 7 THEN 'sunday-holiday' WHEN isodow(d) = 6 THEN 'saturday' ELSE 'weekday' END AS day_type FROM y WHERE year(d) BETWEEN 1992 AND 2000",
+    f"WITH {DAYS}, yr AS (SELECT DISTINCT year(d) AS y FROM dy), {EASTER}, y AS (SELECT strftime(d, '%Y%m%d') AS ymd, d FROM dy) SELECT ymd, CASE WHEN strftime(d, '%m-%d') IN ('01-01','01-06','04-25','05-01','06-02','08-15','11-01','12-08','12-25','12-26') OR d IN (SELECT m FROM monday) OR isodow(d) = 7 THEN 'sunday-holiday' WHEN isodow(d) = 6 THEN 'saturday' ELSE 'weekday' END AS day_type FROM y",
 )
 def day_type(spark, d):
-    y = days(spark, d).filter(F.year("d").between(1992, 2000)).select(F.date_format("d", "yyyyMMdd").alias("ymd"))
+    y = days(spark, d).select(F.date_format("d", "yyyyMMdd").alias("ymd"))
     return y.withColumn("day_type", cal.day_type(F.col("ymd")))
 
 
-@query("scalar_easter_monday", "SELECT * FROM (VALUES " + ", ".join(f"({y}, '{y}{md}')" for y, md in EASTER.items()) + ") t(y, monday)")
+@query("scalar_easter_monday", f"WITH yr AS (SELECT DISTINCT CAST(1583 + o_orderkey % 1500 AS INTEGER) AS y FROM orders), {EASTER} SELECT CAST(y AS INTEGER) AS y, strftime(m, '%Y%m%d') AS monday FROM monday")
 def easter(spark, d):
-    y = spark.createDataFrame([(k,) for k in EASTER], "y int")
+    """Of the years from 1583 that the orders' keys stand for."""
+    y = bridge.table(spark, d, "orders").select((1583 + F.col("o_orderkey") % 1500).cast("int").alias("y")).distinct()
     return y.select("y", F.date_format(F.date_add(cal.easter_sunday(F.col("y")), 1), "yyyyMMdd").alias("monday"))
 
 
@@ -83,9 +87,9 @@ def netex_id(spark, d):
     return bridge.table(spark, d, "part").select(k.alias("k"), keys.netex_id(raw).alias("id"))
 
 
-@query("scalar_slug", "SELECT doc_id, trim(regexp_replace(translate(lower(substr(text, 1, 80)), 'àáâèéêìíòóùú', 'aaaeeeiioouu'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("scalar_slug", "SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), 'àáâèéêìíòóùú', 'aaaeeeiioouu'), '[^a-z0-9]+', '-', 'g'), '-')) AS slug FROM documents")
 def slug(spark, d):
-    return bridge.table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 80)).alias("slug"))
+    return bridge.table(spark, d, "documents").select("doc_id", F.md5(text.slug(F.col("text"))).alias("slug"))
 
 
 @query("scalar_strip_html", r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]*(>|$)|>', '', 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM pages")

@@ -39,5 +39,5 @@ def ship_package(spark: SparkSession) -> None:
     path = os.path.join(tempfile.mkdtemp(prefix="stoplake-src-"), "stoplake_src.zip")
     with open(path, "wb") as out:
         out.write(held.getvalue())
-    sc.addPyFile(path)  # Spark's own file server hands it to every executor
+    sc.addPyFile(path)  # Spark hands it to every executor
     sc._stoplake_shipped = True

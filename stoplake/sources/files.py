@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stoplake.functions.keys import parse_tier1_key, split_stop_key
+
 POI = "id string, name string, category string, address string, city string, brand_wikidata string, lon double, lat double"
 EVENT = "route_id string, direction_id int, stop_id string, service_date string, delay_s int, feed_hour int"
 STOP_ID = "struct<gtfsId: string>"
@@ -85,19 +87,59 @@ def read_region(directory: str, target: str) -> list[dict]:
 
 
 def read_netex(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The element types of a timetable document as tables, one scan for each (A03); .gz is read as well."""
-    ref = lambda name: f"{name} struct<_ref: string>"
+    """The element types of a timetable document as tables, one scan for each (A03, A04, P19); .gz is read as well."""
+    ref = "struct<_ref: string>"
+    points = f"struct<_id: string, _order: int, ScheduledStopPointRef: {ref}>"
+    times = f"struct<StopPointInJourneyPatternRef: {ref}, ArrivalTime: string, DepartureTime: string>"
     schemas = {
-        "Line": "_id string, Name string, ShortName string, PublicCode string, TransportMode string",
+        "Operator": "_id string, Name string",
+        "Line": "_id string, Name string, ShortName string, TransportMode string",
         "ScheduledStopPoint": "_id string, Name string, Location struct<Longitude: double, Latitude: double>",
+        "DayType": "_id string, properties struct<PropertyOfDay: struct<DaysOfWeek: string>>",
         "UicOperatingPeriod": "_id string, FromDate string, ToDate string, ValidDayBits string",
-        "DayTypeAssignment": f"_id string, {ref('OperatingPeriodRef')}, {ref('UicOperatingPeriodRef')}, {ref('DayTypeRef')}",
-        "ServiceJourneyPattern": f"_id string, {ref('LineRef')}, pointsInSequence struct<StopPointInJourneyPattern: array<struct<_id: string, _order: int, {ref('ScheduledStopPointRef')[len('ScheduledStopPointRef ') :] and 'ScheduledStopPointRef: struct<_ref: string>'}>>>",
-        "ServiceJourney": f"_id string, {ref('LineRef')}, dayTypes struct<DayTypeRef: struct<_ref: string>>, {ref('ServiceJourneyPatternRef')}, passingTimes struct<TimetabledPassingTime: array<struct<StopPointInJourneyPatternRef: struct<_ref: string>, ArrivalTime: string, DepartureTime: string>>>",
+        "DayTypeAssignment": f"_id string, OperatingPeriodRef {ref}, DayTypeRef {ref}",
+        "ServiceJourneyPattern": f"_id string, pointsInSequence struct<StopPointInJourneyPattern: array<{points}>>",
+        "ServiceJourney": f"_id string, Name string, ValidBetween struct<FromDate: string, ToDate: string>, LineRef {ref}, FlexibleLineView struct<LineRef: {ref}>, dayTypes struct<DayTypeRef: array<{ref}>>, passingTimes struct<TimetabledPassingTime: array<{times}>>",
     }
     return {tag: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema).load(path) for tag, schema in schemas.items()}
 
 
+BINS = 13
+TIER = "map<string, struct<count: long, sum_delay: long, sum_delay_sq: decimal(38,0), min: int, max: int, on_time_count: long, hist: struct<bins: array<long>>>>"
+#: Fixed value: a stored Tier-2 map beyond this is taken as damaged.
+TIER2_MAX_BYTES = 16 * 1024 * 1024
+
+
+def tier_map(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Aggregates by key of JSON maps in a binaryFile DataFrame (A17-A19); one that cannot be read, or is larger than max_bytes, is empty."""
+    sound = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    rows = sound.select(F.explode(F.from_json(F.decode("content", "UTF-8"), TIER)).alias("key", "a"))
+    a = lambda c: F.col(f"a.{c}")
+    bins = [F.coalesce(F.get(a("hist.bins"), F.lit(i)), F.lit(0)).cast("long").alias(f"b{i}") for i in range(BINS)]
+    return rows.select("key", a("count").alias("n"), a("sum_delay").alias("sum_delay"), a("sum_delay_sq").alias("sum_delay_sq"), a("min").alias("min_delay"), a("max").alias("max_delay"), a("on_time_count").alias("on_time_count"), *bins)
+
+
+def read_tier1(spark: SparkSession, path: str) -> DataFrame:
+    """Tier-1 rows of stored JSON maps (A17, A19); keys that are none are left out, and a missing path gives no rows."""
+    rows = tier_map(_binary(spark, path)).withColumn("k", parse_tier1_key(F.col("key"))).filter("k IS NOT NULL")
+    return rows.select("k.*", *[c for c in rows.columns if c not in ("key", "k")])
+
+
+def read_tier2(spark: SparkSession, path: str, max_bytes: int = TIER2_MAX_BYTES) -> DataFrame:
+    """Tier-2 rows of a stored JSON map (A18, A19); bounded, and as forgiving as read_tier1()."""
+    rows = tier_map(_binary(spark, path), max_bytes).withColumn("k", split_stop_key(F.col("key"))).filter("k IS NOT NULL")
+    part = lambda i: F.get(F.split("key", "/"), i)
+    return rows.select("k.*", part(3).alias("tod"), part(4).alias("day_type"), *[c for c in rows.columns if c not in ("key", "k")])
+
+
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    if not there:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").load(path)
+
+
 def boards(docs: DataFrame, kind: str) -> DataFrame:
     """Entries of live boards (C19). docs: station, body (a JSON array); kind: departures or arrivals."""
     way = "Partenza" if kind == "departures" else "Arrivo"

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from stoplake.session import ship_package
+
 SCHEMA = "entity string, route_id string, start_date string, direction_id int, stop_id string, departure_delay int, arrival_delay int, trip_delay int, header_ts long"
 
 
@@ -78,7 +80,8 @@ def flatten(raw: bytes) -> list[tuple]:
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """Rows of feeds in a binaryFile DataFrame, batch or stream; a feed that cannot be read gives none."""
+    """Rows of feeds in a binaryFile DataFrame, batch or stream; a feed that cannot be read gives none: see unreadable()."""
+    ship_package(files.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
@@ -96,5 +99,22 @@ def decode(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(work, SCHEMA)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """path of each feed in a binaryFile DataFrame that cannot be read."""
+    ship_package(files.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    flatten(raw)
+                except (ValueError, IndexError, TypeError):
+                    bad.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["path"])
+
+    return files.select("path", "content").mapInArrow(work, "path string")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return decode(spark.read.format("binaryFile").load(path))

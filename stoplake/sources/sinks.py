@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
+import shutil
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Headers of a feed's members.
 MEMBERS = {
@@ -13,7 +16,7 @@ MEMBERS = {
     "stops": ("stop_id", "stop_name", "stop_lat", "stop_lon"),
     "routes": ("route_id", "agency_id", "route_short_name", "route_long_name", "route_type"),
     "calendar_dates": ("service_id", "date", "exception_type"),
-    "trips": ("route_id", "service_id", "trip_id", "shape_id"),
+    "trips": ("route_id", "service_id", "trip_id", "trip_headsign", "shape_id"),
     "stop_times": ("trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence"),
     "shapes": ("shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence"),
 }
@@ -29,25 +32,64 @@ def replace_dates(tier1: DataFrame, path: str) -> None:
     tier1.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path)
 
 
-def feed_archive(members: dict[str, DataFrame]) -> bytes:
-    """A timetable feed as a zip (B04). Members are brought to the driver: a feed is one file for one client.
+def tier_map(tier: DataFrame, key: Column) -> DataFrame:
+    """A JSON map of aggregates by key, as one text (B02). A stored map is one document for one reader, bounded by its keys."""
+    hist = F.struct(F.array(*[F.col(f"b{i}") for i in range(13)]).alias("bins"))
+    one = F.struct(F.col("n").alias("count"), "sum_delay", "sum_delay_sq", F.col("min_delay").alias("min"), F.col("max_delay").alias("max"), "on_time_count", hist.alias("hist"))
+    rows = tier.select(F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), F.to_json(one)).alias("x"))
+    return rows.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("x")), ","), F.lit("}")).alias("value"))
 
-    Rows are sorted by all columns; shapes is left out when it is empty.
+
+def write_atomic(path: str, content: bytes) -> None:
+    """Replace a local file as a whole: readers see the old one or the new one."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    held = f"{path}.{os.getpid()}.tmp"
+    with open(held, "wb") as f:
+        f.write(content)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(held, path)
+
+
+def append_lines(path: str, more: str) -> None:
+    """Append a file of lines to another, which gets a line end first if it lacks one (B10); in blocks, never as a whole."""
+    with open(path, "r+b") as base, open(more, "rb") as extra:
+        size = base.seek(0, os.SEEK_END)
+        base.seek(max(size - 1, 0))
+        if base.read(1) != b"\n":
+            base.write(b"\n")
+        shutil.copyfileobj(extra, base)
+
+
+def places_file(places: DataFrame, path: str) -> None:
+    """Addressed places as JSON lines (B08); fields without a value are left out."""
+    places.select("id", "name", "category", "address", "city", "brand_wikidata", "lon", "lat").write.mode("overwrite").json(path)
+
+
+def feed_archive(members: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Write a timetable feed as a zip and give the rows of each member.
+
+    Rows are sorted by all columns and streamed into the archive, one partition at a time. Without shapes
+    there is neither that member nor the column of trips that names them. Calendar rows count services.
     """
     import csv
 
-    held = io.BytesIO()
+    counts: dict[str, int] = {}
+    shapes = "shapes" in members and not members["shapes"].isEmpty()
+    held = f"{path}.{os.getpid()}.tmp"
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for name, header in MEMBERS.items():
-            if name not in members:
+            if name not in members or name == "shapes" and not shapes:
                 continue
-            rows = members[name].select(*header).orderBy(*header).toLocalIterator()
-            text = io.StringIO()
-            out = csv.writer(text, lineterminator="\n")
-            n = 0
-            out.writerow(header)
-            for n, row in enumerate(rows, 1):
-                out.writerow(["" if v is None else v for v in row])
-            if n or name != "shapes":
-                z.writestr(f"{name}.txt", text.getvalue())
-    return held.getvalue()
+            header = tuple(c for c in header if c != "shape_id" or shapes)
+            n, ids = 0, set()
+            with z.open(f"{name}.txt", "w") as raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
+                out = csv.writer(text, lineterminator="\n")
+                out.writerow(header)
+                for n, row in enumerate(members[name].select(*header).orderBy(*header).toLocalIterator(prefetchPartitions=True), 1):
+                    out.writerow(["" if v is None else v for v in row])
+                    if name in ("calendar_dates", "shapes"):
+                        ids.add(row[0])
+            counts["services" if name == "calendar_dates" else name] = len(ids) if ids else n
+    os.replace(held, path)
+    return counts

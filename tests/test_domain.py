@@ -1,15 +1,16 @@
 """Literal cases of the domain: aggregates, calendar, itineraries, addresses, sources, streaming, geometry."""
 
+import gzip
 import json
 import zipfile
-from io import BytesIO
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stoplake.functions import address, calendar, keys, text
-from stoplake.operators import geometry, itineraries, places, reliability
+from stoplake.operators import feed as feeds
+from stoplake.operators import geometry, itineraries, lines, places, regions, reliability
 from stoplake.sources import files, gtfs_rt, sinks
 from stoplake.streaming import ingest
 
@@ -87,7 +88,7 @@ def test_bad_tokens(spark):
 
 
 def test_addresses(spark):
-    bucket = lambda s, n, c="Roma": one(spark, address.italian_bucket(F.lit(s), F.lit(n), F.lit(c)))
+    bucket = lambda s, n, c="Roma": one(spark, address.italian_bucket(*[address.clean(F.lit(x)) for x in (s, n, c)]))
     assert bucket("Via Cavour", "1") == bucket("V. Cavour", "1") == "roma|via cavour|1"
     assert bucket("V.le Trastevere", "12/A").endswith("viale trastevere|12a") and bucket("X", "12 bis").endswith("|12bis")
     assert bucket("X", "1 rosso").endswith("1|rosso") and bucket("X", "12/r").endswith("12|rosso") and bucket("X", "12r").endswith("|12r") and bucket("X", "snc").endswith("|__snc__")
@@ -190,11 +191,135 @@ def test_expiry(spark):
     assert reliability.expired_dates(d, "nonsense").collect() == []
 
 
-def test_feed_archive(spark):
-    trips = spark.createDataFrame([("r", "s", "t,1", "")], "route_id string, service_id string, trip_id string, shape_id string")
+def test_feed_archive(spark, tmp_path):
+    trips = spark.createDataFrame([("r", "s", "t,1", "to \"B\"", "")], "route_id string, service_id string, trip_id string, trip_headsign string, shape_id string")
     shapes = spark.createDataFrame([], "shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int")
-    with zipfile.ZipFile(BytesIO(sinks.feed_archive({"trips": trips, "shapes": shapes}))) as z:
-        assert z.namelist() == ["trips.txt"] and z.read("trips.txt").decode() == 'route_id,service_id,trip_id,shape_id\nr,s,"t,1",\n'
+    path = str(tmp_path / "feed.zip")
+    assert sinks.feed_archive({"trips": trips, "shapes": shapes}, path) == {"trips": 1}
+    with zipfile.ZipFile(path) as z:
+        assert z.namelist() == ["trips.txt"] and z.read("trips.txt").decode() == 'route_id,service_id,trip_id,trip_headsign\nr,s,"t,1","to ""B"""\n'
+
+
+def timetable_xml():
+    """A document with one good trip, and one each of whatever must be left out."""
+    point = lambda i, name, at: f'<ScheduledStopPoint id="IT:X:Stop:{i}"><Name> {name} </Name>{at}</ScheduledStopPoint>'
+    spot = "<Location><Longitude>12.5</Longitude><Latitude>41.9</Latitude></Location>"
+    step = lambda i, stop: f'<StopPointInJourneyPattern order="{i}" id="IT:X:P:{i}"><ScheduledStopPointRef ref="IT:X:Stop:{stop}"/></StopPointInJourneyPattern>'
+    time = lambda i, *parts: f'<TimetabledPassingTime><StopPointInJourneyPatternRef ref="IT:X:P:{i}"/>{"".join(parts)}</TimetabledPassingTime>'
+    a, d = (lambda x: f"<ArrivalTime>{x}</ArrivalTime>"), (lambda x: f"<DepartureTime>{x}</DepartureTime>")
+    valid = "<ValidBetween><FromDate>2026-04-21T00:00:00</FromDate><ToDate>2026-04-28T23:59:59</ToDate></ValidBetween>"
+    trip = lambda i, line, day, times: f'<ServiceJourney id="IT:X:J:{i}">{valid}<Name>to &amp; fro</Name><DepartureTime>13:05:00</DepartureTime><dayTypes><DayTypeRef ref="IT:X:D:{day}"/></dayTypes><FlexibleLineView><LineRef ref="IT:X:L:{line}"/></FlexibleLineView><passingTimes>{times}</passingTimes></ServiceJourney>'
+    times = time(1, d("13:05:00")) + time(2, a("14:30:00"), d("14:31:00")) + time(3, a("15:00:00")) + time(4, d("15:30:00")) + time(1) + time(9, a("16:00:00"))
+    assign = lambda p, day: f'<DayTypeAssignment id="A"><OperatingPeriodRef ref="IT:X:U:{p}"/><DayTypeRef ref="IT:X:D:{day}"/></DayTypeAssignment>'
+    return (
+        '<D xmlns="http://www.netex.org.uk/netex"><Operator id="O"><Name>BUSLINE</Name></Operator>'
+        '<Line id="IT:X:L:1"><Name>Long, name</Name><ShortName>R1</ShortName><TransportMode>rail</TransportMode></Line>'
+        + point("a", "Alpha", spot) + point("b", "Beta", spot) + point("c", "No place", "")
+        + f'<ServiceJourneyPattern id="Q"><pointsInSequence>{step(1, "a")}{step(2, "b")}{step(3, "c")}{step(4, "gone")}</pointsInSequence></ServiceJourneyPattern>'
+        + '<DayType id="IT:X:D:1"><properties><PropertyOfDay><DaysOfWeek>Monday Friday</DaysOfWeek></PropertyOfDay></properties></DayType>'
+        + '<UicOperatingPeriod id="IT:X:U:1"><FromDate>2026-04-21T00:00:00.000+02:00</FromDate><ValidDayBits>11010</ValidDayBits></UicOperatingPeriod>'
+        + '<UicOperatingPeriod id="IT:X:U:2"><FromDate>2026-04-21T00:00:00</FromDate><ValidDayBits>000</ValidDayBits></UicOperatingPeriod>'
+        + assign(1, 1) + assign(2, 2) + assign(7, 3)
+        + trip("t1", 1, 1, times) + trip("t2", 9, 1, times) + trip("t3", 1, 2, times) + "</D>"
+    )
+
+
+@pytest.mark.parametrize("gz", [False, True])
+def test_timetable_to_feed(spark, tmp_path, gz):
+    path = tmp_path / ("x.xml.gz" if gz else "x.xml")
+    path.write_bytes(gzip.compress(timetable_xml().encode()) if gz else timetable_xml().encode())
+    t = feeds.tables(files.read_netex(spark, str(path)))
+    shapes = spark.createDataFrame([("1", [(12.0, 41.0), (12.5, 41.5)]), ("2", [(1.0, 2.0)])], "line_id string, points array<struct<lon: double, lat: double>>")
+    assert t["days"].first().days == "Monday Friday"
+    out = str(tmp_path / "feed.zip")
+    counts = sinks.feed_archive(feeds.members(t), out)
+    assert counts == {"agency": 1, "stops": 2, "routes": 1, "services": 1, "trips": 1, "stop_times": 3}
+    with zipfile.ZipFile(out) as z:
+        lines = {n: z.read(n).decode().splitlines()[1:] for n in z.namelist()}
+    assert lines["agency.txt"] == ["FL,BUSLINE,https://www.trenitalia.com,Europe/Rome,it"]
+    assert lines["stops.txt"] == ["a,Alpha,41.9,12.5", "b,Beta,41.9,12.5"]
+    assert lines["routes.txt"] == ['1,FL,R1,"Long, name",2']
+    assert lines["calendar_dates.txt"] == ["1,20260421,1", "1,20260422,1", "1,20260424,1"]
+    assert lines["trips.txt"] == ["1,1,t1,to & fro"]
+    assert lines["stop_times.txt"] == ["t1,13:05:00,13:05:00,a,1", "t1,14:30:00,14:31:00,b,2", "t1,15:00:00,15:00:00,c,3"]
+    if not gz:
+        assert sinks.feed_archive(feeds.members(t, shapes=shapes), out)["shapes"] == 1
+        with zipfile.ZipFile(out) as z:
+            assert z.read("shapes.txt").decode().splitlines()[1:] == ["1,41.0,12.0,0", "1,41.5,12.5,1"] and z.read("trips.txt").decode().splitlines()[1] == "1,1,t1,to & fro,1"
+
+
+def test_stored_tiers(spark, tmp_path):
+    t2 = tier(spark, [-60, 0, 300, 600], stop="s.1/x")
+    key = keys.tier2_key(F.col("route_id"), F.col("direction_id"), F.col("stop_id"), F.col("tod"), F.col("day_type"))
+    path = str(tmp_path / "tiers" / "tier2.json")
+    sinks.write_atomic(path, sinks.tier_map(t2, key).first().value.encode())
+    back = files.read_tier2(spark, path)
+    assert [back.schema[c].dataType for c in t2.columns] == [t2.schema[c].dataType for c in t2.columns]
+    assert back.select(*t2.columns).collect() == t2.collect()
+    assert reliability.on_time_index(back).collect() == reliability.on_time_index(t2).collect()
+    assert reliability.typical_delay_index(back).collect() == reliability.typical_delay_index(t2).collect()
+    assert files.read_tier2(spark, path, max_bytes=10).collect() == files.read_tier2(spark, str(tmp_path / "none.json")).collect() == []
+    sinks.write_atomic(path, b"{broken")
+    assert files.read_tier2(spark, path).collect() == [] and len(list((tmp_path / "tiers").iterdir())) == 1
+    sinks.write_atomic(path, b'{"R/0/1/20260629/midday": {"count": 2, "sum_delay": 5}, "junk": {"count": 1}}')
+    (r,) = files.read_tier1(spark, path).collect()
+    assert (r.route_id, r.service_date, r.tod, r.n, r.sum_delay, r.b0) == ("R", "20260629", "midday", 2, 5, 0)
+
+
+def test_line_files(spark, tmp_path):
+    base, more = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    more.write_text("3\n")
+    for start in ("1\n2", "1\n2\n"):
+        base.write_text(start)
+        sinks.append_lines(str(base), str(more))
+        assert base.read_text() == "1\n2\n3\n"
+    p = spark.createDataFrame([("i", "n", "c", "a", None, None, 1.0, 2.0)], "id string, name string, category string, address string, city string, brand_wikidata string, lon double, lat double")
+    sinks.places_file(p, str(tmp_path / "places"))
+    assert files.read_pois(spark, str(tmp_path / "places")).select(*p.columns).collect() == p.collect()
+
+
+def test_keys_tokens_and_names(spark):
+    parsed = one(spark, keys.parse_tier1_key(F.lit("R+2F1/0/S/20260629/midday")))
+    assert (parsed.route_id, parsed.stop_id, parsed.tod) == ("R/1", "S", "midday") and one(spark, keys.parse_tier1_key(F.lit("a/b"))) is None
+    assert [one(spark, calendar.valid_token(F.lit(x), calendar.TOD_TOKENS)) for x in ("night", "noon")] == ["night", None]
+    assert [one(spark, text.exit_name(F.lit(a).cast("string"), F.lit(b).cast("string"))) for a, b in (("N", "1"), (None, "2"), (None, None))] == ["N", "Uscita 2", "Uscita"]
+    channels = F.array(F.struct(F.lit("alerts").alias("channel"), F.lit("u1").alias("url")), F.struct(F.lit("trip-updates").alias("channel"), F.lit("u2").alias("url")))
+    assert one(spark, regions.realtime_url(channels, "trip-updates")) == "u2" and one(spark, regions.realtime_url(channels, "none")) is None
+    assert [one(spark, regions.extent(F.lit(a), F.lit("b"))) for a in ("", "a")] == ["b", "a"]
+    r = spark.range(1).select(*regions.artifact_names(F.lit("italy/lazio/rome"), F.lit("rome"))).first()
+    assert tuple(r) == ("italy", "rome.pmtiles", "italy-lazio-rome.osm.pbf")
+
+
+def test_region_files(spark, tmp_path):
+    for path, body in (("italy", 'name = "Italy"'), ("italy/lazio", 'name = "Lazio"')):
+        (tmp_path / path).mkdir(parents=True)
+        (tmp_path / path / "region.toml").write_text(body)
+    got = files.read_region(str(tmp_path), "italy/lazio")
+    assert [(r["level"], r["path"], r["name"]) for r in got] == [(0, "italy", "Italy"), (1, "italy/lazio", "Lazio")]
+    n = spark.createDataFrame([("italy/lazio/rome", "italy/lazio")], "path string, parent string")
+    assert [r.path for r in regions.ancestry(n).orderBy("level").collect()] == ["italy", "italy/lazio", "italy/lazio/rome"]
+
+
+def test_route_of_relation(spark):
+    rels = spark.createDataFrame([(1, "A", None), (2, "x", "Line B"), (3, "", "")], "rel_id long, ref string, name string")
+    routes = spark.createDataFrame([("r1", "A"), ("r2", "Line B"), ("r3", "")], "route_id string, short_name string")
+    assert {r.rel_id: r.route_id for r in lines.route_for_relation(rels, routes).collect()} == {1: "r1", 2: "r2", 3: None}
+
+
+def test_gtfs_routes(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("routes.txt", "\ufeffroute_id,route_short_name,route_type,route_color\nr1,8,0,00FF00\nr2,8,0,\nr3,64,3,\nr4,,0,\n")
+    assert [tuple(r) for r in files.read_gtfs_routes(spark, str(tmp_path / "f.zip")).collect()] == [("8", "r2", "0", "")]
+
+
+def test_events_read_softly_and_windowed_fold(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"route_id":"R","direction_id":0,"stop_id":"1","service_date":"20260629","delay_s":8}\nbroken\n')
+    e = files.read_events(spark, str(tmp_path / "e.jsonl"))
+    assert [(r.stop_id, r.feed_hour) for r in e.collect()] == [("1", 12)]
+    stream = spark.readStream.schema(EVENT).json(str(tmp_path))
+    q = ingest.windowed_fold(stream.filter("stop_id IS NOT NULL")).writeStream.format("memory").queryName("folded").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.stop_id, r.n, r.tod) for r in spark.table("folded").collect()] == [("1", 1, "midday")] or [(r.stop_id, r.n) for r in spark.table("folded").collect()] == [("1", 1)]
 
 
 def test_netex_tables(spark, tmp_path):
@@ -224,6 +349,18 @@ def test_stitching(spark):
     assert [r.lon for r in rows] in ([0.0, 1.0, 2.0], [2.0, 1.0, 0.0])
 
 
+def test_stitching_takes_the_first_way_that_fits_either_end():
+    # a Y: the last way takes a at its head first; c then stands in a's place, before b
+    a, b, c, d = [(0.0, 0.0), (1.0, 0.0)], [(5.0, 0.0), (2.0, 0.0)], [(2.0, 0.0), (2.0, 3.0)], [(1.0, 0.0), (2.0, 0.0)]
+    assert geometry.chain([a, b, c, d]) == [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 3.0)]
+    assert geometry.chain([[(0.0, 0.0), (0.0, 0.0)]]) == []
+
+
+def test_unreadable_feeds(spark):
+    f = spark.createDataFrame([("good", b""), ("bad", b"\x0b\xff")], "path string, content binary")
+    assert [r.path for r in gtfs_rt.unreadable(f).collect()] == ["bad"] and gtfs_rt.decode(f).collect() == []
+
+
 def test_rings(spark):
     square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
     assert geometry.area(square) == 10_000 and geometry.covers(square, (50, 50)) and geometry.covers(square, (0, 50)) and not geometry.covers(square, (101, 50))
