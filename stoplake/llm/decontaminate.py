@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import prepare, texts_of
+from stoplake.llm.common import prepare
 
 WINDOW, COVER_PER_100, BLOCK_WINDOWS = 8, 50, 2_000_000
 #: Share of an item's slots that must be consistent, and of plain words by which a template window counts by itself.
@@ -47,8 +48,10 @@ NO_NAMES = frozenset(
     "i if in is it its let many most much my no not of on one or our she so some such than that the their then there these they this those to two was we were what "
     "when where which while who whom whose why will with would you your".split()
 )
-EDGES = string.punctuation + "«»“”‘’„…¿¡—–"
+EDGES = string.punctuation + "«»“”‘’„…¿¡—–\ue000"
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x1F3A5B7C9D1E2F31, 0x2F3A5B7C9D1E2F33, 0x3F3A5B7C9D1E2F35))
+#: A word that stands for a line break; kinds of words that are nothing but punctuation, or empty.
+BREAK, NOTHING, EMPTY = "\ue000", 4, 5
 #: Kinds of windows: plain words, a template that counts by itself, and one that only says where to compare.
 EXACT, FRAME, SEED = range(3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +68,7 @@ class Canon:
     def clear(self) -> None:
         self.at.clear()
         self.plain = np.zeros(1024, np.uint64)  # hash of the word in lower case
-        self.kind = np.zeros(1024, np.int8)  # 0 word, 1 number, 2 capitalised, 3 unit, 4 nothing but punctuation
+        self.kind = np.zeros(1024, np.int8)  # 0 word, 1 number, 2 capitalised, 3 unit, NOTHING, EMPTY
         self.ends = np.zeros(1024, bool)  # a sentence ends with it
         self.open = np.zeros(1024, bool)  # a name, if it is one at the start of a sentence
 
@@ -77,42 +80,52 @@ class Canon:
             self.plain, self.kind, self.ends, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.kind, self.ends, self.open))
         bare = word.strip(EDGES)
         low = bare.lower()
-        kind = 4 if not bare else 1 if NUMBER.fullmatch(bare) else 2 if bare[0].isupper() and not bare.isupper() else 3 if low in UNITS else 0
+        kind = (EMPTY if not word else NOTHING) if not bare else 1 if NUMBER.fullmatch(bare) else 2 if bare[0].isupper() and not bare.isupper() else 3 if low in UNITS else 0
         self.plain[k] = xxhash.xxh3_64_intdigest(low)
         self.kind[k] = kind
-        self.ends[k] = word.rstrip("\"')”»")[-1:] in (".", "!", "?", ":")
+        self.ends[k] = word == BREAK or word.rstrip("\"')”»")[-1:] in (".", "!", "?", ":")
         self.open[k] = kind == 2 and low not in self.no_names
         self.at[word] = k
         return k
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words of a text: plain hashes, template hashes without and with names at the start of sentences, and whether a word is a slot in either."""
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where the words of each text begin (with the end), and of all words, one text after the other: plain
+        hashes, template hashes without and with names at the start of sentences, and whether a word is a slot in either.
+
+        Texts are split and their distinct words are found in Arrow; only those are looked up one by one.
+        """
+        split = pc.utf8_split_whitespace(pc.replace_substring(pc.fill_null(texts, ""), "\n", f" {BREAK} "))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.at) > 400_000:
             self.clear()
         at = self.at
-        lines = text.split("\n")
-        ids, starts = [], []
-        for line in lines:
-            starts.append(len(ids))
-            words = line.split()
-            try:
-                ids += [at[w] for w in words]
-            except KeyError:
-                ids += [at[w] if w in at else self.add(w) for w in words]
-        k = np.array(ids, np.int64)
-        plain, kind, ends, could = self.plain[k], self.kind[k], self.ends[k], self.open[k]
-        first = np.zeros(len(k) + 1, bool)
-        first[np.array(starts, np.int64)] = True
-        first[1:] |= ends
-        live = kind != 4
-        plain, kind, first, could = plain[live], kind[live], first[:-1][live], could[live]
+        place = np.array([at[w] if w in at else self.add(w) for w in words], np.int64)
+        k = place[np.asarray(coded.indices)]
+        starts = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+        some = self.kind[k] != EMPTY  # empty words stand for white space at either end
+        starts, k = np.concatenate([[0], np.cumsum(some)])[starts], k[some]
+        kind = self.kind[k]
+        first = np.ones(len(k) + 1, bool)
+        first[1:] = self.ends[k]
+        first[starts] = True
+        live = kind < NOTHING
+        edges = np.concatenate([[0], np.cumsum(live)])[starts]
+        plain, kind, first, could = self.plain[k][live], kind[live], first[:-1][live], self.open[k][live]
         number = kind == 1
         name = (kind == 2) & ~first
-        unit = (kind == 3) & np.concatenate([[False], number[:-1]]) if len(kind) else kind == 3
+        behind = np.zeros(len(kind) + 1, bool)
+        behind[1:] = number
+        behind[edges] = False
+        unit = (kind == 3) & behind[:-1]
         template = np.where(number, NUM, np.where(name, NAME, np.where(unit, UNIT, plain)))
         slot = number | name | unit
         opening = first & could
-        return plain, template, np.where(opening, NAME, template), slot, slot | opening
+        return edges, [plain, template, np.where(opening, NAME, template), slot, slot | opening]
+
+    def words(self, text: str) -> list[np.ndarray]:
+        """The columns of batch() for one text."""
+        return self.batch(pa.array([text], pa.string()))[1]
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -156,6 +169,30 @@ class Items:
         self.places = dict(places)
         self.hashes = np.array(sorted(self.places), np.uint64)
         self.short = sorted({len(w[0]) for w in self.words if len(w[0]) < WINDOW})
+        # a bit for the place of each hash; most windows of documents end there
+        self.mask = np.uint64((1 << max(16, min(24, 3 + len(self.hashes).bit_length()))) - 1)
+        self.marked = np.zeros(int(self.mask) + 1, bool)
+        self.marked[self.hashes & self.mask] = True
+
+    def hits(self, x: np.ndarray) -> np.ndarray:
+        """Whether each hash is one of the windows'."""
+        out = self.marked[x & self.mask]
+        k = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.hashes, x[k]), len(self.hashes) - 1)
+        out[k] = self.hashes[at] == x[k]
+        return out
+
+    def touched(self, edges: np.ndarray, forms: list[np.ndarray]) -> np.ndarray:
+        """The texts of a batch that hold any window of any item; all others match nothing."""
+        found = []
+        ends = np.repeat(edges[1:], np.diff(edges))
+        for width in (WINDOW, *self.short):
+            for h in forms:
+                if len(h) >= width:
+                    at = np.flatnonzero(self.hits(windows(h, width)))
+                    found.append(at[at + width <= ends[at]])
+        found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.unique(np.searchsorted(edges, found, "right") - 1)
 
     def match(self, plain: np.ndarray, template: np.ndarray, wide: np.ndarray) -> list[tuple[int, int, int]]:
         """item_id, words covered in a hundred, and slots that are consistent in a hundred."""
@@ -167,8 +204,7 @@ class Items:
             usual = None
             for form, h in enumerate((plain, template, wide)):
                 x = windows(h, width)
-                at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-                same = self.hashes[at] == x
+                same = self.hits(x)
                 if form == 1:
                     usual = x
                 elif form == 2:
@@ -297,10 +333,11 @@ def _matcher(shared):
         canon = Canon(items.no_names)
         for batch in batches:
             rows = []
-            for doc_id, text, copy in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("copy").to_pylist()):
-                plain, template, wide, _, _ = canon.words(text)
-                if len(plain):
-                    rows += [(doc_id, *m, copy) for m in items.match(plain, template, wide) if m[1] >= COVER_PER_100]
+            edges, (plain, template, wide, _, _) = canon.batch(batch.column("text"))
+            for k in items.touched(edges, [plain, template, wide]).tolist():
+                a, b = edges[k], edges[k + 1]
+                doc_id, copy = batch.column("doc_id")[k].as_py(), batch.column("copy")[k].as_py()
+                rows += [(doc_id, *m, copy) for m in items.match(plain[a:b], template[a:b], wide[a:b]) if m[1] >= COVER_PER_100]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "covered_per_100", "consistent_per_100", "copy"])
