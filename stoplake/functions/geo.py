@@ -16,7 +16,7 @@ def rounded(x: Column, places: int) -> Column:
     return F.round(x * scale) / scale
 
 
-def exact_sum(x: Column, places: int = 9) -> Column:
+def exact_sum(x: Column, places: int = 7) -> Column:
     """Sum of doubles as decimals of so many places: the same in whatever order rows come."""
     return F.sum(x.cast(f"decimal({19 + places},{places})")).cast("double")
 

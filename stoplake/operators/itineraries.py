@@ -80,12 +80,17 @@ def badness_columns(forecast: DataFrame) -> DataFrame:
     return forecast.select(*CELL, wx.precip_badness(F.col("precip_mm")).alias("rain"), wx.temp_badness(felt, F.col("uv"), F.col("wind_kmh")).alias("temp"))
 
 
-def weather_penalty(legs: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Penalty of each itinerary, each segment against its own cell; no forecast adds nothing."""
+def penalties(legs: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Penalty of each itinerary that meets a forecast, each segment against its own cell."""
     s = segments(legs).select(*ITINERARY, "precip_s", "temp_s", "key.*")
     f = badness_columns(forecast)
     on = [s.q_lat == f.q_lat, s.q_lon == f.q_lon, s.utc_hour == f.utc_hour, s.utc_date.eqNullSafe(f.utc_date)]
-    hit = s.join(f, on, "inner").groupBy(*ITINERARY).agg(exact_sum(penalty(F.col("precip_s"), F.col("temp_s"), F.col("rain"), F.col("temp"))).alias("weather_penalty"))
+    return s.join(f, on, "inner").groupBy(*ITINERARY).agg(exact_sum(penalty(F.col("precip_s"), F.col("temp_s"), F.col("rain"), F.col("temp"))).alias("weather_penalty"))
+
+
+def weather_penalty(legs: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Penalty of every itinerary; no forecast adds nothing."""
+    hit = penalties(legs, forecast)
     return legs.select(*ITINERARY).distinct().join(hit, ITINERARY, "left").select(*ITINERARY, F.coalesce("weather_penalty", F.lit(0.0)).alias("weather_penalty"))
 
 
@@ -112,8 +117,8 @@ def fetch_cells(points: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(span))  # span is one row
 
 
-def factors(legs: DataFrame, index: DataFrame, penalties: DataFrame | None = None) -> DataFrame:
-    """The five raw factors of each itinerary (E13); without a penalty table the weather is neutral."""
+def factors(legs: DataFrame, index: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+    """The five raw factors of each itinerary (E13); without penalties, or a row of them, the weather is neutral."""
     g = with_index(keyed(legs), index, ["on_time_rate"])
     km = F.col("distance_m") / F.lit(1000.0)
     walk = (F.col("mode") == "WALK") & ~F.col("is_transit")
@@ -123,9 +128,9 @@ def factors(legs: DataFrame, index: DataFrame, penalties: DataFrame | None = Non
         F.sum(F.when(walk, F.coalesce("duration_s", F.lit(0.0))).otherwise(F.lit(0.0))).alias("walk_s"),
         F.sum(F.when(F.col("distance_m") > 0, co2_per_km(F.coalesce("mode", F.lit(""))) * km).otherwise(F.lit(0.0))).alias("co2_g"),
     )
-    if penalties is None:
+    if weather is None:
         return out.withColumn("weather_penalty", F.lit(0.0))
-    return out.join(penalties, ITINERARY, "left").withColumn("weather_penalty", F.coalesce("weather_penalty", F.lit(0.0)))
+    return out.join(weather, ITINERARY, "left").withColumn("weather_penalty", F.coalesce("weather_penalty", F.lit(0.0)))
 
 
 def benefit(value: str, higher_is_better: bool) -> Column:

@@ -32,7 +32,7 @@ RAMP = lambda x, full, worst: f"CASE WHEN {x} > 0 THEN least({x} / {full}::DOUBL
 BAD = f"""bad0 AS (SELECT *, {RAMP('precip_mm', 4, 0.9)} AS rain, coalesce({RAMP('uv', 8, 0.25)}, 0) AS u, coalesce({RAMP('wind_kmh', 40, 0.25)}, 0) AS w,
   CASE WHEN coalesce(felt_c, air_c) < 5 THEN least((5 - coalesce(felt_c, air_c)) / 10, 1) * 0.6::DOUBLE WHEN coalesce(felt_c, air_c) > 30 THEN least((coalesce(felt_c, air_c) - 30) / 8, 1) * 0.6::DOUBLE ELSE 0 END AS th FROM fc),
 bad AS (SELECT *, least(1, greatest(th, u, w) + (u + w) / 2) AS temp FROM bad0)"""
-PENALTY = f"""pen AS (SELECT plan_id, itin_idx, CAST(sum(CAST(rain * precip_s / 60 + temp * temp_s / 60 AS DECIMAL(28,9))) AS DOUBLE) AS weather_penalty FROM cells JOIN bad USING (q_lat, q_lon, utc_hour, utc_date) GROUP BY ALL)"""
+PENALTY = f"""pen AS (SELECT plan_id, itin_idx, CAST(round(sum(CAST(rain * precip_s / 60 + temp * temp_s / 60 AS DECIMAL(26,7))), 3) AS DOUBLE) AS weather_penalty FROM cells JOIN bad USING (q_lat, q_lon, utc_hour, utc_date) GROUP BY ALL)"""
 INDEX = bridge.SQL["ev"] + ", " + bridge.SQL["tier"]
 FACTORS = f"""idx AS (SELECT route_id AS r, direction_id AS d, stop_id AS s, sum(on_time_count) / sum(n) AS rate FROM t2 GROUP BY ALL),
 fac AS (SELECT plan_id, itin_idx, coalesce(CAST(sum(CAST(rate AS DECIMAL(34,15))) AS DOUBLE) / count(rate), 0.5) AS reliability, CAST(count(*) FILTER (is_transit) AS DOUBLE) AS transfers, coalesce(sum(duration_s) FILTER (mode = 'WALK' AND NOT is_transit), 0) AS walk_s,
@@ -80,13 +80,13 @@ def weather_penalty(spark, d):
 
 
 def thousandths(df):
-    """Penalties run to millions: in six decimals a double has no room for another order of factors."""
-    return df.withColumn("weather_penalty", rounded(F.col("weather_penalty"), 3))
+    """Penalties in exact decimals: many of them end in half a thousandth, which a scaled double misses."""
+    return df.withColumn("weather_penalty", F.round(F.col("weather_penalty").cast("decimal(26,7)"), 3).cast("double"))
 
 
 @query("agg_itinerary_factors", f"{ALL} SELECT * FROM stable")
 def factors(spark, d):
-    return thousandths(steady(ops.factors(legs(spark, d), rel.on_time_index(tier2(spark, d)), ops.weather_penalty(legs(spark, d), bridge.forecast(spark, d)))))
+    return thousandths(steady(ops.factors(legs(spark, d), rel.on_time_index(tier2(spark, d)), ops.penalties(legs(spark, d), bridge.forecast(spark, d)))))
 
 
 BENEFIT = lambda c, up: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN {'' if up else '1 - '}({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0.5 END"

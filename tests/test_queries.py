@@ -1,4 +1,4 @@
-"""Every registered domain query against its SQL, on the smallest tables."""
+"""Every registered domain query against its SQL, at the size of the correctness gate."""
 
 import duckdb
 import pytest
@@ -8,6 +8,11 @@ from stoplake.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
