@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoplake.functions.calendar import date8
 from stoplake.functions.keys import netex_id
 from stoplake.operators import timetable as ops
+from stoplake.sources.files import read_netex
+from stoplake.sources.sinks import feed_archive
 
 #: Agencies by profile: id, name, URL, time zone, language.
 AGENCIES = {"italy": ("FL", "Trenitalia", "https://www.trenitalia.com", "Europe/Rome", "it")}
@@ -59,3 +61,16 @@ def members(t: dict[str, DataFrame], profile: str = "italy", shapes: DataFrame |
         "stop_times": ops.stop_times(t["passing"], trips, t["points"], t["stops"]),
         "shapes": drawn.select(F.col("line_id").alias("shape_id"), F.posexplode("points").alias("shape_pt_sequence", "p")).select("shape_id", F.col("p.lat").alias("shape_pt_lat"), F.col("p.lon").alias("shape_pt_lon"), "shape_pt_sequence"),
     }
+
+
+def convert(spark: SparkSession, path: str, out: str, profile: str = "italy", shapes: DataFrame | None = None) -> dict[str, int]:
+    """A timetable document to a written feed; gives the rows of its members.
+
+    Each element type is parsed once and kept while the members are written; what is lost is parsed again.
+    """
+    parsed = {name: df.persist() for name, df in tables(read_netex(spark, path)).items()}
+    try:
+        return feed_archive(members(parsed, profile, shapes), out)
+    finally:
+        for df in parsed.values():
+            df.unpersist()

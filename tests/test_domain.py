@@ -232,7 +232,7 @@ def test_timetable_to_feed(spark, tmp_path, gz):
     shapes = spark.createDataFrame([("1", [(12.0, 41.0), (12.5, 41.5)]), ("2", [(1.0, 2.0)])], "line_id string, points array<struct<lon: double, lat: double>>")
     assert t["days"].first().days == "Monday Friday"
     out = str(tmp_path / "feed.zip")
-    counts = sinks.feed_archive(feeds.members(t), out)
+    counts = feeds.convert(spark, str(path), out)
     assert counts == {"agency": 1, "stops": 2, "routes": 1, "services": 1, "trips": 1, "stop_times": 3}
     with zipfile.ZipFile(out) as z:
         lines = {n: z.read(n).decode().splitlines()[1:] for n in z.namelist()}
