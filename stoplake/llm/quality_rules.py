@@ -1,11 +1,13 @@
 """Quality rules by cross-document line frequency (operator 2), in DataFrame functions only.
 
 Normalised lines are hashed. For each host and line the distinct documents are counted; documents with
-equal texts count once. Lines above the limit are boilerplate if they stand in many surroundings. The
-surrounding is taken from a document's own lines: those that are neither above the limit nor an edited
-form of such a line (the same words at the beginning or end). So shared lines of a host do not hide each
-other, and a group of near copies, which differ in edits, does not condemn its own lines. Boilerplate
-lines are removed, and a document that loses more than half of its words is rejected.
+equal texts count once. Lines above the limit are boilerplate if these documents are more than near copies
+of each other, as their surroundings tell. The surrounding is taken from a document's own lines: those that
+are neither above the limit nor an edited form of such a line (the same words at the beginning or end). A
+document that has nothing but lines above the limit goes by their set; edited copies without a line of
+their own are one surrounding. So shared lines of a host do not hide each other, and a group of near copies,
+which differ in edits, does not condemn its own lines. Boilerplate lines are removed, and a document that
+loses more than half of its words is rejected.
 
 Counting sums up before each shuffle, so that a line or host with a third of all rows is one row for each
 task; the join of lines against the boilerplate lines is one that Spark can split where a key is hot.
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import GAP_SQL, materialise
+from stoplake.llm.common import GAP_SQL, discard, materialise
 
 #: A line is above the limit in more documents of a host than this.
 LIMIT_DOCS = 30
@@ -115,15 +117,22 @@ def boilerplate(once: DataFrame) -> DataFrame:
     """host and line of the lines to remove, of what lines_of_texts() gives."""
     above = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("head").alias("head"), F.min("tail").alias("tail")).filter(F.col("n_docs") > LIMIT_DOCS)
     above = materialise(above, "above")
-    spots = once.select("host", "line", "copy").join(above.select("host", "line"), ["host", "line"])
-    own = once.join(spots.select("host", "copy").distinct(), ["host", "copy"], "left_semi").join(above.select("host", "line"), ["host", "line"], "left_anti")
+    spots = materialise(once.select("host", "line", "copy").join(above.select("host", "line"), ["host", "line"]), "spots")
+    # of each document the lines that are not above the limit; an edit of one that is has its head or its tail
+    others = once.join(spots.select("host", "copy").distinct(), ["host", "copy"], "left_semi").join(above.select("host", "line"), ["host", "line"], "left_anti")
     for part in ("head", "tail"):
-        own = own.join(above.filter(F.col(part).isNotNull()).select("host", part).distinct(), ["host", part], "left_anti")
-    own = own.groupBy("host", "copy").agg(F.min("line").alias("surrounding"))
-    # documents without a line of their own are one surrounding
-    apart = spots.join(own, ["host", "copy"], "left").groupBy("host", "line", F.coalesce("surrounding", F.lit(-1)).alias("surrounding")).agg(F.count(F.lit(1)).alias("n"))
+        known = above.filter(F.col(part).isNotNull()).select("host", part).distinct().withColumn(f"is_{part}", F.lit(True))
+        others = others.join(known, ["host", part], "left")
+    own = others.groupBy("host", "copy").agg(F.min(F.when(F.col("is_head").isNull() & F.col("is_tail").isNull(), F.col("line"))).alias("own"), F.count(F.lit(1)).alias("n"))
+    # a document of shared lines alone goes by their set; edited copies without a line of their own are one surrounding
+    bare = spots.groupBy("host", "copy").agg(F.bit_xor("line").alias("set"))
+    found = bare.join(own, ["host", "copy"], "left").select("host", "copy", F.coalesce("own", F.when(F.col("n").isNull(), F.col("set")), F.lit(-1)).alias("surrounding"))
+    apart = spots.join(found, ["host", "copy"]).groupBy("host", "line", "surrounding").agg(F.count(F.lit(1)).alias("n"))
     lines = apart.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_surroundings"))
-    return lines.filter(100 * F.col("n_surroundings") >= SURROUNDINGS_PER_100 * F.col("n_docs")).select("host", "line")
+    out = materialise(lines.filter(100 * F.col("n_surroundings") >= SURROUNDINGS_PER_100 * F.col("n_docs")).select("host", "line"), "boilerplate")
+    discard(above)
+    discard(spots)
+    return out
 
 
 def lost_words(docs: DataFrame) -> DataFrame:
@@ -170,8 +179,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return rest.select(*[renewed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
 
 
-#: DuckDB SQL for judge(). It still takes the surrounding from all other lines of a document, so it finds less
-#: than judge() where several lines of a host are above the limit.
+#: DuckDB SQL for judge().
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text AS raw, coalesce(text, '') AS text FROM documents
@@ -193,21 +201,32 @@ WITH d AS (
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov ON w.rid = cov.rid
+), norm AS (
+  SELECT rid, host, md5(raw) AS copy,
+    trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS b
+  FROM (SELECT rid, host, raw, unnest(string_split(raw, chr(10))) AS x FROM d WHERE raw IS NOT NULL)
 ), lines AS (
-  SELECT rid, host, copy, substr(md5(b), 1, 15) AS line, n FROM (
-    SELECT rid, host, md5(raw) AS copy,
-      trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS b,
-      len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
-    FROM (SELECT rid, host, raw, unnest(string_split(raw, chr(10))) AS x FROM d WHERE raw IS NOT NULL)
-  ) WHERE b <> ''
-), least2 AS (
-  SELECT rid, list_sort(list_distinct(list(line))) AS l FROM lines GROUP BY rid
-), spot AS (
-  SELECT DISTINCT host, line, copy, coalesce(CASE WHEN line = l[1] THEN l[2] ELSE l[1] END, '') AS surrounding
-  FROM lines JOIN least2 USING (rid)
+  SELECT rid, host, copy, line, n, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[n - k + 1:], ' ') AS tail FROM (
+    SELECT *, CASE WHEN n >= 64 THEN 32 WHEN n >= 32 THEN 16 WHEN n >= 16 THEN 8 WHEN n >= 8 THEN 4 WHEN n >= 4 THEN 2 END AS k
+    FROM (SELECT rid, host, copy, substr(md5(b), 1, 15) AS line, string_split(b, ' ') AS ws, len(string_split(b, ' ')) AS n FROM norm WHERE b <> '')
+  )
+), above AS (
+  SELECT host, line, CASE WHEN min(n) >= 4 THEN min(head) END AS head, CASE WHEN min(n) >= 4 THEN min(tail) END AS tail
+  FROM lines GROUP BY host, line HAVING count(DISTINCT copy) > 30
+), spots AS (
+  SELECT DISTINCT host, line, copy FROM lines SEMI JOIN above USING (host, line)
+), others AS (
+  SELECT DISTINCT host, copy, line, head, tail, n FROM lines SEMI JOIN spots USING (host, copy) ANTI JOIN above USING (host, line)
+), own AS (
+  SELECT host, copy, min(CASE WHEN n < 4 OR h IS NULL AND t IS NULL THEN line END) AS own FROM others
+  LEFT JOIN (SELECT DISTINCT host, head, 1 AS h FROM above WHERE head IS NOT NULL) USING (host, head)
+  LEFT JOIN (SELECT DISTINCT host, tail, 1 AS t FROM above WHERE tail IS NOT NULL) USING (host, tail) GROUP BY host, copy
+), found AS (
+  SELECT host, copy, CASE WHEN own.host IS NULL THEN 'set ' || s ELSE coalesce(own.own, 'edited') END AS surrounding
+  FROM (SELECT host, copy, string_agg(line, ' ' ORDER BY line) AS s FROM spots GROUP BY host, copy) b LEFT JOIN own USING (host, copy)
 ), bad AS (
-  SELECT host, line FROM spot GROUP BY host, line
-  HAVING count(*) > 30 AND 100 * count(DISTINCT surrounding) >= 50 * count(*)
+  SELECT host, line FROM spots JOIN found USING (host, copy) GROUP BY host, line
+  HAVING 100 * count(DISTINCT surrounding) >= 50 * count(*)
 ), lost AS (
   SELECT rid, sum(n) AS lost FROM lines JOIN bad USING (host, line) GROUP BY rid
 )

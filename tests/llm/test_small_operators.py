@@ -121,11 +121,36 @@ def test_quality_finds_several_boilerplate_lines_of_short_pages(spark):
     assert {r.removed_words for i, r in got.items() if i < 1000} == {75}
     cleaned = quality_rules.cleaned(docs_of(spark, depleted + bare + long)).collect()
     assert [r.doc_id for r in cleaned] == [2000] and not any(x in cleaned[0].text for x in shared)
+    # pages of shared lines alone, in many different sets
+    rng = random.Random(3)
+    lines12 = [" ".join(word(700_000 + 10_000 * i + j) for j in range(12)) for i in range(12)]
+    bare = [(k, "\n".join(rng.sample(lines12, 6))) for k in range(150)]
+    got = quality_rules.judge(docs_of(spark, bare)).collect()
+    assert not any(r.kept for r in got) and all(r.removed_words == 72 for r in got)
     # copies of one page that differ by a word or by the place of an edit keep their lines
     edited = [(k, "\n".join(" ".join(word(900_000 + k) if (i, j) == (k % 5, k % 15) else w for j, w in enumerate(x.split())) for i, x in enumerate(shared))) for k in range(60)]
     assert all(r.kept and not r.removed_words for r in quality_rules.judge(docs_of(spark, edited)).collect())
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 10])
+def test_quality_agrees_with_sql_for_any_number_of_shared_lines(spark, k):
+    """Pages of k shared lines and one own line, long articles that have them too, and copies of an article."""
+    word = lambda x: "w" + "".join(chr(97 + x // 26**j % 26) for j in range(5))
+    shared = [" ".join(word(10_000 * i + j) for j in range(30)) for i in range(1, k + 1)]
+    own = lambda x, n=25: " ".join(word(300_000 + 100 * x + j) for j in range(n))
+    rows = [(x, "\n".join([*shared, own(x)])) for x in range(60)]
+    rows += [(100 + x, "\n".join([*shared, *(own(1000 + 20 * x + j) for j in range(2 * k + 2))])) for x in range(5)]
+    article = [own(5000 + j) for j in range(12)]
+    rows += [(200 + x, "\n".join(article).replace(word(300_000 + 100 * (5000 + x % 12) + x % 25), f"x{x}", 1)) for x in range(40)]
+    df = docs_of(spark, rows)
+    got = quality_rules.judge(df)
+    want = duck({"documents": df.toArrow()}).sql(quality_rules.ORACLE)
+    assert plain(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
+    assert {r.doc_id for r in got.collect() if r.kept} == {*range(100, 105), *range(200, 240)}
+    left = quality_rules.cleaned(df).collect()
+    assert len(left) == 45 and not any(x in r.text for r in left for x in shared)
+
+
 # --- 3: secrets -------------------------------------------------------------------------------------------
 
 
