@@ -1,4 +1,9 @@
-"""A training-corpus pipeline of five of the corpus operators, each stage written and read again."""
+"""A training-corpus pipeline of five of the corpus operators, each stage written and read again.
+
+All stages but the last keep the columns of documents, in their order and whatever further ones there are, by
+any name. An empty table gives an empty one. Rows are told apart by their contents, so null and repeated
+doc_ids are no obstacle; each docstring says what becomes of null texts and of rows that repeat.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoplake.llm import decontaminate, jaccard_join, pii_surrogates, quality_rules, sentencepiece_bpe
-from stoplake.llm.common import materialise, table
+from stoplake.llm.common import discard, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their boilerplate lines."""
+    """Documents that the rules keep, without their boilerplate lines; n_chars follows the text.
+
+    A null or empty text has too few words and goes. Rows with equal texts and sources get one verdict and all
+    stay or go; a null source is a host of its own, together with ''.
+    """
     return quality_rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that with the smallest doc_id, a null one last.
+
+    Of rows that repeat both doc_id and words one stays. Texts without words, null ones too, are copies of
+    nothing and all stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark questions."""
+    """Documents without benchmark questions, in any parameterisation; null and empty texts stay.
+
+    Rows with equal texts all stay or go. A null or empty benchmark item, or an empty benchmark, matches nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced; n_chars follows the text."""
-    out = pii_surrogates.protect(docs)
+    """Personal data replaced; n_chars follows the text, and is null where that is.
+
+    No row goes; a null text stays null, and rows that repeat stay alike.
+    """
+    out = pii_surrogates.protect(docs, count=None)
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and whether decoding them gives its text."""
+    """Ids of each document, the end id last, and whether decoding them gives its text.
+
+    A null text is encoded as an empty one, and decodes is then false. No row goes.
+    """
     import public_tokenizers
 
     out = sentencepiece_bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -47,7 +69,7 @@ STAGES = [
     ("surrogates", surrogates),
     ("encoding", encoding),
 ]
-#: Shingle joins, surrogates and encoding are beyond SQL; tests compare with a brute-force version.
+#: Shingle joins, surrogates and encoding are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
@@ -55,5 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; each but the last is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
