@@ -2,7 +2,8 @@
 
 Each language has a zstandard raw-content dictionary of labelled texts. A text is cut into blocks, every
 block is compressed with every dictionary, and the language with the smallest sum wins; a narrow margin
-is reported as rejected. The dictionaries are bounded: LANGUAGES times DICTIONARY_BYTES are broadcast.
+is reported as rejected. Any number of languages is learned: a dictionary is bounded by DICTIONARY_BYTES, and
+what all have together by TOTAL_BYTES, so that more languages get shorter dictionaries.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from stoplake.llm.common import prepare
 
-#: Bounds of the sample that is learned from: languages (the commonest), texts of each, characters of a text, bytes of a dictionary.
-LANGUAGES, SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 64, 400, 2000, 96 << 10
+#: Bounds of the sample that is learned from: texts of each language, bytes of a dictionary and of all, and characters of a piece of a text.
+SAMPLE_TEXTS, DICTIONARY_BYTES, TOTAL_BYTES, PIECE_CHARS = 400, 96 << 10, 64 << 20, 200
 #: Bytes of a block, compression level, and the relative margin under which a verdict is rejected.
 BLOCK_BYTES, LEVEL, MARGIN = 8 << 10, 3, 0.01
 UNDETERMINED = "und"
@@ -31,24 +32,32 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language, from texts with a lang that are not held out.
 
     The texts of a language are those with the smallest hashes. Counts by language first give the share
-    of hashes to look at, so that only about twice the sample is ever sorted.
+    of hashes to look at, so that only about twice the sample is ever sorted. Pieces are taken from all over
+    the texts by their hashes, until a dictionary is full; only those come to the driver.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_langs = counts.count()
+    if not n_langs:
         return {}
-    span = 1 << 32
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(span, 1 + 2 * SAMPLE_TEXTS * span // n)))])
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))
-    few = known.filter(F.col("lang").isin(list(counts))).withColumn("place", place).filter(F.col("place") < F.try_element_at(share, F.col("lang")))
+    span = float(1 << 32)
+    most = min(DICTIONARY_BYTES, TOTAL_BYTES // n_langs)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
+    # labels are joined, not listed: there may be many
+    few = known.join(counts, "lang").withColumn("place", place).filter(F.col("place") < F.lit(1 + 2 * SAMPLE_TEXTS * span) / F.col("n"))
     first = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
-    rows = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_TEXTS).select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    out: dict[str, bytes] = {}
-    for lang, _, text in sorted(rows):
-        held = out.get(lang, b"")
-        if len(held) < DICTIONARY_BYTES:
-            out[lang] = (held + b"\n" + text.lower().encode())[:DICTIONARY_BYTES]
-    return out
+    sample = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_TEXTS).select("lang", "k", F.lower("text").alias("text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / PIECE_CHARS) - 1, F.lit(0)))
+    pieces = sample.select("lang", "k", "text", F.explode(starts).alias("i")).select("lang", "k", "i", F.substr("text", (F.col("i") * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS)).alias("piece"))
+    # one piece of each text in turn, the longer texts' further ones behind; up to the size of a dictionary
+    turn = Window.partitionBy("lang", "k").orderBy(F.xxhash64("piece", "i"), "i")
+    run = Window.partitionBy("lang").orderBy("turn", "k").rowsBetween(Window.unboundedPreceding, 0)
+    sized = pieces.withColumn("turn", F.row_number().over(turn)).withColumn("upto", F.sum(F.octet_length("piece") + 1).over(run))
+    rows = sized.filter(F.col("upto") <= most).select("lang", "turn", "k", "piece").collect()
+    out: dict[str, list[bytes]] = {}
+    for lang, _, _, piece in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        out.setdefault(lang, []).append(piece.encode())
+    return {lang: b"\n".join(x) for lang, x in out.items()}
 
 
 class Classifier:
@@ -81,7 +90,8 @@ def predict(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of each row of docs(doc_id, text).
 
     A null text, one without a letter, or no dictionary at all gives `und` and score 0. Ties go to the
-    first language by name. A null doc_id counts as not held out.
+    first language by name. A null doc_id counts as not held out. Rows that repeat get equal results; an empty
+    table gives no rows; other columns are not read.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(content)

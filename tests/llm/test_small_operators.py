@@ -368,6 +368,22 @@ def test_language_awkward_rows(spark):
     assert {r.lang_pred for r in language_id.predict(spark.createDataFrame(rows, DOC), {}).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    """More labels than any fixed limit would hold; pieces come from all over a text; ties go by name."""
+    rng = random.Random(9)
+    words = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for k in range(90)}
+    say = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    rows = [(100 * k + j, ("zzzz " * 500 if j % 2 else "") + say(k, 80), f"l{k:02d}", "s", 0) for k in range(90) for j in range(12)]
+    df = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    held = [i for i, r in got.items() if r.held_out]
+    assert sum(got[i].lang_pred == f"l{i // 100:02d}" for i in held) >= 0.95 * len(held) and len({r.lang_pred for r in got.values()}) == 90
+    twin = language_id.Classifier({"b": b"some words of a text", "a": b"some words of a text"})
+    assert twin.classify("some words")[0] == "a" and twin.classify("some words")[2]
+    twice = language_id.predict(df.limit(5).unionAll(df.limit(5)), {"x": b"abc", "y": b"xyz"}).collect()
+    assert len(twice) == 10 and len(set(twice)) <= 5
+
+
 # --- 8: SentencePiece -------------------------------------------------------------------------------------
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
