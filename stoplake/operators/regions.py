@@ -47,6 +47,11 @@ def artifact_names(target: Column, tiles: Column) -> list[Column]:
     return [F.substring_index(target, "/", 1).alias("country"), F.concat(tiles, F.lit(".pmtiles")).alias("tiles_file"), F.concat(F.replace(target, F.lit("/"), F.lit("-")), F.lit(".osm.pbf")).alias("osm_file")]
 
 
+def feed_ids(paths: Column) -> Column:
+    """Feed that a path's archive holds, null if it is none."""
+    return F.nullif(F.regexp_extract(paths, r"([^/]+)\.gtfs\.zip$", 1), F.lit(""))
+
+
 #: Health states from best to worst.
 STATES = ("ok", "degraded", "down")
 

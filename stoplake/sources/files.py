@@ -140,6 +140,12 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and built_at (ISO, UTC) of the files under a path (A28, A30, A31); contents are not read."""
+    utc = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), utc.alias("built_at"))
+
+
 def boards(docs: DataFrame, kind: str) -> DataFrame:
     """Entries of live boards (C19). docs: station, body (a JSON array); kind: departures or arrivals."""
     way = "Partenza" if kind == "departures" else "Arrivo"

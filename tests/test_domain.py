@@ -2,13 +2,14 @@
 
 import gzip
 import json
+import os
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stoplake.functions import address, calendar, keys, text
+from stoplake.functions import address, calendar, keys, modes, text
 from stoplake.operators import feed as feeds
 from stoplake.operators import geometry, itineraries, lines, places, regions, reliability
 from stoplake.sources import files, gtfs_rt, sinks
@@ -290,6 +291,37 @@ def test_keys_tokens_and_names(spark):
     assert tuple(r) == ("italy", "rome.pmtiles", "italy-lazio-rome.osm.pbf")
 
 
+def test_labels_and_artifacts(spark, tmp_path):
+    slugs = lambda *x: F.array(*map(F.lit, x))
+    assert [one(spark, modes.relabel_branch(F.lit(r), slugs(*x))) for r, x in (("B", ("jonio", "a")), ("B", ("laurentina",)), ("A", ("conca-d-oro",)))] == ["B1", None, None]
+    assert [one(spark, modes.method_label(F.lit(m))) for m in ("GET", "BREW")] == ["GET", "OTHER"]
+    assert [one(spark, regions.feed_ids(F.lit(p))) for p in ("/x/atac.gtfs.zip", "/x/readme.txt")] == ["atac", None]
+    (tmp_path / "a.gtfs.zip").write_bytes(b"abc")
+    os.utime(tmp_path / "a.gtfs.zip", (1_700_000_000, 1_700_000_000))
+    (r,) = files.artifacts(spark, str(tmp_path)).collect()
+    assert (r.size, r.built_at) == (3, "2023-11-14T22:13:20Z")
+
+
+def test_line_features(spark):
+    found = spark.createDataFrame([("k", "metro", "ATAC:MEA", "A", "#E27439", "ATAC", True)], "line_key string, kind string, route string, ref string, color string, network string, routable boolean")
+    shapes = spark.createDataFrame([("k", 2, [(1.0, 2.0), (3.0, 4.0)]), ("k", 1, [(0.0, 0.0), (1.0, 2.0)])], "line_key string, way_id long, points array<struct<lon: double, lat: double>>")
+    (r,) = geometry.line_features(found, shapes).collect()
+    f = json.loads(r.feature)
+    assert f["geometry"] == {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 2]], [[1, 2], [3, 4]]]} and f["properties"]["line"] == "A" and f["properties"]["routable"] is True
+
+
+def test_partitions_are_appended_and_replaced(spark, tmp_path):
+    path = str(tmp_path / "events")
+    e = spark.createDataFrame([("R", 0, "1", "20260629", 8, 8), ("R", 0, "1", "20260630", 9, 8)], EVENT)
+    sinks.append_events(e, path)
+    sinks.append_events(e.limit(1), path)
+    assert sorted(p.name for p in (tmp_path / "events").iterdir() if p.is_dir()) == ["service_date=20260629", "service_date=20260630"]
+    t1, out = reliability.fold_tier1(e), str(tmp_path / "t1")
+    sinks.replace_dates(t1, out)
+    sinks.replace_dates(t1.filter("service_date = '20260630'").withColumn("n", F.lit(5).cast("long")), out)
+    assert {str(r.service_date): r.n for r in spark.read.parquet(out).collect()} == {"20260629": 1, "20260630": 5}
+
+
 def test_region_files(spark, tmp_path):
     for path, body in (("italy", 'name = "Italy"'), ("italy/lazio", 'name = "Lazio"')):
         (tmp_path / path).mkdir(parents=True)
