@@ -4,15 +4,17 @@ import gzip
 import json
 import os
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stoplake.functions import address, calendar, keys, modes, text
+from stoplake.operators import extract as extracts
 from stoplake.operators import feed as feeds
 from stoplake.operators import geometry, itineraries, lines, places, regions, reliability
-from stoplake.sources import files, gtfs_rt, sinks
+from stoplake.sources import files, gtfs_rt, osm_pbf, sinks
 from stoplake.streaming import ingest
 
 EVENT = "route_id string, direction_id int, stop_id string, service_date string, delay_s int, feed_hour int"
@@ -393,6 +395,68 @@ def test_unreadable_feeds(spark):
     assert [r.path for r in gtfs_rt.unreadable(f).collect()] == ["bad"] and gtfs_rt.decode(f).collect() == []
 
 
+def extract(blocks, compress):
+    """A map extract of blocks of (nodes, dense nodes, ways, relations), written by hand."""
+
+    def vint(x):
+        x &= (1 << 64) - 1
+        out = b""
+        while x > 0x7F:
+            out, x = out + bytes([x & 0x7F | 0x80]), x >> 7
+        return out + bytes([x])
+
+    zz = lambda x: x << 1 if x >= 0 else (-x << 1) - 1
+    num = lambda n, x: vint(n << 3) + vint(x)
+    msg = lambda n, raw: vint(n << 3 | 2) + vint(len(raw)) + raw
+    packed = lambda n, xs: msg(n, b"".join(map(vint, xs)))
+    steps = lambda xs: [zz(b - a) for a, b in zip([0, *xs], xs)]
+    parts = [(b"OSMHeader", msg(1, b""))]
+    for nodes, dense, ways, relations in blocks:
+        texts = [""]
+        sid = lambda x: texts.index(x) if x in texts else texts.append(x) or len(texts) - 1  # noqa: E731, B023
+        tags = lambda t: packed(2, [sid(k) for k in t]) + packed(3, [sid(v) for v in t.values()])  # noqa: E731, B023
+        e7 = lambda x: round(x * 1e7)
+        group = b"".join(msg(1, num(1, zz(i)) + tags(t) + num(8, zz(e7(lat))) + num(9, zz(e7(lon)))) for i, lon, lat, t in nodes)
+        if dense:
+            kv = [x for _, _, _, t in dense for x in [*(y for k, v in t.items() for y in (sid(k), sid(v))), 0]]
+            group += msg(2, packed(1, steps([d[0] for d in dense])) + packed(8, steps([e7(d[2]) for d in dense])) + packed(9, steps([e7(d[1]) for d in dense])) + packed(10, kv))
+        group += b"".join(msg(3, num(1, i) + tags(t) + packed(8, steps(refs))) for i, refs, t in ways)
+        group += b"".join(msg(4, num(1, i) + tags(t) + packed(8, [sid(r) for _, _, r in m]) + packed(9, steps([x for _, x, _ in m])) + packed(10, [k for k, _, _ in m])) for i, m, t in relations)
+        body = msg(1, b"".join(msg(1, x.encode()) for x in texts)) + msg(2, group)
+        parts.append((b"OSMData", msg(3, zlib.compress(body)) if compress else msg(1, body)))
+    return b"".join(len(h := msg(1, kind) + num(3, len(blob))).to_bytes(4, "big") + h + blob for kind, blob in parts)
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_map_extract(spark, tmp_path, compress):
+    dense = [(1, 12.5, 41.9, {}), (2, 12.51, 41.91, {"name": "Termini"}), (3, -12.52, -41.92, {"railway": "subway_entrance", "ref": "4"}), (2**40, 12.6, 41.8, {})]
+    ways = [(10, [1, 2], {"railway": "subway"}), (11, [2**40, 2, 99], {"railway": "rail"}), (12, [1, 2**40], {})]
+    routes = [
+        (100, [(1, 10, ""), (1, 12, "platform"), (0, 2, "stop"), (0, 1, "entrance")], {"type": "route", "route": "subway", "ref": "A", "operator": "ATAC", "network": "Metro"}),
+        (101, [(1, 11, ""), (1, 12, ""), (1, 77, ""), (1, 10, "platform")], {"type": "route", "route": "train", "ref": "FL1", "name": "Roma - Orte"}),
+        (102, [(2, 100, ""), (1, 10, "")], {"type": "route_master"}),
+        (103, [], {"route": "train"}),
+    ]
+    (tmp_path / "a.pbf").write_bytes(extract([([(7, 1.5, -2.5, {"railway": "subway_entrance", "name": "Est"})], dense, [], []), ([], [], ways, routes)], compress))
+    e = osm_pbf.read(spark, str(tmp_path / "a.pbf")).persist()
+    assert e.count() == 12 and {r.kind: r.n for r in e.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"node": 5, "way": 3, "relation": 4}
+    assert {r.node_id: (round(r.lon, 7), round(r.lat, 7)) for r in extracts.nodes(e).collect()} == {1: (12.5, 41.9), 2: (12.51, 41.91), 3: (-12.52, -41.92), 2**40: (12.6, 41.8), 7: (1.5, -2.5)}
+    assert {r.way_id: list(r.refs) for r in extracts.way_refs(e).collect()} == {10: [1, 2], 11: [2**40, 2, 99], 12: [1, 2**40]}
+    assert sorted((r.rel_id, r.route, r.ref, r.network) for r in extracts.route_relations(e).collect()) == [(100, "subway", "A", "Metro"), (101, "train", "FL1", None)]
+    owned = lines.owned_relations(extracts.route_relations(e), "ATAC")
+    (line,) = lines.lines(lines.with_masters(owned, extracts.memberships(e)), extracts.relation_ways(e)).collect()
+    assert (line.line_key, line.kind, line.ref, line.n_ways) == ("M102", "metro", "A", 1)
+    assert [tuple(r) for r in extracts.metro_stops(e).collect()] == [(100, "A", 2, 2)]
+    assert [(r.node_id, r.name) for r in extracts.stop_nodes(e, extracts.metro_stops(e)).collect()] == [(2, "Termini")]
+    assert sorted((r.node_id, r.name) for r in extracts.entrances(e).collect()) == [(3, "Uscita 4"), (7, "Est")]
+    assert [list(r.refs) for r in extracts.track_ways(e).collect()] == [[1, 2]]
+    branches = lines.route_for_relation(extracts.route_relations(e).select("rel_id", "ref", "name"), spark.createDataFrame([("r1", "FL1")], "route_id string, short_name string")).select("rel_id", F.col("route_id").alias("branch"))
+    shape = geometry.stitch(extracts.rail_members(e, branches)).orderBy("pos").collect()
+    assert [(r.branch, round(r.lon, 2)) for r in shape] == [("r1", 12.5), ("r1", 12.6), ("r1", 12.51)]
+    assert geometry.stitch(extracts.rail_members(e, branches.limit(0))).collect() == []
+    e.unpersist()
+
+
 def test_rings(spark):
     square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
     assert geometry.area(square) == 10_000 and geometry.covers(square, (50, 50)) and geometry.covers(square, (0, 50)) and not geometry.covers(square, (101, 50))
