@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import prepare
+from stoplake.llm.common import WORD_BATCH_BYTES, prepare
 
 WINDOW, COVER_PER_100, BLOCK_WINDOWS = 8, 50, 2_000_000
 #: Share of an item's slots that must be consistent, and of plain words by which a template window counts by itself.
@@ -317,7 +317,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows with a null or repeated doc_id can be told apart. Other columns are not read.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, WORD_BATCH_BYTES)
     schema = "doc_id long, item_id long, covered_per_100 int, consistent_per_100 int, copy string"
     out = spark.createDataFrame([], schema)
     for rows in blocks(benchmark):

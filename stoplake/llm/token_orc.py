@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import no_collector, prepare, scratch
+from stoplake.llm.common import WORD_BATCH_BYTES, no_collector, prepare, scratch
 
 #: Pieces in a worker's table; of a full one what was used least goes, and longer pieces.
 TABLE_ENTRIES, KEPT_CHARS = 600_000, 40
@@ -127,7 +127,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None
     stand side by side, ordered by their texts' hashes. An empty table gives an empty corpus. Other columns
     are not read.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, WORD_BATCH_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(vocabulary, end), TaskContext.get().partitionId(), 0
