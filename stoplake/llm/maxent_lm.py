@@ -2,9 +2,10 @@
 
 The model gives each next token a probability in two steps: a class, then the token within its class, each
 a softmax over hashed features of the context (previous token, previous two, the one before the previous).
-The commonest tokens have places in classes; all others share one class, in which a token's probability
-follows its count (add-one smoothed, one share for what was never seen), so that the whole is a proper
-distribution over an open vocabulary.
+The commonest tokens have places in classes. The next ones, up to HEAD, are dealt into bands by frequency, each
+a class in which a token's probability follows its count; all others share one more such class (add-one
+smoothed, one share for what was never seen), so that the whole is a proper distribution over an open
+vocabulary.
 
 1. Counts. Each task counts tokens and sends one entry for each distinct token, packed by hash range; the
    counts of the whole training corpus stay distributed.
@@ -28,19 +29,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import materialise, no_collector, prepare, texts_of
-from stoplake.llm.jaccard_join import by_part, normal_words, packed, parts_of, unpacked, word_hashes
+from stoplake.llm.common import WORD_BATCH_BYTES, materialise, no_collector, prepare, split_words, texts_of
+from stoplake.llm.jaccard_join import by_part, packed, parts_of, unpacked
 
 #: Tokens that are looked up in a broadcast table, at most.
 HEAD = 131_072
-#: Classes (the first one for all other tokens) and places in each; rows of hashed weights.
-CLASSES, PLACES, CLASS_ROWS, TOKEN_ROWS = 16, 16, 1 << 14, 1 << 15
+#: Classes with places for single tokens, places in each, bands of further tokens, and rows of hashed weights.
+PLACED, PLACES, BANDS, CLASS_ROWS, TOKEN_ROWS = 32, 32, 15, 1 << 14, 1 << 15
+#: Class 0 is for all other tokens, then come the placed ones and the bands.
+CLASSES = 1 + PLACED + BANDS
 #: Tokens of a gradient step, learning rate, and slices in which weights are averaged.
 STEP_TOKENS, RATE, SLICES, LEVELS = 16_384, 0.1, 32, 32
 #: Tokens that a training task has at least, if there are that many: each task sends all weights once.
 TASK_TOKENS = 2_000_000
-#: Distinct tokens that a task holds before it sends their counts.
-HELD_TOKENS = 400_000
+#: Distinct tokens that a task holds before it sends their counts, and rare tokens before it sends them to be looked up.
+HELD_TOKENS, HELD_RARE = 400_000, 500_000
+#: Bytes of text for each hash range, about.
+RANGE_BYTES = 128 << 20
 #: Hash of the end token, which no word has as its own: words are hashed into even numbers.
 END = np.uint64(1)
 START = np.uint64(3)
@@ -52,14 +57,6 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def token_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of the words, then the end token."""
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = word_hashes(words, known) << np.uint64(1)
-    out[-1] = END
-    return out
-
-
 def range_of(h: np.ndarray, n_parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
 
@@ -69,24 +66,34 @@ def count_tokens(docs: DataFrame, n_parts: int) -> DataFrame:
     import xxhash
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = Counter(), Counter()
+        held: dict[str, list[int]] = {}  # counts in training and elsewhere
         ends = [0, 0]
 
         def send() -> Iterator[pa.RecordBatch]:
-            names = list({**held[0], **held[1]})
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in names] + [0], np.uint64) << np.uint64(1)
+            h = np.array([xxhash.xxh3_64_intdigest(w) for w in held] + [0], np.uint64) << np.uint64(1)
             h[-1] = END
-            train, other = (np.array([c[w] for w in names] + [e], np.int64) for c, e in zip(held, ends))
+            train, other = np.array([*held.values(), ends], np.int64).T
             yield from packed(range_of(h, n_parts), h, train, train + other)
 
         for batch in batches:
             with no_collector():
-                for out, text in zip(batch.column("held_out").to_pylist(), texts_of(batch)):
-                    held[out].update(normal_words(text))
-                    ends[out] += 1
-            if len(held[0]) + len(held[1]) > HELD_TOKENS:
+                words, at, starts = split_words(batch.column("text"))
+                out = np.asarray(batch.column("held_out")).astype(bool)
+                apart = np.repeat(out, np.diff(starts))
+                counts = np.bincount(2 * at + apart, minlength=2 * len(words)).reshape(-1, 2)
+                for word, (a, b) in zip(words, counts.tolist()):
+                    if a or b:
+                        if word in held:
+                            pair = held[word]
+                            pair[0] += a
+                            pair[1] += b
+                        else:
+                            held[word] = [a, b]
+                ends = [ends[0] + int((~out).sum()), ends[1] + int(out.sum())]
+            if len(held) > HELD_TOKENS:
                 yield from send()
-                held, ends = (Counter(), Counter()), [0, 0]
+                held.clear()
+                ends = [0, 0]
         if sum(ends):
             yield from send()
 
@@ -143,26 +150,59 @@ def common_tokens(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray
     return h[order], np.frombuffer(b"".join(bytes(r[1]) for r in rows), "<i8")[order]
 
 
+class Places:
+    """Where each of distinct hashes stands in their array, by the low bits; hashes that share them are searched."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.mask = np.uint64((1 << max(8, 3 + len(hashes).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, np.int32)
+        self.table[hashes & self.mask] = np.arange(len(hashes), dtype=np.int32)
+        lost = np.flatnonzero(self.table[hashes & self.mask] != np.arange(len(hashes)))
+        self.lost = lost[np.argsort(hashes[lost])]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each of h (any place if it is none), and whether it is one."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = self.table[h & self.mask].astype(np.int64)
+        hit = self.hashes[at] == h
+        if len(self.lost):
+            miss = np.flatnonzero(~hit)
+            near = self.lost[np.minimum(np.searchsorted(self.hashes[self.lost], h[miss]), len(self.lost) - 1)]
+            found = self.hashes[near] == h[miss]
+            at[miss[found]], hit[miss[found]] = near[found], True
+        return at, hit
+
+
 class Model:
-    """Weights, and the places of the common tokens; of fixed size."""
+    """Weights, and the classes of the common tokens; of fixed size."""
 
     def __init__(self, head: np.ndarray, counts: np.ndarray, n: int, v: int):
-        best = np.lexsort((head, -counts))[: (CLASSES - 1) * PLACES]
+        best = np.lexsort((head, -counts))
         best = best[counts[best] > 0]
-        order = np.argsort(head[best])
-        rank = np.argsort(np.argsort(-counts[best], kind="stable"), kind="stable")[order]
-        self.tokens, c = head[best][order], counts[best][order]
-        self.cls, self.place = (1 + rank // PLACES).astype(np.int64), (rank % PLACES).astype(np.int64)
-        by_class = np.bincount(self.cls, c, CLASSES)
+        c = counts[best]
+        self.places = Places(head)
+        #: By place in head: class (0: the others, and what training has not seen), place in it, log10 of the share in a band.
+        self.cls, self.place, self.share = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64), np.zeros(len(head))
+        rank = np.arange(len(best))
+        single = rank < PLACED * PLACES
+        run = np.cumsum(np.where(single, 0, c + 1))
+        band = np.minimum(run * BANDS // max(int(run[-1]) + 1, 1), BANDS - 1) if len(best) else rank
+        cls = np.where(single, 1 + rank // PLACES, 1 + PLACED + band)
+        whole = np.bincount(cls, c + 1.0, CLASSES)
+        self.cls[best], self.place[best] = cls, np.where(single, rank % PLACES, 0)
+        self.share[best] = np.where(single, 0.0, np.log10((c + 1.0) / whole[cls]))
+        by_class = np.bincount(cls, c, CLASSES)
         #: The other tokens: log10 of what their smoothed counts add up to, with one share for the unseen.
-        rest = n - int(c.sum()) + v - len(c) + 1
-        self.log_rest = float(np.log10(rest))
+        self.log_rest = float(np.log10(n - int(c.sum()) + v - len(c) + 1))
         by_class[0] = max(n - int(c.sum()), 1)
-        self.class_bias = np.log(by_class + 0.5).astype(np.float32)
-        self.token_bias = np.full((CLASSES, PLACES), -np.inf, np.float32)
-        self.token_bias[self.cls, self.place] = np.log(c + 0.5)
-        self.used = np.isfinite(self.token_bias).any(axis=1)
-        self.class_bias[1:][~self.used[1:]] = -np.inf
+        bias = np.where(by_class > 0, np.log(by_class + 0.5), -np.inf)
+        self.class_bias = (bias - bias.max()).astype(np.float32)
+        token_bias = np.full((CLASSES, PLACES), -np.inf)
+        token_bias[cls[single], (rank % PLACES)[single]] = np.log(c[single] + 0.5)
+        top = token_bias.max(axis=1, keepdims=True)
+        self.token_bias = (token_bias - np.where(np.isfinite(top), top, 0)).astype(np.float32)
         self.weights = np.zeros(CLASS_ROWS * CLASSES + TOKEN_ROWS * PLACES, np.float32)
 
     def split(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,31 +211,41 @@ class Model:
 
     def targets(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and place of each token (class 0: the others)."""
-        if not len(self.tokens):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
-        hit = self.tokens[k] == h
-        return np.where(hit, self.cls[k], 0), np.where(hit, self.place[k], 0)
+        return self.targets_at(*self.places.find(h))
+
+    def targets_at(self, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.cls):
+            return np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        return np.where(hit, self.cls[at], 0), np.where(hit, self.place[at], 0)
 
     def forward(self, f: np.ndarray, cls: np.ndarray, place: np.ndarray):
-        """Natural log probabilities of class and place; what a gradient needs comes with them."""
+        """Natural log probabilities of class and place (of tokens with a place: inner); what a gradient needs comes with them."""
         wc, wt = self.split(self.weights)
         rows = (f % np.uint64(CLASS_ROWS)).astype(np.int64)
-        pc, lc = softmax(wc[rows[:, 0]] + wc[rows[:, 1]] + wc[rows[:, 2]] + self.class_bias, cls)
-        inner = np.flatnonzero(cls)
+        x = wc.take(rows[:, 0], 0)
+        x += wc.take(rows[:, 1], 0)
+        x += wc.take(rows[:, 2], 0)
+        x += self.class_bias
+        pc, lc = softmax(x, cls)
+        inner = np.flatnonzero((cls > 0) & (cls <= PLACED))
         mixed = (f[inner] >> np.uint64(20)) ^ (cls[inner].astype(np.uint64) * MIX[3])[:, None]
         trows = ((mixed * MIX[0]) >> np.uint64(40)).astype(np.int64) % TOKEN_ROWS
-        pt, lt = softmax(wt[trows[:, 0]] + wt[trows[:, 1]] + wt[trows[:, 2]] + self.token_bias[cls[inner]], place[inner])
+        x = wt.take(trows[:, 0], 0)
+        x += wt.take(trows[:, 1], 0)
+        x += wt.take(trows[:, 2], 0)
+        x += self.token_bias.take(cls[inner], 0)
+        pt, lt = softmax(x, place[inner])
         return rows, pc, lc, inner, trows, pt, lt
 
 
 def softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x -= x.max(axis=1, keepdims=True)
+    """Probabilities in place of x, and the logarithm of the target's; biases are 0 at most, so exp() stays finite."""
+    np.minimum(x, 60, out=x)
     at = x[np.arange(len(x)), target]
     np.exp(x, out=x)
-    s = x.sum(axis=1, keepdims=True)
-    x /= s
-    return x, at - np.log(s[:, 0])
+    s = np.maximum(np.einsum("ij->i", x), np.float32(1e-30))
+    x *= (1 / s)[:, None]
+    return x, at - np.log(s)
 
 
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -210,10 +260,18 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return f ^ (f >> np.uint64(33))
 
 
-def batch_tokens(texts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, end tokens included, and where each text begins (with the end)."""
-    each = [token_hashes(normal_words(t), known) for t in texts]
-    return (np.concatenate(each) if each else np.zeros(0, np.uint64)), np.cumsum([0, *map(len, each)])
+def batch_tokens(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts, each with the end token, and where each text begins (with the end); known is emptied when large."""
+    import xxhash
+
+    words, at, starts = split_words(texts)
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.array([known[w] for w in words], np.uint64) << np.uint64(1)
+    return np.insert(h[at], starts[1:], END), starts + np.arange(len(starts))
 
 
 def train(docs: DataFrame, model: Model) -> np.ndarray:
@@ -228,7 +286,7 @@ def train(docs: DataFrame, model: Model) -> np.ndarray:
         power = np.full(size, 1.0, np.float32)
         seen = 0
         for batch in batches:
-            h, starts = batch_tokens(texts_of(batch), known)
+            h, starts = batch_tokens(batch.column("text"), known)
             f = features(h, starts[:-1])
             cls, place = m.targets(h)
             for a in range(0, len(h), STEP_TOKENS):
@@ -262,17 +320,30 @@ def train(docs: DataFrame, model: Model) -> np.ndarray:
 
 
 def step(m: Model, power: np.ndarray, f: np.ndarray, cls: np.ndarray, place: np.ndarray) -> None:
-    """One gradient step with rates that fall with a weight's past gradients."""
+    """One gradient step with rates that fall with a weight's past gradients; only rows that occur are touched."""
     rows, pc, _, inner, trows, pt, _ = m.forward(f, cls, place)
     pc[np.arange(len(pc)), cls] -= 1
     pt[np.arange(len(pt)), place[inner]] -= 1
-    g = np.empty(len(m.weights), np.float32)
-    k = CLASS_ROWS * CLASSES
-    for out, r, p, n, width in ((g[:k], rows, pc, CLASS_ROWS, CLASSES), (g[k:], trows, pt, TOKEN_ROWS, PLACES)):
-        flat = (r.T.reshape(-1, 1) * width + np.arange(width)).ravel()
-        out[:] = np.bincount(flat, np.tile(p, (3, 1)).ravel(), n * width)
-    power += g * g
-    m.weights -= RATE * g / np.sqrt(power)
+    for w, past, r, p in zip(m.split(m.weights), m.split(power), (rows, trows), (pc, pt)):
+        if not len(p):
+            continue
+        # sums by row, column by column: only over rows that occur
+        flat = r.T.reshape(-1)
+        occurs = np.zeros(len(w), bool)
+        occurs[flat] = True
+        at = np.flatnonzero(occurs)
+        flat = (np.cumsum(occurs) - 1)[flat]
+        sums = np.empty((p.shape[1], len(at)), np.float32)
+        for k, column in enumerate(np.ascontiguousarray(p.T, np.float64)):
+            sums[k] = np.bincount(flat, np.tile(column, 3), len(at))
+        g = np.ascontiguousarray(sums.T)
+        so_far = past.take(at, 0)
+        so_far += g * g
+        past[at] = so_far
+        np.sqrt(so_far, out=so_far)
+        g /= so_far
+        g *= np.float32(RATE)
+        w[at] -= g
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -282,34 +353,38 @@ def score(docs: DataFrame) -> DataFrame:
     are alike in both get equal results. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, WORD_BATCH_BYTES)
     docs = docs.select("doc_id", "text", held_out().alias("held_out"))
-    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     counts = materialise(count_tokens(docs.select("held_out", "text"), n_parts), "token-counts")
     n, v, least = totals(counts)
     head, head_counts = common_tokens(counts, least)
     model = Model(head, head_counts, n, v)
     model.weights = train(docs.filter(~F.col("held_out")).select("text").coalesce(max(8, n // TASK_TOKENS)), model)
     whole = float(np.log10(n + v + 1.0))  # taken off token by token: the sums stay small
-    shared = spark.sparkContext.broadcast((model, head, head_counts))
+    shared = spark.sparkContext.broadcast((model, head_counts))
     schema = "kind int, part int, payload binary, key long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        (m, head, head_counts), known = shared.value, {}
-        head_logs = np.log10(head_counts + 1.0) - whole
+        (m, head_counts), known = shared.value, {}
+        head_logs = np.append(np.log10(head_counts + 1.0) - whole, 0.0)
+        seen_in_training = np.append(head_counts > 0, False)
+        share = np.append(m.share, 0.0)
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             texts = texts_of(batch)
-            h, starts = batch_tokens(texts, known)
+            h, starts = batch_tokens(batch.column("text"), known)
             doc = np.repeat(np.arange(len(texts)), np.diff(starts))
             keys = np.array([xxhash.xxh3_64_intdigest(f"{d} {t}") for d, t in zip(batch.column("doc_id").to_pylist(), texts)], np.uint64).view(np.int64)
-            at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0)) if len(head) else np.zeros(len(h), np.int64)
-            hit = head[at] == h if len(head) else np.zeros(len(h), bool)
-            logs = np.where(hit, head_logs[at] if len(head) else 0.0, 0.0)
-            seen = hit & ((head_counts[at] if len(head) else at) > 0)
+            at, hit = m.places.find(h)
+            cls, place = m.targets_at(at, hit)
+            at[~hit] = len(head_counts)
+            logs = head_logs[at]
             f = features(h, starts[:-1])
-            cls, place = m.targets(h)
             parts = np.empty(len(h))
             for a in range(0, len(h), STEP_TOKENS):
                 s = slice(a, a + STEP_TOKENS)
@@ -317,30 +392,41 @@ def score(docs: DataFrame) -> DataFrame:
                 lc = lc.astype(np.float64)
                 lc[inner] += lt
                 parts[s] = lc / np.log(10)
-            # other tokens: log10(c + 1) - log_rest; the sum of all logs holds the placed ones too
-            parts -= np.where(cls == 0, m.log_rest - whole, logs)
-            sums = [np.bincount(doc, x, len(texts)) for x in (seen, logs, parts)]
+            # other tokens: log10(c + 1) - log_rest; the sum of all logs holds those of the head too
+            parts += share[at] - np.where(cls == 0, m.log_rest - whole, logs)
+            sums = [np.bincount(doc, x, len(texts)) for x in (seen_in_training[at], logs, parts)]
             rows = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(rows, np.int32)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.array(keys), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(np.diff(starts)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                 names=["kind", "part", "payload", "key", "doc_id", "held_out", "n_tokens", "known", "logs", "model"],
             )
-            rest = ~hit
-            for out in packed(range_of(h[rest], n_parts), h[rest], keys[doc[rest]]):
-                k = out.num_rows
-                if k:
-                    empty = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), *out.columns, *empty], names=["kind", "part", "payload", "key", "doc_id", "held_out", "n_tokens", "known", "logs", "model"])
+            rare.append((h[~hit], keys[doc[~hit]]))
+            held += len(rare[-1][0])
+            if held >= HELD_RARE:
+                yield from to_ranges(rare)
+                rare, held = [], 0
+        if held:
+            yield from to_ranges(rare)
+
+    def to_ranges(rare: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Rare tokens and the keys of their texts, packed by hash range."""
+        h, key = (np.concatenate(x) for x in zip(*rare))
+        for out in packed(range_of(h, n_parts), h, key):
+            k = out.num_rows
+            empty = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), *out.columns, *empty], names=["kind", "part", "payload", "key", "doc_id", "held_out", "n_tokens", "known", "logs", "model"])
 
     both = materialise(docs.mapInArrow(work, schema), "scored")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by range, its counts first."""
-        now, h0, c0 = None, None, None
+        """Rows sorted by range, its counts first; sums by text are packed once for each range."""
+        now, h0, c0, sums = None, None, None, None
         for batch in batches:
             for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "payload"))):
                 if part != now:
-                    now, h0, c0 = part, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    if sums:
+                        yield from sent(sums)
+                    now, h0, c0, sums = part, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
                 if kind == 0:
                     h0, c0, _ = unpacked([blob], "<u8", "<i8", "<i8")
                     continue
@@ -349,13 +435,20 @@ def score(docs: DataFrame) -> DataFrame:
                 if len(h0):
                     at = np.minimum(np.searchsorted(h0, h), len(h0) - 1)
                     c = np.where(h0[at] == h, c0[at], 0)
-                yield from summed(key, (c > 0).astype(np.int64), np.log10(c + 1.0) - whole)
-
-    def summed(key: np.ndarray, known: np.ndarray, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Sums by key, packed by key."""
+                sums.append(summed(key, (c > 0).astype(np.int64), np.log10(c + 1.0) - whole))
+                if len(sums) > 64:
+                    sums = [summed(*(np.concatenate(x) for x in zip(*sums)))]
+        if sums:
+            yield from sent(sums)
+
+    def summed(key: np.ndarray, known: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sums by key."""
         keys, inverse = np.unique(key, return_inverse=True)
-        sums = np.bincount(inverse, known, len(keys)).astype(np.int64), np.bincount(inverse, logs, len(keys))
-        yield from packed((keys.view(np.uint64) % np.uint64(n_parts)).astype(np.int32), keys, *sums)
+        return keys, np.bincount(inverse, known, len(keys)).astype(np.int64), np.bincount(inverse, logs, len(keys))
+
+    def sent(sums: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys, *rest = summed(*(np.concatenate(x) for x in zip(*sums)))
+        yield from packed((keys.view(np.uint64) % np.uint64(n_parts)).astype(np.int32), keys, *rest)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in parts_of(batches):

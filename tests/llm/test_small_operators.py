@@ -79,6 +79,51 @@ def test_lm_is_a_distribution():
     assert math.isclose(10**m.log_rest, (120 - 100) + (13 - 3) + 1)
 
 
+def test_lm_step_and_bands_match_brute_force():
+    """One gradient step, and the probabilities of all tokens, written out token by token."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n_head = maxent_lm.PLACED * maxent_lm.PLACES + 400
+    head = np.sort(rng.choice(np.arange(10, 10**6, dtype=np.uint64), n_head, replace=False))
+    counts = rng.integers(0, 50, n_head)
+    n, v = int(counts.sum()) + 500, int((counts > 0).sum()) + 300
+    m = maxent_lm.Model(head, counts, n, v)
+    # each band and the other tokens share out what their class has
+    by_class = Counter()
+    for k in range(n_head):
+        if m.cls[k] > maxent_lm.PLACED:
+            by_class[int(m.cls[k])] += 10 ** m.share[k]
+    assert len(by_class) == maxent_lm.BANDS and all(math.isclose(x, 1, rel_tol=1e-9) for x in by_class.values())
+    assert not m.cls[counts == 0].any() and sorted(Counter(m.cls[(m.cls > 0) & (m.cls <= maxent_lm.PLACED)].tolist()).values()) == [maxent_lm.PLACES] * maxent_lm.PLACED
+    h = rng.choice(np.concatenate([head, np.arange(3, 9, dtype=np.uint64)]), 300)
+    at, hit = m.places.find(h)
+    assert (hit == np.isin(h, head)).all() and (head[at[hit]] == h[hit]).all()
+    f, (cls, place) = maxent_lm.features(h, np.array([0, 100])), m.targets(h)
+    m.weights = rng.normal(size=len(m.weights)).astype(np.float32) * np.float32(0.1)
+    before, power = m.weights.copy(), np.ones(len(m.weights), np.float32)
+    rows, _, lc, inner, trows, _, lt = m.forward(f, cls, place)
+    wc, wt = m.split(before)
+    grad = [np.zeros(wc.shape), np.zeros(wt.shape)]
+    for k in range(len(h)):
+        x = sum(wc[r].astype(float) for r in rows[k]) + m.class_bias
+        p = np.exp(x) / np.exp(x).sum()
+        assert math.isclose(lc[k], math.log(p[cls[k]]), abs_tol=1e-4)
+        p[cls[k]] -= 1
+        for r in rows[k]:
+            grad[0][r] += p
+    for j, k in enumerate(inner):
+        x = sum(wt[r].astype(float) for r in trows[j]) + m.token_bias[cls[k]]
+        p = np.exp(x) / np.exp(x).sum()
+        assert math.isclose(lt[j], math.log(p[place[k]]), abs_tol=1e-4)
+        p[place[k]] -= 1
+        for r in trows[j]:
+            grad[1][r] += p
+    maxent_lm.step(m, power, f, cls, place)
+    g = np.concatenate([x.ravel() for x in grad])
+    assert np.allclose(m.weights, before - maxent_lm.RATE * g / np.sqrt(1 + g * g), atol=1e-4)
+
+
 # --- 2: quality rules -------------------------------------------------------------------------------------
 
 
