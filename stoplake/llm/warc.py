@@ -7,13 +7,15 @@ pages by digest, where Spark splits an overlong partition; a revisit keeps the h
 
 A record is one line of Spark's text writer whose line end is the blank lines that end a WARC record, so
 archives are written by the JVM through any Hadoop file system, compressed with gzip. They are read by
-content length.
+content length, one record at a time, and each response's payload is held against its digest.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,7 @@ ID = "urn:x-page:"
 
 
 def decide(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with payload_digest, payload_bytes and refers_to (null: a response).
+    """pages(page_id, url, html) with payload_digest, payload_bytes, refers_to (null: a response) and its URL.
 
     A null html is an empty payload. Of rows that repeat the largest page_id of a payload each is a
     response; rows with a null page_id refer to the largest one, and are responses if there is none.
@@ -39,18 +41,19 @@ def decide(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    headers = pages.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    first = headers.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    first = first.withColumnRenamed("payload_digest", "digest")
+    headers = pages.filter(F.col("payload_bytes") >= least).select("page_id", "url", "payload_digest")
+    first = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select(F.col("payload_digest").alias("digest"), F.col("r.page_id").alias("response_id"), F.col("r.url").alias("response_url"))
     joined = pages.join(first, pages.payload_digest == first.digest, "left")
     refers = F.when(F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
-    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("response_url")).alias("refers_to_url"))
 
 
 def write(decided: DataFrame, path: str) -> None:
     """Archives under path: one record for each row, revisits without their payload."""
     crlf = "\r\n"
-    uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A")
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", "%0A")
+    uri = plain("url")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(crlf + crlf))
@@ -61,7 +64,7 @@ def write(decided: DataFrame, path: str) -> None:
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(again, F.concat(F.lit(f"WARC-Refers-To: <{ID}"), F.col("refers_to").cast("string"), F.lit(f">{crlf}WARC-Profile: {PROFILE}"))),
+        F.when(again, F.concat(F.lit(f"WARC-Refers-To: <{ID}"), F.col("refers_to").cast("string"), F.lit(f">{crlf}WARC-Refers-To-Target-URI: "), plain("refers_to_url"), F.lit(f"{crlf}WARC-Refers-To-Date: {DATE}{crlf}WARC-Profile: {PROFILE}"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
@@ -69,21 +72,22 @@ def write(decided: DataFrame, path: str) -> None:
     decided.select(record.alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and the block of each record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:end].decode().split("\r\n")
-        if first != "WARC/1.1":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines)
+def records(raw: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers and the block of each record of an archive, which is read one record at a time."""
+    while first := raw.readline():
+        if first != b"WARC/1.1\r\n":
+            raise ValueError(f"no WARC record: {first[:40]!r}")
+        head = {}
+        while (line := raw.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("a record ends in its headers")
+            name, _, value = line[:-2].decode().partition(": ")
+            head[name] = value
         size = int(head["Content-Length"])
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if raw[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at} does not end there")
-        at += 4
+        block = raw.read(size)
+        if len(block) != size or raw.read(4) != b"\r\n\r\n":
+            raise ValueError("a record does not end where its headers say")
+        yield head, block
 
 
 FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -92,7 +96,8 @@ FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, r
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row for each record of the archives under path; with payload, also html (null for revisits).
 
-    payload_bytes of a revisit is what its stored HTTP headers say of the payload that it stands for.
+    payload_bytes of a revisit is what its stored HTTP headers say of the payload that it stands for. An
+    archive that is cut short or has been changed raises an error.
     """
     prepare(spark)
 
@@ -100,12 +105,14 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content"):
                 rows = []
-                for head, block in records(gzip.decompress(raw.as_buffer())):
+                for head, block in records(gzip.GzipFile(fileobj=pa.BufferReader(raw.as_buffer()))):
                     http, _, body = block.partition(b"\r\n\r\n")
                     size = int(http.rsplit(b"Content-Length: ", 1)[1])
                     again = head["WARC-Type"] == "revisit"
                     if not again and len(body) != size:
                         raise ValueError("a response's payload is not as long as its headers say")
+                    if not again and hashlib.sha1(body).hexdigest() != head["WARC-Payload-Digest"].removeprefix("sha1:"):
+                        raise ValueError("a response's payload has another digest than its headers say")
                     ids = [None if x in (None, "none") else int(x) for x in (_page(head.get(k)) for k in ("WARC-Record-ID", "WARC-Refers-To"))]
                     row = [ids[0], head["WARC-Target-URI"], size, head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], ids[1]]
                     rows.append([*row, None if again else body.decode()] if payload else row)
