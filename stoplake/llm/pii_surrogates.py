@@ -385,17 +385,18 @@ def by_text(docs: DataFrame) -> DataFrame:
     return out
 
 
-def protect(docs: DataFrame) -> DataFrame:
-    """docs with surrogates in text and their number in n_entities; all other columns stay, whatever their names.
+def protect(docs: DataFrame, count: str | None = "n_entities") -> DataFrame:
+    """docs with surrogates in text and, in the column named by count, the number of mentions that the expression finds.
 
-    n_entities counts the mentions that the expression finds; a column of that name is replaced. A null text
-    stays null with 0 entities; rows that repeat stay alike. An empty table gives an empty one.
+    A column of that name is replaced; all others stay, whatever their names, as do all if count is None. A
+    null text stays null with 0 entities; rows that repeat stay alike. An empty table gives an empty one.
     """
     maps = by_text(docs.select("text")).select("copy", F.struct("put", "words").alias("new"))
-    names = [c for c in docs.columns if c != "n_entities"]
+    names = [c for c in docs.columns if c != count]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.md5("text").alias("copy"))
     # both sides grow with the corpus: one way of joining for every size, which Spark can split where copies are hot
     joined = held.join(maps.hint("merge"), "copy", "left")
     text = F.when(F.col("new").isNull(), F.col("row.text")).otherwise(replaced(F.col("row.text"), F.col("new.put"), F.col("new.words")))
     out = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return joined.select(*out, F.when(F.col("new").isNull(), F.lit(0)).otherwise(F.size("new.put")).alias("n_entities"))
+    found = F.when(F.col("new").isNull(), F.lit(0)).otherwise(F.size("new.put"))
+    return joined.select(*out, *([] if count is None else [found.alias(count)]))

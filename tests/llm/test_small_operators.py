@@ -247,6 +247,15 @@ def test_entropy_by_alphabet_and_beside_what_is_cut_out():
         assert secret_scan.scan_text(f"see {odd} here")[4] == "", odd
 
 
+def test_redaction_takes_every_span_out(spark):
+    key = "q8Zx2Lm9Kd7Rt4Vb1Nc6Hy3Wp5Jf0Sg"
+    rows = [(1, f"a token=abcdefghijklmnop b {key} c {'0123456789abcdef' * 2} d"), (2, None), (3, ""), (4, "nothing"), (5, f"token={key}{key}")]
+    got = {r.doc_id: r for r in secret_scan.redact(docs_of(spark, rows)).collect()}
+    assert got[1].text == "a [SECRET] b [SECRET] c [SECRET] d" and got[5].text == "[SECRET]"
+    assert [got[k].text for k in (2, 3, 4)] == [None, "", "nothing"] and got[1].lang == "en"
+    assert secret_scan.redact(docs_of(spark, [])).collect() == []
+
+
 # --- 5: surrogates ----------------------------------------------------------------------------------------
 
 PERSONAL = "Mail hoc.96@mail8.example.com or HOC.96@mail8.example.com, call +1 (386) 555-3733 or 1-386-555-3733x, card 4944339490429605, 4944-3394-9042-9605 at 61.131.143.218. Mrs Anna Kovač met Mr Ivan Petrov; Mrs Kovač left. SSN 123-45-6789 IBAN DE44500105175407324931."
