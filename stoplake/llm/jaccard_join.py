@@ -63,7 +63,7 @@ def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     except KeyError:
         import xxhash
 
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -201,7 +201,7 @@ def posting_rows(docs: DataFrame, n_parts: int) -> DataFrame:
                 elif node in seen:
                     n = seen[node]
                 else:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     h = shingles(words, known)
                     n = seen[node] = len(h)

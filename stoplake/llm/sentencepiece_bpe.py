@@ -30,7 +30,7 @@ from stoplake.llm.common import prepare, texts_of
 SPACE = "▁"
 UNCLEAR = "\uffff"
 #: Entries of a worker's word table and pair table; a full table is emptied.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 150_000
 #: Longer parts (texts without spaces) are encoded anew each time, not kept.
 KEPT_CHARS = 40
 
