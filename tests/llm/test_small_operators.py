@@ -530,25 +530,3 @@ def test_warc_matches_sql_and_restores_pages(spark, tmp_path):
     restored = warc.resolved(warc.read(spark, path, payload=True)).collect()
     assert sorted(((r.page_id, r.html) for r in restored), key=repr) == sorted(((i, h or "") for i, _, h in rows), key=repr)
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
-
-
-def test_warc_headers_and_damaged_archives(spark, tmp_path):
-    import gzip
-    import io
-
-    big = "<p>x</p>" * 200
-    pages = spark.createDataFrame([(1, "http://a", big), (2, "http://b\nc", big), (3, "http://c", "y")], "page_id long, url string, html string")
-    path = f"file://{tmp_path}/archive"
-    warc.write(warc.decide(pages).coalesce(1), path)
-    (name,) = [p for p in (tmp_path / "archive").iterdir() if p.name.endswith(".gz") and not p.name.startswith(".")]
-    raw = gzip.decompress(name.read_bytes())
-    heads = {h["WARC-Record-ID"]: h for h, _ in warc.records(io.BytesIO(raw))}
-    again = heads["<urn:x-page:1>"]
-    assert again["WARC-Type"] == "revisit" and again["WARC-Refers-To"] == "<urn:x-page:2>" and again["WARC-Refers-To-Target-URI"] == "http://b%0Ac" and again["WARC-Refers-To-Date"] == warc.DATE
-    with pytest.raises(ValueError):
-        list(warc.records(io.BytesIO(raw[:-9])))
-    name.write_bytes(gzip.compress(raw.replace(b"\r\n\r\ny\r\n", b"\r\n\r\nz\r\n")))
-    for crc in (tmp_path / "archive").glob(".*.crc"):
-        crc.unlink()
-    with pytest.raises(Exception, match="another digest"):
-        warc.read(spark, path).collect()
