@@ -18,6 +18,8 @@ from stoplake.llm.common import prepare
 
 #: Bounds of the sample that is learned from: texts of each language, bytes of a dictionary and of all, and characters of a piece of a text.
 SAMPLE_TEXTS, DICTIONARY_BYTES, TOTAL_BYTES, PIECE_CHARS = 400, 96 << 10, 64 << 20, 200
+#: Labels whose counts are broadcast, at most.
+BROADCAST_LANGUAGES = 100_000
 #: Bytes of a block, compression level, and the relative margin under which a verdict is rejected.
 BLOCK_BYTES, LEVEL, MARGIN = 8 << 10, 3, 0.01
 UNDETERMINED = "und"
@@ -44,7 +46,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     most = min(DICTIONARY_BYTES, TOTAL_BYTES // n_langs)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
     # labels are joined, not listed: there may be many
-    few = known.join(counts, "lang").withColumn("place", place).filter(F.col("place") < F.lit(1 + 2 * SAMPLE_TEXTS * span) / F.col("n"))
+    # a row for each label: small, unless labels are counted in hundreds of thousands; then texts are shuffled by label
+    few = known.join(F.broadcast(counts) if n_langs <= BROADCAST_LANGUAGES else counts, "lang").withColumn("place", place).filter(F.col("place") < F.lit(1 + 2 * SAMPLE_TEXTS * span) / F.col("n"))
     first = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
     sample = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_TEXTS).select("lang", "k", F.lower("text").alias("text"))
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / PIECE_CHARS) - 1, F.lit(0)))
