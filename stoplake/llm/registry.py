@@ -6,8 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from stoplake.llm import decontaminate, jaccard_join, language_id, maxent_lm, pii_surrogates, quality_rules, secret_scan, sentencepiece_bpe, token_orc, warc
+from pyspark.sql import functions as F
+
+from stoplake.llm import (
+    decontaminate,
+    filter_audit,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    maxent_lm,
+    pii_surrogates,
+    quality_rules,
+    secret_scan,
+    sentencepiece_bpe,
+    simhash_trie,
+    token_orc,
+    warc,
+)
 from stoplake.llm.common import table
 
 
@@ -51,6 +66,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.join(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable]:
     each = (
         op1_maxent_lm,
@@ -63,9 +92,12 @@ def queries() -> dict[str, Callable]:
         op8_sentencepiece,
         op9_decontaminate,
         op10_warc,
+        op11_hard_negatives,
+        op12_simhash_trie,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op10_warc": warc.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
