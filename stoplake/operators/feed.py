@@ -8,33 +8,41 @@ from pyspark.sql import functions as F
 from stoplake.functions.calendar import date8
 from stoplake.functions.keys import netex_id
 from stoplake.operators import timetable as ops
-from stoplake.sources.files import read_netex
+from stoplake.sources import netex
 from stoplake.sources.sinks import feed_archive
 
 #: Agencies by profile: id, name, URL, time zone, language.
 AGENCIES = {"italy": ("FL", "Trenitalia", "https://www.trenitalia.com", "Europe/Rome", "it")}
 
 
-def tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables that timetable operators work on, of what read_netex() gives; ids are stripped."""
+def tables(elements: DataFrame) -> dict[str, DataFrame]:
+    """The tables that timetable operators work on, of what netex.read() gives; ids are stripped.
+
+    Of elements with one id the last in the document counts, journeys apart, which all count.
+    """
     ref = lambda c: netex_id(F.col(c))
     trim = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    last = lambda df, key: df.groupBy(key).agg(F.last(F.struct(*[c for c in df.columns if c != key])).alias("_x")).select(key, "_x.*")  # noqa: E731  of elements with one id the last counts
-    lines = raw["Line"].select(ref("_id").alias("line_id"), trim("ShortName").alias("short_name"), trim("Name").alias("long_name"), trim("TransportMode").alias("mode"))
-    stops = raw["ScheduledStopPoint"].select(ref("_id").alias("stop_id"), trim("Name").alias("name"), F.col("Location.Longitude").alias("lon"), F.col("Location.Latitude").alias("lat"))
-    periods = raw["UicOperatingPeriod"].select(ref("_id").alias("period_id"), F.try_to_date(date8(trim("FromDate")), "yyyyMMdd").alias("from_date"), trim("ValidDayBits").alias("bits"))
-    assigned = raw["DayTypeAssignment"].select(ref("DayTypeRef._ref").alias("service_id"), F.coalesce(ref("OperatingPeriodRef._ref"), F.lit("")).alias("period_id"))
-    points = raw["ServiceJourneyPattern"].select(F.explode("pointsInSequence.StopPointInJourneyPattern").alias("p"))
-    points = points.select(ref("p._id").alias("point_id"), ref("p.ScheduledStopPointRef._ref").alias("stop_id"), F.coalesce("p._order", F.lit(0)).alias("seq")).filter("stop_id <> ''")
-    j = raw["ServiceJourney"]
+    of = lambda tag: elements.filter(F.col("tag") == tag)
+
+    def last(df: DataFrame, key: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in (key, "ordinal")]
+        return df.groupBy(key).agg(F.max_by(F.struct(*rest), "ordinal").alias("_x")).select(key, "_x.*")
+
+    lines = of("Line").select("ordinal", ref("id").alias("line_id"), trim("short_name").alias("short_name"), trim("name").alias("long_name"), trim("mode").alias("mode"))
+    stops = of("ScheduledStopPoint").select("ordinal", ref("id").alias("stop_id"), trim("name").alias("name"), "lon", "lat")
+    periods = of("UicOperatingPeriod").select("ordinal", ref("id").alias("period_id"), F.try_to_date(date8(trim("from_date")), "yyyyMMdd").alias("from_date"), trim("bits").alias("bits"))
+    assigned = of("DayTypeAssignment").select(ref("day_ref").alias("service_id"), F.coalesce(ref("period_ref"), F.lit("")).alias("period_id"))
+    points = of("ServiceJourneyPattern").select("ordinal", F.posexplode("points").alias("pos", "p"))
+    points = points.select(F.struct("ordinal", "pos").alias("ordinal"), ref("p.id").alias("point_id"), ref("p.stop_ref").alias("stop_id"), F.coalesce("p.seq", F.lit(0)).alias("seq")).filter("stop_id <> ''")
+    j = of("ServiceJourney")
     journeys = j.select(
-        ref("_id").alias("journey_id"), F.coalesce(ref("FlexibleLineView.LineRef._ref"), ref("LineRef._ref"), F.lit("")).alias("line_id"), F.coalesce(netex_id(F.get("dayTypes.DayTypeRef", F.lit(0))["_ref"]), F.lit("")).alias("service_id"), trim("Name").alias("headsign"),
-        date8(trim("ValidBetween.FromDate")).alias("from_date"), date8(trim("ValidBetween.ToDate")).alias("to_date"),
+        ref("id").alias("journey_id"), F.coalesce(ref("line_ref"), F.lit("")).alias("line_id"), F.coalesce(ref("day_ref"), F.lit("")).alias("service_id"), trim("name").alias("headsign"),
+        date8(trim("from_date")).alias("from_date"), date8(trim("to_date")).alias("to_date"),
     )
-    passing = j.select(ref("_id").alias("journey_id"), F.posexplode("passingTimes.TimetabledPassingTime").alias("pos", "t"))
-    passing = passing.select("journey_id", "pos", ref("t.StopPointInJourneyPatternRef._ref").alias("point_id"), trim("t.ArrivalTime").alias("arrival"), trim("t.DepartureTime").alias("departure"))
-    operator = raw["Operator"].select(trim("Name").alias("name"))
-    days = raw["DayType"].select(ref("_id").alias("service_id"), trim("properties.PropertyOfDay.DaysOfWeek").alias("days"))
+    passing = j.select(ref("id").alias("journey_id"), F.posexplode("times").alias("pos", "t"))
+    passing = passing.select("journey_id", "pos", ref("t.point_ref").alias("point_id"), trim("t.arrival").alias("arrival"), trim("t.departure").alias("departure"))
+    operator = of("Operator").select("ordinal", trim("name").alias("name"))
+    days = of("DayType").select(ref("id").alias("service_id"), trim("days").alias("days"))
     return {"lines": last(lines, "line_id"), "stops": last(stops, "stop_id"), "periods": last(periods, "period_id"), "assignments": assigned, "points": last(points, "point_id"), "journeys": journeys, "passing": passing, "operator": operator, "days": days}
 
 
@@ -46,7 +54,7 @@ def members(t: dict[str, DataFrame], profile: str = "italy", shapes: DataFrame |
     """
     ident, name, url, zone, lang = AGENCIES[profile]
     spark = t["lines"].sparkSession
-    own = t["operator"].filter("name <> ''").agg(F.last("name").alias("own"))
+    own = t["operator"].filter("name <> ''").agg(F.max_by("name", "ordinal").alias("own"))
     agency = own.select(F.lit(ident).alias("agency_id"), F.coalesce("own", F.lit(name)).alias("agency_name"), F.lit(url).alias("agency_url"), F.lit(zone).alias("agency_timezone"), F.lit(lang).alias("agency_lang"))
     dates = ops.service_dates(t["assignments"], t["periods"])
     trips = ops.valid_trips(t["journeys"], t["lines"], dates)
@@ -66,11 +74,10 @@ def members(t: dict[str, DataFrame], profile: str = "italy", shapes: DataFrame |
 def convert(spark: SparkSession, path: str, out: str, profile: str = "italy", shapes: DataFrame | None = None) -> dict[str, int]:
     """A timetable document to a written feed; gives the rows of its members.
 
-    Each element type is parsed once and kept while the members are written; what is lost is parsed again.
+    The document is read once, and its elements are kept while the members are written; what is lost is read again.
     """
-    parsed = {name: df.persist() for name, df in tables(read_netex(spark, path)).items()}
+    elements = netex.read(spark, path).persist()
     try:
-        return feed_archive(members(parsed, profile, shapes), out)
+        return feed_archive(members(tables(elements), profile, shapes), out)
     finally:
-        for df in parsed.values():
-            df.unpersist()
+        elements.unpersist()

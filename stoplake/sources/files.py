@@ -86,24 +86,6 @@ def read_region(directory: str, target: str) -> list[dict]:
     return out
 
 
-def read_netex(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The element types of a timetable document as tables, one scan for each (A03, A04, P19); .gz is read as well."""
-    ref = "struct<_ref: string>"
-    points = f"struct<_id: string, _order: int, ScheduledStopPointRef: {ref}>"
-    times = f"struct<StopPointInJourneyPatternRef: {ref}, ArrivalTime: string, DepartureTime: string>"
-    schemas = {
-        "Operator": "_id string, Name string",
-        "Line": "_id string, Name string, ShortName string, TransportMode string",
-        "ScheduledStopPoint": "_id string, Name string, Location struct<Longitude: double, Latitude: double>",
-        "DayType": "_id string, properties struct<PropertyOfDay: struct<DaysOfWeek: string>>",
-        "UicOperatingPeriod": "_id string, FromDate string, ToDate string, ValidDayBits string",
-        "DayTypeAssignment": f"_id string, OperatingPeriodRef {ref}, DayTypeRef {ref}",
-        "ServiceJourneyPattern": f"_id string, pointsInSequence struct<StopPointInJourneyPattern: array<{points}>>",
-        "ServiceJourney": f"_id string, Name string, ValidBetween struct<FromDate: string, ToDate: string>, LineRef {ref}, FlexibleLineView struct<LineRef: {ref}>, dayTypes struct<DayTypeRef: array<{ref}>>, passingTimes struct<TimetabledPassingTime: array<{times}>>",
-    }
-    return {tag: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema).load(path) for tag, schema in schemas.items()}
-
-
 BINS = 13
 TIER = "map<string, struct<count: long, sum_delay: long, sum_delay_sq: decimal(38,0), min: int, max: int, on_time_count: long, hist: struct<bins: array<long>>>>"
 #: Fixed value: a stored Tier-2 map beyond this is taken as damaged.

@@ -1,6 +1,8 @@
 """Literal cases of the domain: aggregates, calendar, itineraries, addresses, sources, streaming, geometry."""
 
+import csv
 import gzip
+import io
 import json
 import os
 import zipfile
@@ -14,7 +16,8 @@ from stoplake.functions import address, calendar, keys, modes, text
 from stoplake.operators import extract as extracts
 from stoplake.operators import feed as feeds
 from stoplake.operators import geometry, itineraries, lines, places, regions, reliability
-from stoplake.sources import files, gtfs_rt, osm_pbf, sinks
+from stoplake.operators.numbering import numbered
+from stoplake.sources import files, gtfs_rt, netex, osm_pbf, sinks, zipped
 from stoplake.streaming import ingest
 
 EVENT = "route_id string, direction_id int, stop_id string, service_date string, delay_s int, feed_hour int"
@@ -231,7 +234,7 @@ def timetable_xml():
 def test_timetable_to_feed(spark, tmp_path, gz):
     path = tmp_path / ("x.xml.gz" if gz else "x.xml")
     path.write_bytes(gzip.compress(timetable_xml().encode()) if gz else timetable_xml().encode())
-    t = feeds.tables(files.read_netex(spark, str(path)))
+    t = feeds.tables(netex.read(spark, str(path), 700))
     shapes = spark.createDataFrame([("1", [(12.0, 41.0), (12.5, 41.5)]), ("2", [(1.0, 2.0)])], "line_id string, points array<struct<lon: double, lat: double>>")
     assert t["days"].first().days == "Monday Friday"
     out = str(tmp_path / "feed.zip")
@@ -356,13 +359,87 @@ def test_events_read_softly_and_windowed_fold(spark, tmp_path):
     assert [(r.stop_id, r.n, r.tod) for r in spark.table("folded").collect()] == [("1", 1, "midday")] or [(r.stop_id, r.n) for r in spark.table("folded").collect()] == [("1", 1)]
 
 
+def rows_of_netex(spark, path, range_bytes):
+    df = netex.read(spark, str(path), range_bytes)
+    return df.rdd.getNumPartitions(), sorted(map(repr, df.collect()))
+
+
+def test_netex_ranges(spark, tmp_path):
+    """Whatever the ranges, the elements and their places are the same: comments, character data and prefixes across borders, too."""
+    line = lambda i, name: f'<n:Line id="a:b:c:L{i}" n:x="1">\n<n:Name>{name}</n:Name><n:TransportMode>rail</n:TransportMode></n:Line >'
+    body = '<?xml version="1.0" encoding="iso-8859-1"?><n:D xmlns:n="http://www.netex.org.uk/netex"><!-- ' + line(90, "no") * 9 + " -->"
+    body += "".join(line(i % 7, f"é {i} &lt;") for i in range(40)) + "<Note><![CDATA[" + line(91, "no") * 5 + "]]></Note>"
+    body += '<Operator id="empty"/><Line id="z"><Name>last<!-- <Line> --></Name></Line><DayTypeRef ref="no"/></n:D>'
+    path = tmp_path / "x.xml"
+    path.write_bytes(body.encode("iso-8859-1"))
+    _, want = rows_of_netex(spark, path, 1 << 20)
+    assert len(want) == 42 and not any("no" in r for r in want) and sum("é" in r for r in want) == 40
+    for size in (61, 200, 997):
+        parts, got = rows_of_netex(spark, path, size)
+        assert parts == -(-len(body) // size) and got == want
+    (tmp_path / "x.xml.gz").write_bytes(gzip.compress(path.read_bytes()))
+    assert rows_of_netex(spark, tmp_path / "x.xml.gz", 50) == (1, want)
+    last = {r.line_id: r.long_name for r in feeds.tables(netex.read(spark, str(path), 61))["lines"].collect()}
+    assert last == {f"L{k}": f"é {max(i for i in range(40) if i % 7 == k)} <" for k in range(7)} | {"z": "last"}
+
+
+def test_netex_reads(monkeypatch):
+    """Elements and tags that a read cuts, and one that does not end."""
+    monkeypatch.setattr(netex, "READ_BYTES", 5)
+    monkeypatch.setattr(netex, "TAG_BYTES", 40)
+    body = b'<d><Line id="1"><Name>a</Name></Line><!-- <Line> --><ServiceJourneyPattern/><DayType id="2"></DayType></d>'
+    assert [(t, x[-8:]) for _, t, x in netex.elements_in(io.BytesIO(body), 0, None)] == [("Line", b"e></Line"[-7:] + b">"), ("ServiceJourneyPattern", b"attern/>"), ("DayType", b"DayType>")]
+    with pytest.raises(ValueError, match="Line at byte 3"):
+        list(netex.elements_in(io.BytesIO(body[:20]), 0, None))
+
+
 def test_netex_tables(spark, tmp_path):
     (tmp_path / "x.xml").write_text(
         '<D xmlns="http://www.netex.org.uk/netex"><Line id="a:b:c:L1"><Name>One</Name><TransportMode>rail</TransportMode></Line>'
         '<UicOperatingPeriod id="P"><FromDate>2026-04-21T00:00:00</FromDate><ValidDayBits>11110011</ValidDayBits></UicOperatingPeriod></D>'
     )
-    t = files.read_netex(spark, str(tmp_path / "x.xml"))
-    assert t["Line"].first().Name == "One" and t["UicOperatingPeriod"].first().ValidDayBits == "11110011" and t["ServiceJourney"].count() == 0
+    t = {r.tag: r for r in netex.read(spark, str(tmp_path / "x.xml")).collect()}
+    assert set(t) == {"Line", "UicOperatingPeriod"} and t["Line"].name == "One" and t["UicOperatingPeriod"].bits == "11110011"
+
+
+def test_numbers_follow_the_order_over_parts(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"), (F.col("id") % 3).alias("g")).repartition(7)
+    out = {(r.g, r.id): r.place for r in numbered(df, "g", F.desc("id")).collect()}
+    assert [k for k, _ in sorted(out.items(), key=lambda x: x[1])] == sorted(out, key=lambda k: (k[0], -k[1])) and sorted(out.values()) == list(range(1, 1001))
+    assert numbered(df.limit(0), "g").collect() == []
+
+
+def test_feed_archive_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of few rows, deflated apart: a sound archive with the same bytes however rows are dealt out."""
+    monkeypatch.setattr(sinks, "BLOCK_ROWS", 7)
+    dates = spark.range(100).selectExpr("concat('s', id % 9) service_id", "cast(20260101 + id as string) date", "1 exception_type")
+    times = spark.range(60).selectExpr("concat('t', id % 2) trip_id", "'10:00:00' arrival_time", "if(id % 5 = 0, null, '10:00:00') departure_time", "'a \"b\", c' stop_id", "cast(id as int) stop_sequence")
+    raw = []
+    for n in (1, 5):
+        path = str(tmp_path / f"{n}.zip")
+        assert sinks.feed_archive({"stop_times": times.repartition(n), "calendar_dates": dates.repartition(n)}, path) == {"services": 9, "stop_times": 60}
+        raw.append(open(path, "rb").read())
+    assert raw[0] == raw[1]
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.namelist() == ["calendar_dates.txt", "stop_times.txt"]
+        got = list(csv.reader(io.StringIO(z.read("stop_times.txt").decode())))
+        assert got[0] == list(sinks.MEMBERS["stop_times"]) and [(r[0], r[2], int(r[4])) for r in got[1:]] == sorted((f"t{i % 2}", "" if i % 5 == 0 else "10:00:00", i) for i in range(60)) and got[1][3] == 'a "b", c' and got[1][2] == ""
+        assert z.read("calendar_dates.txt").decode().splitlines()[1:] == sorted(f"s{i % 9},{20260101 + i},1" for i in range(100))
+
+
+def test_large_archives_have_wide_fields(tmp_path):
+    entries = [zipped.Entry("a.txt", 1, 2**33, 2**32 + 5, b""), zipped.Entry("b.txt", 2, 3, 4, b"")]
+    at = zipped.offsets(entries)
+    held = io.BytesIO(zipped.directory(entries, at))
+    tail = held.getvalue()
+    with open(tmp_path / "x.zip", "wb") as f:  # sparse: only the headers and the directory are there
+        for e, o in zip(entries, at):
+            f.seek(o)
+            f.write(zipped.local_header(e))
+        f.seek(at[-1])
+        f.write(tail)
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert [(i.filename, i.CRC, i.file_size, i.compress_size, i.header_offset) for i in z.infolist()] == [("a.txt", 1, 2**33, 2**32 + 5, 0), ("b.txt", 2, 3, 4, at[1])]
 
 
 def test_boards(spark):
@@ -457,6 +534,41 @@ def test_map_extract(spark, tmp_path, compress):
     e.unpersist()
 
 
+def test_map_extract_in_ranges(spark, tmp_path):
+    """A file of many blobs is cut by its headers; groups of other kinds are not decoded; what is cut short is an error."""
+    blocks = [([], [(100 * k + i, 12.0 + k / 100, 41.9, {"name": "é" * i}) for i in range(1, 9)], [(k, [100 * k + 1, 100 * k + 2], {})], []) for k in range(40)]
+    raw = extract(blocks, True)
+    path = tmp_path / "many.pbf"
+    path.write_bytes(raw)
+    cut = osm_pbf.ranges(str(path), 300)
+    assert len(cut) > 10 and cut[0].start == 0 and cut[-1].end == len(raw) and all(a.end == b.start for a, b in zip(cut, cut[1:]))
+    whole = osm_pbf.read(spark, str(path), range_bytes=300)
+    assert whole.rdd.getNumPartitions() == len(cut) and whole.count() == 40 * 9
+    assert {r.kind: r["count"] for r in whole.groupBy("kind").count().collect()} == {"node": 320, "way": 40}
+    assert osm_pbf.read(spark, str(path), ("way",)).select("kind").distinct().count() == 1
+    blob = next(osm_pbf.blobs_of(cut[0]))
+    assert [r[0] for r in osm_pbf.elements_of(blob, ("way",))] == ["way"] and list(osm_pbf.elements_of(blob, ("relation",))) == []
+    path.write_bytes(raw[:-3])
+    with pytest.raises(ValueError, match="cut short"):
+        osm_pbf.ranges(str(path))
+    path.write_bytes(b"x" * 100)
+    with pytest.raises(ValueError, match="header"):
+        osm_pbf.ranges(str(path))
+
+
+def test_map_extract_round_trip(spark, tmp_path):
+    rows = [("node", -(2**40), -12.5, -41.9, {}, None, None), ("node", 3, 180.0, 90.0, {"a": "", "name": "Ü"}, None, None), ("way", 5, None, None, {}, [], None), ("way", 2**62, None, None, {"k": "v"}, [2**40, -1, 7], None)]
+    rows += [("relation", 1, None, None, {"t": "x"}, None, [("node", 3, "stop"), ("way", 2**62, ""), ("relation", -9, "é")])]
+    path = str(tmp_path / "out")
+    for part in (rows[:2], rows):  # the second replaces the first
+        osm_pbf.write(spark.createDataFrame(part, osm_pbf.SCHEMA).repartition(2), path)
+    assert {repr(r) for r in osm_pbf.read(spark, path).collect()} == {repr(r) for r in spark.createDataFrame(rows, osm_pbf.SCHEMA).collect()}
+    osm_pbf.write(spark.createDataFrame(rows[:1], osm_pbf.SCHEMA), path, "append")
+    assert osm_pbf.read(spark, path).count() == 6
+    osm_pbf.write(spark.createDataFrame([], osm_pbf.SCHEMA), path)
+    assert osm_pbf.read(spark, path).collect() == []
+
+
 def test_rings(spark):
     square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
     assert geometry.area(square) == 10_000 and geometry.covers(square, (50, 50)) and geometry.covers(square, (0, 50)) and not geometry.covers(square, (101, 50))
