@@ -118,7 +118,7 @@ def collapse(spark, d):
     return ops.collapse(track(spark, d).select("line_id", "pos", F.floor(F.col("x") / 8).cast("double").alias("x"), F.lit(0.0).alias("y")))
 
 
-@query("win_densify", f"WITH {TRACK}, g AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM tk WINDOW w AS (PARTITION BY line_id ORDER BY pos)), n AS (SELECT *, coalesce(greatest(ceil(sqrt(pow(nx - x, 2) + pow(ny - y, 2)) / 16), 1), 1)::INTEGER AS n FROM g), k AS (SELECT *, unnest(range(0, n)) AS k FROM n) SELECT line_id, CAST(pos AS INTEGER) AS pos, CAST(k AS INTEGER) AS k, round((CASE WHEN k = 0 THEN x ELSE x + (nx - x) * (k / n) END) * 1e6) / 1e6 AS x, round((CASE WHEN k = 0 THEN y ELSE y + (ny - y) * (k / n) END) * 1e6) / 1e6 AS y FROM k")
+@query("win_densify", f"WITH {TRACK}, g AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM tk WINDOW w AS (PARTITION BY line_id ORDER BY pos)), n AS (SELECT *, coalesce(greatest(floor(sqrt(pow(nx - x, 2) + pow(ny - y, 2)) / 16), 1), 1)::INTEGER AS n FROM g), k AS (SELECT *, unnest(range(0, n)) AS k FROM n) SELECT line_id, CAST(pos AS INTEGER) AS pos, CAST(k AS INTEGER) AS k, round((CASE WHEN k = 0 THEN x ELSE x + (nx - x) * (k / n) END) * 1e6) / 1e6 AS x, round((CASE WHEN k = 0 THEN y ELSE y + (ny - y) * (k / n) END) * 1e6) / 1e6 AS y FROM k")
 def densify(spark, d):
     out = ops.densify(track(spark, d))
     return out.select("line_id", "pos", "k", rounded(F.col("x"), 6).alias("x"), rounded(F.col("y"), 6).alias("y"))

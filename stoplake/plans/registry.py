@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from stoplake.plans import reliability_queries, itinerary_queries, place_queries, timetable_queries, line_queries, scalar_queries, article_queries, map_queries  # noqa: F401, I001
+    from stoplake.plans import reliability_queries, itinerary_queries, place_queries, timetable_queries, line_queries, scalar_queries, article_queries, map_queries, station_queries  # noqa: F401, I001
 
 
 def queries() -> dict[str, Callable]:

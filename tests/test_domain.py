@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stoplake.functions import address, calendar, keys, modes, text
 from stoplake.operators import extract as extracts
 from stoplake.operators import feed as feeds
-from stoplake.operators import geometry, itineraries, lines, places, regions, reliability
+from stoplake.operators import geometry, itineraries, lines, places, regions, reliability, stations
 from stoplake.operators.numbering import numbered
 from stoplake.sources import files, gtfs_rt, netex, osm_pbf, sinks, zipped
 from stoplake.streaming import ingest
@@ -575,12 +575,102 @@ def test_rings(spark):
     smooth = geometry.smooth(square, [(50, 50)])
     assert geometry.covers(smooth, (50, 50)) and abs(geometry.area(smooth) - 10_000) <= 2500
     assert (geometry.smooth(square, [(0, 0)]) == square).all()
-    strip = geometry.platform_ring([np.array([(x, 0.0) for x in range(-100, 101, 10)])], (3.0, 4.0))
-    assert (strip[0] == strip[-1]).all() and strip[:, 1].min() > 1 and strip[:, 1].max() < 6.3
     pts = spark.createDataFrame([("s", x, y, x == 50.0) for x, y in [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0), (50.0, 50.0)]], "name string, x double, y double, is_stop boolean")
     assert geometry.station_hulls(pts).count() >= 4
 
 
+def test_platform_strips():
+    """The strip is left of the track, wherever the stop is; sparse tracks reach on to their next vertices and are cut into parts."""
+    track = np.array([(x, 0.0) for x in range(0, 201, 10)])
+    ring = geometry.platform_ring(track, 10)
+    assert (ring[0] == ring[-1]).all() and ring[:, 1].min() >= 0 and ring[:, 1].max() == pytest.approx(6.2)
+    assert (ring[:, 0].min(), ring[:, 0].max()) == (40, 160)  # the first vertices at 52 m or more
+    sparse = geometry.platform_ring(np.array([(0.0, 0.0), (200.0, 0.0), (400.0, 0.0)]), 1)
+    assert sparse[0].tolist() == [0, 1.2] and len(sparse) == 2 * 25 + 1  # 12 parts of each 200 m
+    down = geometry.platform_ring(track[::-1], 0)
+    assert down[:, 1].max() < 0 and (down[:, 0].min(), down[:, 0].max()) == (140, 200)
+    assert geometry.platform_ring(track[:1], 0) is None
+
+
+def test_platforms_of_stops(spark):
+    tracks = spark.createDataFrame([("t1", k, 10.0 * k, 0.0) for k in range(30)] + [("t2", k, 10.0 * k, 40.0) for k in range(30)] + [("t3", 0, 5.0, -1.0), ("far", 0, 9000.0, 9000.0), ("far", 1, 9100.0, 9000.0)], "track string, pos int, x double, y double")
+    stops = spark.createDataFrame([("a", 100.0, -2.0), ("b", 100.0, 30.0), ("mid", 100.0, 20.0), ("f", 9050.0, 3000.0), ("none", 1e6, 1e6)], "stop string, x double, y double")
+    got = {r.stop: r.ring and (round(r.ring[0].x, 6), round(r.ring[0].y, 6)) for r in stations.platforms(stops, tracks).collect()}
+    assert got == {"a": (40, 1.2), "b": (40, 41.2), "mid": (40, 1.2), "f": (9000, 9001.2), "none": None}
+
+
+def test_hulls_are_dug_in():
+    shape = [(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20), (5, 5)]
+    assert geometry.concave_hull(shape, 60).tolist() == [[0, 0], [20, 0], [20, 10], [10, 20], [0, 20]]
+    assert geometry.concave_hull(shape[:-1], 1.3).tolist() == [[0, 0], [20, 0], [20, 10], [10, 10], [10, 20], [0, 20]]
+    assert geometry.concave_hull([(0, 0), (1, 1), (2, 2)]) is None and geometry.concave_hull([(0, 0), (1, 1)]) is None
+
+
+def test_unsound_rings_stay():
+    bowtie = np.array([(0, 0), (100, 100), (0, 100), (100, 0)], float)
+    assert not geometry.is_simple(bowtie) and (geometry.smooth(bowtie, []) == bowtie).all()
+    angles = np.arange(16) / 16 * 2 * np.pi
+    star = np.stack([np.cos(angles), np.sin(angles)], axis=1) * np.where(np.arange(16) % 2, 4.0, 100.0)[:, None]
+    assert (geometry.smooth(star, []) == star).all()  # its area would change too much
+    assert not geometry.is_simple(np.array([(0, 0), (9, 0), (5, 0), (5, 5)], float)) and not geometry.is_simple(np.array([(0, 0), (1, 1), (np.nan, 0)]))
+
+
+def test_unions_match_points():
+    """Points are in the union if and only if they are in an outer border and in no hole."""
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        rings = []
+        for _ in range(rng.integers(2, 6)):
+            t = np.sort(rng.random(rng.integers(3, 12))) * 2 * np.pi
+            ring = np.stack([np.cos(t), np.sin(t)], axis=1) * (10 + 20 * rng.random((len(t), 1))) + 50 * rng.random(2)
+            rings += [ring] * geometry.is_simple(ring)
+        if rings:
+            points = rng.random((3000, 2)) * 130 - 40
+            borders = geometry.union(rings)
+            depth = sum(np.sign(geometry._signed(r)) * geometry.inside(r, points) for r in borders)
+            assert (np.any([geometry.inside(r, points) for r in rings], axis=0) == (depth == 1)).all()
+    square = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)
+    shared = geometry.union([square, square + (10, 0), square + (20, 10)])  # a common edge, and a corner that touches
+    assert sorted(geometry.area(r) for r in shared) == pytest.approx([100, 200])
+    frame = geometry.union([np.array(r, float) for r in ([(0, 0), (9, 0), (9, 1), (0, 1)], [(0, 8), (9, 8), (9, 9), (0, 9)], [(0, 0), (1, 0), (1, 9), (0, 9)], [(8, 0), (9, 0), (9, 9), (8, 9)])])
+    assert sorted(geometry._signed(r) for r in frame) == pytest.approx([-49, 81])
+
+
+def test_strips_that_straddle_a_hull_join_it():
+    hull = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
+    strip = np.array([(90, 40), (130, 40), (130, 60), (90, 60)], float)
+    joined = geometry.dissolve(hull, [strip], [(50, 50), (0, 0)])
+    assert geometry.area(joined) == pytest.approx(10_600) and len(joined) == 8
+    for other in (strip + (500, 0), strip - (60, 0), strip * np.nan):  # apart, inside, not finite
+        assert geometry.dissolve(hull, [other], []) is hull
+    assert geometry.dissolve(hull, [strip], [(500, 500)]) is hull  # a stop that neither has
+    bowtie = np.array([(0, 0), (100, 100), (0, 100), (100, 0)], float)
+    assert geometry.dissolve(bowtie, [strip], []) is bowtie
+
+
+def test_station_document(spark):
+    """Concourses, platforms and exits of an extract, in this order; an exit too far from every station is left out."""
+    at = lambda x, y: (12.5 + x / 82_800, 41.9 + y / 111_320)
+    node = lambda i, x, y, **tags: ("node", i, *at(x, y), tags, None, None)
+    rows = [node(i, 40.0 * i, 0.0) for i in range(1, 60)] + [node(100, 400, -3, name="Termini"), node(101, 1600, -3, name="Jonio"), node(102, 1601, 5, name="Jonio")]
+    rows += [node(200, 430, 60, railway="subway_entrance", ref="1"), node(201, 380, -70, railway="subway_entrance"), node(202, 1600, 90, railway="subway_entrance", name="Est"), node(203, 9000, 0, railway="subway_entrance")]
+    rows += [("way", 1, None, None, {"railway": "subway"}, list(range(1, 60)), None), ("way", 2, None, None, {"railway": "subway"}, [999], None)]
+    stop = lambda n: ("node", n, "stop")
+    rows += [("relation", 10, None, None, {"route": "subway", "ref": "B"}, None, [stop(100), stop(101)]), ("relation", 11, None, None, {"route": "subway", "ref": "A"}, None, [stop(102), stop(777)]), ("relation", 12, None, None, {"route": "tram", "ref": "A"}, None, [stop(100)])]
+    out = stations.of_extract(spark.createDataFrame(rows, osm_pbf.SCHEMA)).orderBy("layer", "station", "rel_id", "seq", "exit_id").collect()
+    docs = [json.loads(r.feature) for r in out]
+    assert [(d["properties"]["kind"], d["properties"]["station"]) for d in docs] == [("concourse", "jonio"), ("concourse", "termini"), ("platform", "jonio"), ("platform", "jonio"), ("platform", "termini"), ("exit", "jonio"), ("exit", "termini"), ("exit", "termini")]
+    assert docs[4]["properties"] == {"kind": "platform", "station": "termini", "line": "B1", "color": "#0570B5", "level": -1, "name": "dir. Jonio"}
+    assert docs[3]["properties"] == {"kind": "platform", "station": "jonio", "line": "A", "color": "#E27439", "level": -1}  # its last stop is missing
+    assert [d["properties"]["name"] for d in docs[5:]] == ["Est", "Uscita 1", "Uscita"]
+    for d in docs[:5]:
+        ring = np.array(d["geometry"]["coordinates"][0])
+        assert d["geometry"]["type"] == "Polygon" and (ring[0] == ring[-1]).all() and geometry.is_simple(ring[:-1])
+    termini = np.array(docs[1]["geometry"]["coordinates"][0])[:-1]
+    assert geometry.covers(termini, at(400, -3)) and not geometry.covers(termini, at(600, 0))
+    assert docs[5]["geometry"] == {"type": "Point", "coordinates": [round(x, 7) for x in at(1600, 90)]}
+
+
 def test_nearest_ties(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 0.0)], "point_id long, x double, y double")
     c = spark.createDataFrame([("b", 10.0, 0.0), ("a", -10.0, 0.0)], "name string, x double, y double")
