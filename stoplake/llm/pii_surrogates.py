@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from stoplake.llm.common import discard, materialise
 
-KEY = "stoplake surrogate key"
+#: The setting that names the secret key, and the key of a session without one, which keeps nothing secret.
+KEY_SETTING, DEFAULT_KEY = "spark.stoplake.surrogates.key", "stoplake surrogate key"
 #: Fixed patterns, tried in this order at each place.
 MALE = r"Mr|Herr|Monsieur|Señor|Sr|Signor|г-н"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|г-жа"
@@ -38,21 +39,26 @@ TITLE = rf"(?:{MALE}|{FEMALE}|{OTHER})\.? "
 #: Usual given names, which begin a name without a title.
 MEN = "Adam Ahmed Ali Andrew Anthony Carlos Charles Christopher Daniel David Dmitri Edward Francesco George Giovanni Hans Ivan James Jan Jean John Jorge José Joseph Juan Klaus Luis Marco Michael Mohammed Nikolai Paul Pedro Peter Pierre Richard Robert Sergei Thomas William".split()
 WOMEN = "Alice Amanda Anna Barbara Carmen Catherine Claire Elena Elizabeth Emily Emma Eva Fatima Francesca Giulia Helen Ingrid Irina Jane Jennifer Jessica Julia Karen Laura Linda Lucia Maria Marie Mary Natalia Olga Patricia Rosa Sarah Sofia Sophie Susan Svetlana Teresa Ursula".split()
-NAME_WORD = r"\p{Lu}(?:[\p{L}'’]*\p{L})(?:-\p{Lu}[\p{L}'’]*\p{L})*"
+# Repeats of groups are bounded and those of characters possessive where nothing is given back, so that no run of
+# characters, however long, takes the matcher's stack or a time that grows with its square.
+NAME_WORD = r"\p{Lu}(?:[\p{L}'’]*\p{L})(?:-\p{Lu}[\p{L}'’]*\p{L}){0,7}"
 PARTICLE = r"(?:van der|van den|von der|de la|van|von|de|del|di|da|dos|la|le|bin|al) "
 NAME = rf"(?:{PARTICLE})?{NAME_WORD}"
 PATTERNS = {
-    "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a local part has 64 characters at most, so 32 parts; a domain 127 labels
+    "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++){0,31}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{0,4}[0-9]{7}[A-Z0-9]{0,19})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{9,15}(?![0-9])|(?<![0-9-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9-]|[0-9] )[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9-]| [0-9])",
+    "phone": r"\+(?=(?:[ .-]?[0-9]){8,15}(?![ .-]?[0-9]))[0-9]{1,3}(?:[ .-][0-9]{2,10}){1,5}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{9,15}(?![0-9])|(?<![0-9-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9-]|[0-9] )[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9-]| [0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE}(?:\p{{Lu}}\. ){{0,2}}{NAME}(?: (?:\p{{Lu}}\. )?{NAME}){{0,2}}|(?:{'|'.join(MEN + WOMEN)}) (?:\p{{Lu}}\. )?{NAME}(?: {NAME_WORD})?)(?![\p{{L}}\p{{N}}])",
 }
 PII = "|".join(f"(?:{p})" for p in PATTERNS.values())
 TOKEN = rf"(?<![\p{{L}}\p{{N}}]){NAME_WORD}(?![\p{{L}}\p{{N}}])"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Labels of a domain that stay, besides the last one.
 PUBLIC_LABELS = ["co", "com", "org", "net", "ac", "edu", "gov", "example"]
 #: Syllables of surrogate names, by script.
@@ -64,7 +70,8 @@ SYLLABLES, MOST_SYLLABLES = 4, 12
 
 
 def digest(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(KEY), *parts), 256)
+    """A keyed digest; rows have the key in a column of its own."""
+    return F.sha2(F.concat_ws("|", F.col("_key"), *parts), 256)
 
 
 def number_of(hexes: Column, at: int = 1, width: int = 14) -> Column:
@@ -149,8 +156,9 @@ def kind_of(x: Column) -> Column:
 
 
 def canonical(x: Column, kind: Column) -> Column:
-    """What all mentions of an entity have in common; of a name, the words."""
-    return F.when(kind.isin("email", "ip6"), F.lower(x)).when(kind == "ip", x).when(kind == "name", x).when(kind == "iban", F.replace(x, F.lit(" "), F.lit(""))).otherwise(only_digits(x))
+    """What all mentions of an entity have in common; of a name, the words. Numbers of the country code 1 are the same without it."""
+    abroad = (kind == "phone") & x.startswith("+") & ~x.startswith("+1")
+    return F.when(kind.isin("email", "ip6"), F.lower(x)).when(kind == "ip", x).when(kind == "name", x).when(kind == "iban", F.replace(x, F.lit(" "), F.lit(""))).when(abroad, F.concat(F.lit("+"), only_digits(x))).otherwise(only_digits(x))
 
 
 def gender(x: Column) -> Column:
@@ -254,10 +262,10 @@ def _ssn(rows: DataFrame) -> DataFrame:
 
 
 def _phone(rows: DataFrame) -> DataFrame:
-    """All but the last ten digits stay: the country code."""
-    ahead = F.greatest(F.length("form") - 10, F.lit(0))
-    rows = permuted(rows.withColumn("digits", F.substr("form", ahead + 1, F.length("form"))), "phone")
-    return rows.withColumn("made", F.concat(F.substr("form", F.lit(1), ahead), F.col("digits"))).drop("digits")
+    """The country code stays: what stands for one after a plus, else all but the last ten digits."""
+    ahead = F.when(F.col("form").startswith("+"), F.length(F.regexp_extract("form", COUNTRY, 0))).otherwise(F.greatest(F.length("form") - 10, F.lit(0)))
+    rows = permuted(rows.withColumns({"_ahead": F.substr("form", F.lit(1), ahead), "digits": F.substr("form", ahead + 1, F.length("form"))}), "phone")
+    return rows.withColumn("made", F.concat("_ahead", "digits")).drop("_ahead", "digits")
 
 
 def _family(rows: DataFrame) -> DataFrame:
@@ -278,8 +286,9 @@ KINDS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def surrogates(rows: DataFrame) -> DataFrame:
+def surrogates(rows: DataFrame, key: str) -> DataFrame:
     """rows(kind, form, attempt) with the surrogate form in made, each kind computed for its own rows only."""
+    rows = rows.withColumn("_key", F.lit(key))
     each = [f(rows.filter(F.col("kind") == kind)).select("kind", "form", "attempt", "made") for kind, f in KINDS.items()]
     return reduce(DataFrame.unionAll, each)
 
@@ -304,11 +313,11 @@ def entities(each: DataFrame) -> DataFrame:
     return numbers.unionAll(domains).unionAll(name_words(each.filter("kind = 'name'")).select("kind", "form")).distinct()
 
 
-def resolved(found: DataFrame) -> DataFrame:
+def resolved(found: DataFrame, key: str) -> DataFrame:
     """kind, form and made of all entities(kind, form): no two of a kind share a surrogate, and none is an entity."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = materialise(found.repartition(n, "kind", "form"), "entities")
-    made = materialise(surrogates(real.withColumn("attempt", F.lit(0))), "surrogates")
+    made = materialise(surrogates(real.withColumn("attempt", F.lit(0)), key), "surrogates")
     while True:
         shared = made.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         # clashes are few: only they meet the window; the first of them stays
@@ -319,7 +328,7 @@ def resolved(found: DataFrame) -> DataFrame:
             discard(moved)
             discard(real)
             return made
-        again = surrogates(moved.withColumn("attempt", F.col("attempt") + 1).repartition(n, "kind", "form"))
+        again = surrogates(moved.withColumn("attempt", F.col("attempt") + 1).repartition(n, "kind", "form"), key)
         new = materialise(made.join(moved.select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form", "attempt", "made").unionAll(again), "surrogates")
         discard(made)
         discard(moved)
@@ -329,7 +338,7 @@ def resolved(found: DataFrame) -> DataFrame:
 def in_place(each: DataFrame, made: DataFrame) -> DataFrame:
     """mention and its replacement, for distinct mentions(mention, kind, form) and the entities' surrogates."""
     numbers = each.filter("kind not in ('name', 'email')").join(made, ["kind", "form"])
-    numbers = numbers.select("mention", F.when(F.col("kind").isin("ip", "ip6"), F.col("made")).otherwise(in_format(F.col("mention"), F.col("made"))).alias("put"))
+    numbers = numbers.select("mention", F.when(F.col("kind").isin("ip", "ip6"), F.col("made")).otherwise(in_format(F.col("mention"), F.ltrim("made", F.lit("+")))).alias("put"))
     own = made.filter("kind = 'email'").select("form", F.substring_index("made", "@", 1).alias("local"))
     domain = made.filter("kind = 'domain'").select(F.col("form").alias("domain"), F.col("made").alias("new_domain"))
     mails = each.filter("kind = 'email'").join(own, "form").withColumn("domain", F.substring_index("form", "@", -1)).join(domain, "domain")
@@ -366,15 +375,15 @@ def replaced(text: Column, put: Column, words: Column) -> Column:
     return F.array_join(F.zip_with(rest, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def by_text(docs: DataFrame) -> DataFrame:
+def by_text(docs: DataFrame, key: str) -> DataFrame:
     """copy (md5 of a text), put (what replaces its mentions, in order) and words (map of name words), for texts with mentions."""
     found = docs.select(F.md5("text").alias("copy"), F.posexplode(mentions(F.col("text"))).alias("k", "mention"))
     found = materialise(found.distinct(), "mentions")  # equal texts have equal mentions
     kind = kind_of(F.col("mention"))
     each = materialise(found.select("mention").distinct().select("mention", kind.alias("kind"), canonical(F.col("mention"), kind).alias("form")), "distinct-mentions")
-    made = resolved(entities(each))
+    made = resolved(entities(each), key)
     put = materialise(in_place(each, made), "replacements")
-    words = materialise(spelled(each, made).filter(F.length("word") > 2).select("mention", "word", "new").distinct(), "words")
+    words = materialise(spelled(each, made).select("mention", "word", "new").distinct(), "words")
     lists = found.join(put, "mention").groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("k", "put"))).alias("_l"))
     named = found.join(words, "mention").groupBy("copy", "word").agg(F.min("new").alias("new")).groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("words"))
     none = F.create_map().cast("map<string,string>")
@@ -385,13 +394,17 @@ def by_text(docs: DataFrame) -> DataFrame:
     return out
 
 
-def protect(docs: DataFrame, count: str | None = "n_entities") -> DataFrame:
+def protect(docs: DataFrame, count: str | None = "n_entities", key: str | None = None) -> DataFrame:
     """docs with surrogates in text and, in the column named by count, the number of mentions that the expression finds.
 
+    key: the secret that surrogates depend on; without one, the session's setting spark.stoplake.surrogates.key. Texts
+    of any length are searched as a whole, in a time in proportion to it.
+
     A column of that name is replaced; all others stay, whatever their names, as do all if count is None. A
     null text stays null with 0 entities; rows that repeat stay alike. An empty table gives an empty one.
     """
-    maps = by_text(docs.select("text")).select("copy", F.struct("put", "words").alias("new"))
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
+    maps = by_text(docs.select("text"), key).select("copy", F.struct("put", "words").alias("new"))
     names = [c for c in docs.columns if c != count]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.md5("text").alias("copy"))
     # both sides grow with the corpus: one way of joining for every size, which Spark can split where copies are hot

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -395,6 +396,46 @@ def test_surrogates_of_many_names_stay_distinct(spark, monkeypatch):
     assert all(m and m[1] == m[2] for m in names) and len({m[1] for m in names}) == 150
 
 
+def test_surrogates_of_very_long_runs(spark):
+    """Runs of a megabyte neither fill the matcher's stack nor take long, and what stands behind them is found."""
+    runs = ["x", "a.", "A-", "Ab-", "1.", "1 ", "a@", "@a.", "A'", "+1", "9-"]
+    rows = [(i, r * (1_000_000 // len(r)) + " or a.bee@site.example.com") for i, r in enumerate(runs)]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii_surrogates.protect(docs_of(spark, rows)).collect()}
+    assert time.monotonic() - began < 110
+    for i, r in enumerate(runs):
+        assert "a.bee@" not in got[i].text and got[i].n_entities >= 1, r
+    assert got[0].text.startswith("x" * 1_000_000) and got[4].text.startswith("1." * 500_000)
+
+
+def test_surrogates_of_short_names(spark):
+    rows = [(1, "Mrs Anna Li met us. Li left early"), (2, "Mr Wei Wu and Mr Ng called. Wu and Ng left")]
+    got = {r.doc_id: r.text for r in pii_surrogates.protect(docs_of(spark, rows)).collect()}
+    a, b = re.fullmatch(r"Mrs (\w+) (\w+) met us\. (\w+) left early", got[1]), re.fullmatch(r"Mr (\w+) (\w+) and Mr (\w+) called\. (\w+) and (\w+) left", got[2])
+    assert a and a[2] == a[3] != "Li" and b and (b[2], b[3]) == (b[4], b[5]) and not {"Wei", "Wu", "Ng"} & set(b.groups())
+
+
+def test_surrogates_keep_country_codes(spark):
+    numbers = ["+34 612345678", "+34 612 345 678", "+41 446681800", "+49 30 123456", "+47 22334455", "+351 21 123 4567", "+7 495 123-45-67", "+34612345678", "+1 212 555 0123"]
+    got = {r.doc_id: r.text for r in pii_surrogates.protect(docs_of(spark, [(i, f"call {x} now") for i, x in enumerate(numbers)])).collect()}
+    new = [re.fullmatch(r"call ([0-9+ -]+) now", got[i])[1] for i in range(len(numbers))]
+    for before, after in zip(numbers, new):
+        code = before.split()[0] if " " in before else "+34"
+        assert after.startswith(code) and after != before and re.sub(r"\d", "0", after) == re.sub(r"\d", "0", before)
+    assert len({x.replace(" ", "") for x in (new[0], new[1], new[7])}) == 1  # one number in three formats
+
+
+def test_surrogates_depend_on_the_key(spark):
+    docs = docs_of(spark, [(1, "Mail hoc.96@mail8.example.com or call Mr Ivan Petrov")])
+    one = lambda **k: pii_surrogates.protect(docs, **k).first().text
+    spark.conf.set(pii_surrogates.KEY_SETTING, "a")
+    try:
+        by_setting = one()
+    finally:
+        spark.conf.unset(pii_surrogates.KEY_SETTING)
+    assert one(key="a") == by_setting != one()
+
+
 def test_surrogates_keep_other_columns(spark):
     rows = [(1, "mail a.b@c.org", 5, "x", 7), (None, "Mr Smith", None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_entities long, _pii_copy string, row long")
