@@ -14,7 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(
+    return events_of(table(spark, d, "events"))
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    """Delay events of rows of the events table, a batch or a stream."""
+    return rows.select(
         F.col("event_type").alias("route_id"),
         (F.col("user_id") % 2).cast("int").alias("direction_id"),
         F.col("user_id").cast("string").alias("stop_id"),

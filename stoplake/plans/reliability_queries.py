@@ -9,6 +9,9 @@ from stoplake.operators import reliability as ops
 from stoplake.plans import bridge
 from stoplake.plans.bridge import quantile_sql, with_sql
 from stoplake.plans.registry import query
+from stoplake.sources import sinks
+from stoplake.sources.storage import fresh_folder
+from stoplake.streaming import ingest
 
 TIER = with_sql("ev", "tier")
 R = lambda x, k=6: f"round(({x}) * 1e{k}::DOUBLE) / 1e{k}::DOUBLE"
@@ -100,12 +103,29 @@ def cell_response(spark, d):
 
 @query("sink_events_by_date", "WITH " + bridge.SQL["ev"] + " SELECT service_date, count(*) AS n FROM ev GROUP BY ALL")
 def by_date(spark, d):
-    return bridge.events(spark, d).groupBy("service_date").agg(F.count(F.lit(1)).alias("n"))
+    """Events written by date, one batch of them twice, as after a failure; read back, each counts once."""
+    path, rows = fresh_folder(spark, "events"), bridge.events(spark, d)
+    for batch, odd in (("a", False), ("b", True), ("b", True)):
+        sinks.append_events(rows.filter((F.col("feed_hour") % 2 == 1) == odd), path, batch)
+    return spark.read.schema(ingest.EVENTS).parquet(path).groupBy("service_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_partition_dates", "WITH " + bridge.SQL["ev"] + " SELECT DISTINCT service_date FROM ev")
 def dates(spark, d):
-    return bridge.events(spark, d).select("service_date").distinct()
+    path = fresh_folder(spark, "events")
+    sinks.append_events(bridge.events(spark, d), path)
+    return sinks.partition_dates(spark, path)
+
+
+@query("stream_ingest_by_date", f"{TIER} SELECT service_date, count(*) AS n, CAST(sum(delay_s) AS BIGINT) AS delay_s FROM ev WHERE abs(delay_s) <= 7200 GROUP BY ALL")
+def ingested(spark, d):
+    """The events table as a stream, through the ingest job into a table."""
+    table, checkpoint = fresh_folder(spark, "events"), fresh_folder(spark, "checkpoint")
+    raw = bridge.table(spark, d, "events")
+    stream = bridge.events_of(spark.readStream.schema(raw.schema).parquet(f"{d}/events.parque*"))  # a file or a folder, which only a glob may be
+    sound = F.coalesce(F.abs(F.col("delay_s")) <= ops.MAX_ABS_DELAY_S, F.lit(False))
+    ingest.start_ingest(stream.withColumn("dropped", ~sound), table, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.schema(ingest.EVENTS).parquet(table).groupBy("service_date").agg(F.count(F.lit(1)).alias("n"), F.sum("delay_s").alias("delay_s"))
 
 
 @query("sink_expired_dates", "WITH " + bridge.SQL["ev"] + " SELECT DISTINCT service_date FROM ev WHERE CAST(strptime(service_date, '%Y%m%d') AS DATE) < DATE '2024-01-20' - INTERVAL 10 DAY")
@@ -115,8 +135,11 @@ def expired(spark, d):
 
 @query("stream_refold_two_dates", f"{TIER} SELECT * FROM t1 WHERE service_date IN ('20240115', '20240114')")
 def refold(spark, d):
-    """What the hourly job folds: today and yesterday."""
-    return ops.fold_tier1(events(spark, d).filter(F.col("service_date").isin("20240115", "20240114")))
+    """What the hourly job folds, today and yesterday, from a stored table into a stored tier."""
+    table, tier1_path = fresh_folder(spark, "events"), fresh_folder(spark, "tier1")
+    sinks.append_events(bridge.events(spark, d), table)
+    ingest.roll_up(spark, table, tier1_path, ["20240115", "20240114"])
+    return spark.read.schema(ops.fold_tier1(events(spark, d)).schema).parquet(tier1_path)
 
 
 @query(

@@ -13,7 +13,7 @@ from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoplake.operators.numbering import drop, numbered, stored
@@ -33,9 +33,18 @@ MEMBERS = {
 }
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Events by service date."""
-    events.write.mode("append").partitionBy("service_date").parquet(path)
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Events by service date and batch (B01, E25). A batch of the same key replaces itself; without a key it is a new one."""
+    keyed = events.withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date", "batch").parquet(path)
+
+
+def partition_dates(spark: SparkSession, path: str) -> DataFrame:
+    """service_date of each partition of a table that append_events() or replace_dates() wrote (A28); only folders are listed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/service_date=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    dates = sorted({x.getPath().getName().removeprefix("service_date=") for x in found})
+    return spark.createDataFrame([(d,) for d in dates], "service_date string")
 
 
 def replace_dates(tier1: DataFrame, path: str) -> None:
@@ -43,12 +52,20 @@ def replace_dates(tier1: DataFrame, path: str) -> None:
     tier1.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path)
 
 
-def tier_map(tier: DataFrame, key: Column) -> DataFrame:
-    """A JSON map of aggregates by key, as one text (B02). A stored map is one document for one reader, bounded by its keys."""
+def tier_lines(tier: DataFrame, key: Column) -> DataFrame:
+    """The entries of a JSON map of aggregates by key as texts, each with its key."""
     hist = F.struct(F.array(*[F.col(f"b{i}") for i in range(13)]).alias("bins"))
     one = F.struct(F.col("n").alias("count"), "sum_delay", "sum_delay_sq", F.col("min_delay").alias("min"), F.col("max_delay").alias("max"), "on_time_count", hist.alias("hist"))
-    rows = tier.select(F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), F.to_json(one)).alias("x"))
-    return rows.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("x")), ","), F.lit("}")).alias("value"))
+    name = F.to_json(F.array(key))
+    return tier.select(key.alias("key"), F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(":"), F.to_json(one)).alias("entry"))
+
+
+def write_tier_maps(tier: DataFrame, key: Column, path: str, entries: int = 10_000) -> None:
+    """A tier as JSON maps of so many entries at most, in the order of keys, each a file of a folder (B02); no task holds a whole tier."""
+    placed = numbered(tier_lines(tier, key), "key").withColumn("part", F.expr(f"(place - 1) div {entries}"))
+    maps = placed.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("place", "entry"))).alias("e"))
+    lines = maps.select("part", F.concat(F.lit("{"), F.array_join(F.transform("e", lambda x: x["entry"]), ","), F.lit("}")).alias("value"))
+    lines.repartitionByRange("part").sortWithinPartitions("part").select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_atomic(path: str, content: bytes) -> None:

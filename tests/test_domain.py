@@ -7,9 +7,11 @@ import json
 import os
 import zipfile
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoplake.functions import address, calendar, keys, modes, text
@@ -18,7 +20,7 @@ from stoplake.operators import feed as feeds
 from stoplake.operators import geometry, itineraries, lines, places, regions, reliability, stations
 from stoplake.operators.numbering import numbered
 from stoplake.sources import files, gtfs_rt, netex, osm_pbf, sinks, zipped
-from stoplake.streaming import ingest
+from stoplake.streaming import ingest, polls
 
 EVENT = "route_id string, direction_id int, stop_id string, service_date string, delay_s int, feed_hour int"
 
@@ -191,6 +193,50 @@ def test_feed_decoding_and_stream(spark, tmp_path):
     assert sorted(map(str, ingest.roll_up(spark, table, tier1, ["20260629"]).collect())) == sorted(map(str, first))  # the same again
 
 
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    source, table, checkpoint = tmp_path / "feeds", str(tmp_path / "events"), tmp_path / "cp"
+    source.mkdir()
+    run = lambda: ingest.start_ingest(ingest.feed_stream(spark, str(source)), table, str(checkpoint), availableNow=True).awaitTermination()
+    count = lambda: spark.read.schema(ingest.EVENTS).parquet(table).count()
+    for k in range(2):
+        (source / f"{k}.pb").write_bytes(feed(message((1, TRIP), (2, stop(b"70001", 120 + k)), (2, stop(b"70002", -30)))))
+        run()
+    assert count() == 4
+    (checkpoint / "commits" / "1").unlink()  # as if the job had ended after the write and before the commit
+    (checkpoint / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert count() == 4
+
+
+def test_polled_feed(spark, tmp_path):
+    """A poll for each trigger; one that no batch has committed is read again from the journal, whatever the feed says by then."""
+    source, journal, table, checkpoint = tmp_path / "feed.pb", tmp_path / "journal", str(tmp_path / "events"), tmp_path / "cp"
+    run = lambda: ingest.start_ingest(ingest.poll_stream(spark, str(source), str(journal)), table, str(checkpoint), availableNow=True).awaitTermination()
+    seen = lambda: sorted((r.stop_id, r.delay_s) for r in spark.read.schema(ingest.EVENTS).parquet(table).collect())
+    put = lambda i, delay: source.write_bytes(feed(message((1, TRIP), (2, stop(f"7000{i}".encode(), delay)))))
+    put(1, 60)
+    run()
+    assert seen() == [("70001", 60)]
+    put(2, 70)
+    run()
+    (checkpoint / "commits" / "1").unlink()
+    (checkpoint / "commits" / ".1.crc").unlink(missing_ok=True)
+    body = source.read_bytes()
+    source.unlink()  # the feed is away
+    run()  # the second batch again
+    assert seen() == [("70001", 60), ("70002", 70)]
+    put(3, 80)
+    run()
+    assert seen() == [("70001", 60), ("70002", 70), ("70003", 80)]
+    polls.Journal(str(journal)).put(4, body)  # fetched, but the job ended before any batch knew of it
+    source.unlink()
+    run()
+    assert seen() == [("70001", 60), ("70002", 70), ("70002", 70), ("70003", 80)]
+    polls.Journal(str(journal)).put(5, b"\xff\xff\xff")
+    run()
+    assert len(seen()) == 4 and polls.Journal(str(journal)).numbers() == [5]
+
+
 def test_expiry(spark):
     d = spark.createDataFrame([("20260601",), ("20260628",), ("20260619",), ("junk",)], "service_date string")
     assert [r[0] for r in reliability.expired_dates(d, "20260629").collect()] == ["20260601"]
@@ -257,13 +303,18 @@ def test_timetable_to_feed(spark, tmp_path, gz):
 def test_stored_tiers(spark, tmp_path):
     t2 = tier(spark, [-60, 0, 300, 600], stop="s.1/x")
     key = keys.tier2_key(F.col("route_id"), F.col("direction_id"), F.col("stop_id"), F.col("tod"), F.col("day_type"))
+    t2 = reduce(DataFrame.unionByName, (t2.withColumn("stop_id", F.lit(f"s.{k}/x")) for k in range(5)))
+    sinks.write_tier_maps(t2, key, str(tmp_path / "maps"), 2)
+    assert sorted(files.read_tier2(spark, str(tmp_path / "maps")).select(*t2.columns).collect()) == sorted(t2.collect())
+    maps = [x for x in (tmp_path / "maps").iterdir() if x.suffix == ".txt" and x.stat().st_size]
+    assert sorted(len(json.loads(x.read_text())) for x in maps) == [1, 2, 2]
     path = str(tmp_path / "tiers" / "tier2.json")
-    sinks.write_atomic(path, sinks.tier_map(t2, key).first().value.encode())
+    sinks.write_atomic(path, json.dumps({k: v for x in maps for k, v in json.loads(x.read_text()).items()}).encode())
     back = files.read_tier2(spark, path)
     assert [back.schema[c].dataType for c in t2.columns] == [t2.schema[c].dataType for c in t2.columns]
-    assert back.select(*t2.columns).collect() == t2.collect()
-    assert reliability.on_time_index(back).collect() == reliability.on_time_index(t2).collect()
-    assert reliability.typical_delay_index(back).collect() == reliability.typical_delay_index(t2).collect()
+    assert sorted(back.select(*t2.columns).collect()) == sorted(t2.collect())
+    assert sorted(reliability.on_time_index(back).collect()) == sorted(reliability.on_time_index(t2).collect())
+    assert sorted(reliability.typical_delay_index(back).collect()) == sorted(reliability.typical_delay_index(t2).collect())
     assert files.read_tier2(spark, path, max_bytes=10).collect() == files.read_tier2(spark, str(tmp_path / "none.json")).collect() == []
     sinks.write_atomic(path, b"{broken")
     assert files.read_tier2(spark, path).collect() == [] and len(list((tmp_path / "tiers").iterdir())) == 1
@@ -321,6 +372,8 @@ def test_partitions_are_appended_and_replaced(spark, tmp_path):
     sinks.append_events(e, path)
     sinks.append_events(e.limit(1), path)
     assert sorted(p.name for p in (tmp_path / "events").iterdir() if p.is_dir()) == ["service_date=20260629", "service_date=20260630"]
+    assert [r.service_date for r in sinks.partition_dates(spark, path).collect()] == ["20260629", "20260630"] and sinks.partition_dates(spark, path + "/none").collect() == []
+    assert spark.read.schema(ingest.EVENTS).parquet(path).count() == 3
     t1, out = reliability.fold_tier1(e), str(tmp_path / "t1")
     sinks.replace_dates(t1, out)
     sinks.replace_dates(t1.filter("service_date = '20260630'").withColumn("n", F.lit(5).cast("long")), out)
