@@ -37,10 +37,13 @@ def keyed(legs: DataFrame) -> DataFrame:
 def with_index(legs: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
     """Keyed legs with an index's columns, null where it has no entry.
 
-    Which side is sent where is left to the optimizer: an index of a city is small, one of a country is not.
+    Which side is sent where is left to the optimizer: an index of a city is small, one of a country is not. Legs without
+    a key match nothing; they are dealt out by itinerary, since all nulls would go to one task.
     """
-    right = index.select(F.col("route_id").alias("key_route"), F.col("direction_id").alias("key_direction"), F.col("stop_id").alias("key_stop"), *columns)
-    return legs.join(right, ["key_route", "key_direction", "key_stop"], "left")
+    right = index.select(F.col("route_id").alias("_route"), F.col("direction_id").alias("_direction"), F.col("stop_id").alias("_stop"), *columns)
+    elsewhere = F.concat(F.lit("\0"), *[F.col(c).cast("string") for c in ITINERARY])
+    on = (F.coalesce("key_route", F.lit("\0")) == F.col("_route")) & (F.coalesce("key_direction", F.lit(-1)) == F.col("_direction")) & (F.coalesce("key_stop", elsewhere) == F.col("_stop"))
+    return legs.join(right, on, "left").drop("_route", "_direction", "_stop")
 
 
 def segments(legs: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def resolved_scalars(levels: DataFrame, key: str, names: list[str]) -> DataFrame
     return levels.groupBy(key).agg(*deepest)
 
 
-def ancestry(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """target, path and level of each node and its parents, the root at level 0 (DF11). nodes: path, parent."""
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """target, path and level of each node and its parents, the root at level 0, however deep (DF11). nodes: path."""
     parts = F.split("path", "/")
-    steps = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth)))
+    steps = F.sequence(F.lit(1), F.size(parts))
     return nodes.select(F.col("path").alias("target"), F.posexplode(F.transform(steps, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("level", "path"))
 
 
@@ -81,3 +81,23 @@ def validate_extract(requests: DataFrame, max_area: float = 6.0, max_zoom: int =
 def request_metrics(log: DataFrame) -> DataFrame:
     """Requests by method and status."""
     return log.groupBy("method", "status").agg(F.count(F.lit(1)).alias("requests"))
+
+
+#: Seconds between runs of each job.
+JOBS = {"timetable": 86_400, "trip-updates": 30, "reliability-rollup": 3_600}
+
+
+def jobs(feeds: DataFrame, region: str) -> DataFrame:
+    """The jobs of a region's feeds: job, feed_id, url, path and every_s (L10). feeds: feed_id, enabled, source, url, channels.
+
+    A timetable in the European format is converted (path: the feed that it becomes), a feed with a trip-updates channel is polled, and
+    where any is, tiers are rolled up. region: names the map extract that shapes are taken from (path of the roll-up: none).
+    """
+    own = feeds.filter(F.coalesce("enabled", F.lit(True)))
+    row = lambda name, feed, url, path: [F.lit(name).alias("job"), feed.alias("feed_id"), url.alias("url"), path.alias("path"), F.lit(JOBS[name]).alias("every_s")]
+    none = F.lit(None).cast("string")
+    convert = own.filter("source = 'netex'").select(*row("timetable", F.col("feed_id"), F.nullif("url", F.lit("")), F.concat(F.lit("graph/"), "feed_id", F.lit(f".gtfs.zip from graph/{region}.osm.pbf"))))
+    live = realtime_url(F.col("channels"), "trip-updates")
+    polled = own.filter(live.isNotNull()).select(*row("trip-updates", F.col("feed_id"), live, none))
+    fold = polled.limit(1).select(*row("reliability-rollup", none, none, none))
+    return convert.unionByName(polled).unionByName(fold)

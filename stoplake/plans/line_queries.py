@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stoplake.functions import modes, text
 from stoplake.functions.geo import rounded
 from stoplake.operators import lines as ops
-from stoplake.operators import regions
+from stoplake.operators import networks, regions
 from stoplake.plans import bridge
 from stoplake.plans.registry import query
 
@@ -54,6 +54,26 @@ def rel_ways(spark, d):
     return bridge.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("rel_id"), F.col("l_partkey").alias("way_id"), F.when(n == 7, "platform_exit").when(n == 6, "stop").otherwise("").alias("role"))
 
 
+NETWORKS = """net AS (SELECT * FROM (VALUES ('ATAC', ['A', 'B', 'C'], 'ME', 'ATAC:', 'R'), ('COTRAL', ['8', '14'], 'M', 'C:', 'X')) t(owner, metro_refs, key_prefix, route_prefix, mark)),
+cand AS (SELECT DISTINCT rel_id, route, ref, operator, network, unnest([operator, network]) AS owner FROM rel WHERE coalesce(ref, '') <> ''),
+own2 AS (SELECT rel_id, ref, owner, coalesce(cand.network, operator) AS network, key_prefix, route_prefix, CASE WHEN route = 'subway' AND list_contains(metro_refs, ref) THEN 'metro' WHEN route IN ('tram', 'light_rail', 'rail', 'regional_rail') THEN route END AS kind FROM cand JOIN net USING (owner)),
+gt2 AS (SELECT * FROM (VALUES ('ATAC', 'MEA', 'r1', 'E27439'), ('ATAC', 'MEB', 'r2', ''), ('COTRAL', 'M14', 'r3', '00FF00'), ('COTRAL', '8', 'r4', '')) t(owner, short_name, route_id, color))"""
+
+
+@query(
+    "join_network_rules",
+    f"""{SQL}, {NETWORKS} SELECT rel_id, own2.owner, kind, ref, network, coalesce(route_prefix || route_id, 'OSM:' || network || ':' || ref) AS route, route_id IS NOT NULL AS routable,
+CASE WHEN kind = 'metro' THEN coalesce('#' || nullif(color, ''), CASE WHEN own2.owner = 'COTRAL' THEN CASE ref WHEN '8' THEN '#112233' ELSE '#000000' END WHEN ref = 'A' THEN '#E27439' WHEN ref = 'B' THEN '#0570B5' ELSE '#008456' END) END AS color
+FROM own2 LEFT JOIN gt2 ON gt2.owner = own2.owner AND CASE WHEN kind = 'metro' THEN key_prefix || ref WHEN kind = 'tram' THEN ref END = short_name WHERE kind IS NOT NULL""",
+)
+def network_rules(spark, d):
+    """The lines of two networks, each by its own row of rules."""
+    other = ("COTRAL", ["8", "14"], {"8": "#112233"}, "#000000", [], "M", "C:", "COTRAL.gtfs.zip", 12.5, 41.9, 82_800.0)
+    routes = spark.createDataFrame([("ATAC", "MEA", "r1", "E27439"), ("ATAC", "MEB", "r2", ""), ("COTRAL", "M14", "r3", "00FF00"), ("COTRAL", "8", "r4", "")], "owner string, short_name string, route_id string, color string")
+    found = networks.with_timetable(networks.owned(relations(spark, d), networks.rules(spark, other)), routes)
+    return found.select("rel_id", "owner", "kind", "ref", "network", "route", "routable", "color")
+
+
 query("filter_owned_relations", f"{SQL} SELECT * FROM owned")(owned)
 query("join_relation_masters", f"{SQL} SELECT * FROM mast")(mastered)
 
@@ -92,7 +112,7 @@ def needed_ways(spark, d):
 )
 def way_geometry(spark, d):
     li = bridge.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("way_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda s: s["l_partkey"]).alias("refs"))
-    nodes = bridge.table(spark, d, "part").filter("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("node_id"), (12 + F.col("p_size") / F.lit(64.0)).alias("lon"), (41 + F.col("p_size") / F.lit(32.0)).alias("lat"))
+    nodes = bridge.table(spark, d, "part").select(F.when(F.col("p_partkey") % 9 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("node_id"), (12 + F.col("p_size") / F.lit(64.0)).alias("lon"), (41 + F.col("p_size") / F.lit(32.0)).alias("lat"))
     g = ops.geometry(li, nodes, owned(spark, d).select(F.col("rel_id").alias("way_id")))
     return g.select("way_id", F.size("points").alias("n"), F.get("points", F.lit(0))["lon"].alias("first_lon"), F.element_at("points", -1)["lat"].alias("last_lat"))
 
@@ -172,6 +192,23 @@ def gtfs_feeds(spark, d):
     return regions.gtfs_feeds(f).select("feed_id")
 
 
+@query(
+    "set_region_jobs",
+    """WITH f AS (SELECT 'f' || s_suppkey AS feed_id, CASE WHEN s_suppkey % 4 = 0 THEN 'netex' WHEN s_suppkey % 4 = 1 THEN 'gtfs' END AS source, CASE WHEN s_suppkey % 8 = 0 THEN '' ELSE 'u' || s_suppkey END AS url,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'v' || s_suppkey END AS live FROM supplier WHERE s_suppkey % 5 <> 0),
+p AS (SELECT 'trip-updates' AS job, feed_id, live AS url, NULL AS path, 30 AS every_s FROM f WHERE live IS NOT NULL)
+SELECT 'timetable' AS job, feed_id, nullif(url, '') AS url, 'graph/' || feed_id || '.gtfs.zip from graph/rome.osm.pbf' AS path, 86400 AS every_s FROM f WHERE source = 'netex'
+UNION ALL SELECT * FROM p UNION ALL SELECT 'reliability-rollup', NULL, NULL, NULL, 3600 FROM (SELECT count(*) AS n FROM p) WHERE n > 0""",
+)
+def region_jobs(spark, d):
+    k = F.col("s_suppkey")
+    name = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    channel = lambda kind, url: F.struct(F.lit(kind).alias("channel"), url.alias("url"))
+    channels = F.when(k % 3 == 0, F.array(channel("alerts", name("a")), channel("trip-updates", name("v")))).otherwise(F.array(channel("alerts", name("a"))))
+    feeds = bridge.table(spark, d, "supplier").select(name("f").alias("feed_id"), F.when(k % 5 == 0, False).alias("enabled"), F.when(k % 4 == 0, "netex").when(k % 4 == 1, "gtfs").alias("source"), F.when(k % 8 == 0, "").otherwise(name("u")).alias("url"), channels.alias("channels"))
+    return regions.jobs(feeds, "rome")
+
+
 @query("agg_worst_status", "SELECT user_id AS g, CASE max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 0 WHEN 'error' THEN 2 ELSE 1 END) WHEN 0 THEN 'ok' WHEN 1 THEN 'degraded' ELSE 'down' END AS status FROM events GROUP BY user_id")
 def worst_status(spark, d):
     e = bridge.table(spark, d, "events")

@@ -26,7 +26,9 @@ SPLIT_S = "coalesce(nullif(regexp_extract(regexp_replace(trim(address), '[, ]+$'
 SPLIT_N = "nullif(regexp_extract(regexp_replace(trim(address), '[, ]+$', ''), '^(.*?)[ ,]+([0-9][^ ,]*)$', 2), '')"
 PLACES = f"pl AS (SELECT * FROM poi WHERE {IN_BOX} AND name IS NOT NULL AND address IS NOT NULL), bk AS (SELECT *, {BUCKET('street', 'number', 'coalesce(city, chr(32))')} AS bucket FROM (SELECT *, {SPLIT_S} AS street, {SPLIT_N} AS number FROM pl) WHERE number IS NOT NULL)"
 HAV = "round((2 * 6371000.0::DOUBLE * asin(least(1, sqrt(pow(sin(radians(lat - a_lat) / 2), 2) + cos(radians(a_lat)) * cos(radians(lat)) * pow(sin(radians(lon - a_lon) / 2), 2))))) * 10) / 10"
-ANCHOR = f"an AS (SELECT id AS anchor_id, street, number, city, brand_wikidata, lon AS a_lon, lat AS a_lat, bucket FROM bk WHERE number LIKE '1%')"
+ANCHOR = f"an AS (SELECT id AS anchor_id, street, number, city, brand_wikidata, lon AS a_lon, lat AS a_lat, bucket FROM bk)"
+#: The first place of each brand.
+FIRST = "an AS (SELECT id AS anchor_id, street, number, city, brand_wikidata, lon AS a_lon, lat AS a_lat, bucket FROM bk QUALIFY row_number() OVER (PARTITION BY brand_wikidata ORDER BY id) = 1)"
 
 
 def pois(spark, d):
@@ -34,8 +36,12 @@ def pois(spark, d):
 
 
 def anchors(spark, d):
-    b = ops.bucketed(pois(spark, d)).filter(F.col("number").startswith("1"))
-    return b.select(F.col("id").alias("anchor_id"), "street", "number", "city", "brand_wikidata", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"))
+    return ops.bucketed(pois(spark, d)).select(F.col("id").alias("anchor_id"), "street", "number", "city", "brand_wikidata", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"))
+
+
+def first_of_brands(spark, d):
+    a = anchors(spark, d)
+    return a.groupBy("brand_wikidata").agg(F.min_by(F.struct(*[c for c in a.columns if c != "brand_wikidata"]), "anchor_id").alias("a")).select("brand_wikidata", "a.*")
 
 
 @query("scan_house_numbers", f"{ADDR} SELECT id, street, number, postal_city, postcode, lon, lat FROM (SELECT *, row_number() OVER (PARTITION BY lower(street), number, lower(coalesce(postal_city, '')) ORDER BY id) AS rn FROM addr WHERE {IN_BOX} AND number IS NOT NULL AND street IS NOT NULL) WHERE rn = 1")
@@ -80,14 +86,14 @@ def bucket_address(spark, d):
     return ops.at_address(pois(spark, d), anchors(spark, d))
 
 
-@query("join_same_brand", f"{POI}, {PLACES}, {ANCHOR} SELECT anchor_id, pl.id AS poi_id, 'same-brand' AS relation, {HAV} AS distance_m FROM pl JOIN an ON pl.brand_wikidata = an.brand_wikidata")
+@query("join_same_brand", f"{POI}, {PLACES}, {FIRST} SELECT anchor_id, pl.id AS poi_id, 'same-brand' AS relation, {HAV} AS distance_m FROM pl JOIN an ON pl.brand_wikidata = an.brand_wikidata")
 def same_brand(spark, d):
-    return ops.same_brand(pois(spark, d), anchors(spark, d))
+    return ops.same_brand(pois(spark, d), first_of_brands(spark, d))
 
 
-@query("set_related_places", f"{POI}, {PLACES}, {ANCHOR} SELECT anchor_id, bk.id AS poi_id, 'same-address' AS relation, {HAV} AS distance_m FROM bk JOIN an ON bk.bucket = an.bucket UNION ALL SELECT anchor_id, pl.id, 'same-brand', {HAV} FROM pl JOIN an ON pl.brand_wikidata = an.brand_wikidata")
+@query("set_related_places", f"{POI}, {PLACES}, {FIRST} SELECT anchor_id, bk.id AS poi_id, 'same-address' AS relation, {HAV} AS distance_m FROM bk JOIN an ON bk.bucket = an.bucket UNION ALL SELECT anchor_id, pl.id, 'same-brand', {HAV} FROM pl JOIN an ON pl.brand_wikidata = an.brand_wikidata")
 def related(spark, d):
-    return ops.related(pois(spark, d), anchors(spark, d))
+    return ops.related(pois(spark, d), first_of_brands(spark, d))
 
 
 @query("filter_bbox_rows", f"{ADDR} SELECT id, lon, lat FROM addr WHERE {IN_BOX}")

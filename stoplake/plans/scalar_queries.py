@@ -102,10 +102,10 @@ def percent_encode(spark, d):
     return bridge.table(spark, d, "pages").select("page_id", text.percent_encode(F.col("url")).alias("encoded"), text.commons_file_page(F.concat(F.lit("File:"), F.col("url"))).alias("page"))
 
 
-@query("scalar_guards", "SELECT doc_id, regexp_full_match(substr(source, 1, 9), 'S[0-9]+') AS station, regexp_full_match(source || '-' || lang, '[A-Za-z0-9_-]{1,128}') AS request_id, regexp_full_match(CAST(doc_id AS VARCHAR) || '-255.pbf', '[0-9]+-[0-9]+\\.pbf') AS glyphs FROM documents")
+@query("scalar_guards", "SELECT doc_id, regexp_full_match(source, 'S[0-9]+') AS station, regexp_full_match(source || '-' || lang, '[A-Za-z0-9_-]{1,128}') AS request_id, regexp_full_match(CAST(doc_id AS VARCHAR) || '-255.pbf', '[0-9]+-[0-9]+\\.pbf') AS glyphs FROM documents")
 def guards(spark, d):
     x = bridge.table(spark, d, "documents")
-    return x.select("doc_id", keys.is_station_id(F.substring("source", 1, 9)).alias("station"), keys.valid_request_id(F.concat_ws("-", "source", "lang")).alias("request_id"), keys.valid_glyph_range(F.concat(F.col("doc_id").cast("string"), F.lit("-255.pbf"))).alias("glyphs"))
+    return x.select("doc_id", keys.is_station_id(F.col("source")).alias("station"), keys.valid_request_id(F.concat_ws("-", "source", "lang")).alias("request_id"), keys.valid_glyph_range(F.concat(F.col("doc_id").cast("string"), F.lit("-255.pbf"))).alias("glyphs"))
 
 
 @query("scalar_trace_id", "SELECT user_id AS u, CASE WHEN user_id % 3 = 0 THEN NULL ELSE md5(CAST(user_id AS VARCHAR)) END AS trace FROM (SELECT DISTINCT user_id FROM events)")
