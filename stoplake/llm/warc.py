@@ -6,24 +6,27 @@ pages is one row for each task. Digests that occur once never meet the join. The
 pages by digest, where Spark splits an overlong partition; a revisit keeps the headers alone.
 
 A record is one line of Spark's text writer whose line end is the blank lines that end a WARC record, so
-archives are written by the JVM through any Hadoop file system, compressed with gzip. They are read by
-content length.
+archives are written by the JVM through any Hadoop file system, compressed with gzip. They are read record by
+record, by content length, and payloads are held against their digests.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoplake.llm.common import prepare, scratch
+from stoplake.llm.common import BATCH_BYTES, prepare, scratch
 
 #: Shorter payloads are always stored.
 LEAST_BYTES = 1000
-#: Records of an archive at most; with the partition size it bounds what a reader holds.
+#: Records of an archive at most: a reader holds an archive's compressed bytes and one record.
 FILE_RECORDS = 4000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,21 +72,33 @@ def write(decided: DataFrame, path: str) -> None:
     decided.select(record.alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and the block of each record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:end].decode().split("\r\n")
-        if first != "WARC/1.1":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines)
+def records(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers and the block of each record of an open archive, of which one record at a time is held."""
+    while first := archive.readline():
+        if first != b"WARC/1.1\r\n":
+            raise ValueError(f"no WARC record before byte {archive.tell()}")
+        head = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("an archive ends within a header")
+            name, _, value = line[:-2].decode().partition(": ")
+            head[name] = value
         size = int(head["Content-Length"])
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if raw[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at} does not end there")
-        at += 4
+        block = archive.read(size)
+        if len(block) != size or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record before byte {archive.tell()} does not end there")
+        yield head, block
+
+
+def row_of(head: dict[str, str], block: bytes, payload: bool) -> list:
+    """A row of FIELDS; a response whose payload is not what its headers say raises ValueError."""
+    http, _, body = block.partition(b"\r\n\r\n")
+    size, digest, again = int(http.rsplit(b"Content-Length: ", 1)[1]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
+    if not again and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
+        raise ValueError(f"the payload of {head['WARC-Record-ID']} is not what its headers say")
+    ids = [None if x in (None, "none") else int(x) for x in (_page(head.get(k)) for k in ("WARC-Record-ID", "WARC-Refers-To"))]
+    row = [ids[0], head["WARC-Target-URI"], size, digest, head["WARC-Type"], ids[1]]
+    return [*row, None if again else body.decode()] if payload else row
 
 
 FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -92,26 +107,23 @@ FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, r
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row for each record of the archives under path; with payload, also html (null for revisits).
 
-    payload_bytes of a revisit is what its stored HTTP headers say of the payload that it stands for.
+    payload_bytes of a revisit is what its stored HTTP headers say of the payload that it stands for. Records are read
+    one by one, and the payload of each response is held against its length and digest; what does not fit is an error.
     """
     prepare(spark)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content"):
-                rows = []
-                for head, block in records(gzip.decompress(raw.as_buffer())):
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    size = int(http.rsplit(b"Content-Length: ", 1)[1])
-                    again = head["WARC-Type"] == "revisit"
-                    if not again and len(body) != size:
-                        raise ValueError("a response's payload is not as long as its headers say")
-                    ids = [None if x in (None, "none") else int(x) for x in (_page(head.get(k)) for k in ("WARC-Record-ID", "WARC-Refers-To"))]
-                    row = [ids[0], head["WARC-Target-URI"], size, head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], ids[1]]
-                    rows.append([*row, None if again else body.decode()] if payload else row)
-                    if len(rows) == 256:
-                        yield _batch(rows, payload)
-                        rows = []
+                rows, held = [], 0
+                # decompressed as it is read
+                with io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(raw.as_buffer())), 1 << 16) as archive:
+                    for head, block in records(archive):
+                        rows.append(row_of(head, block, payload))
+                        held += len(block) if payload else 0
+                        if len(rows) == 256 or held > BATCH_BYTES:
+                            yield _batch(rows, payload)
+                            rows, held = [], 0
                 yield _batch(rows, payload)
 
     files = spark.read.format("binaryFile").load(path).select("content")

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import math
 import random
 import re
@@ -571,3 +572,19 @@ def test_warc_matches_sql_and_restores_pages(spark, tmp_path):
     restored = warc.resolved(warc.read(spark, path, payload=True)).collect()
     assert sorted(((r.page_id, r.html) for r in restored), key=repr) == sorted(((i, h or "") for i, _, h in rows), key=repr)
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
+
+
+def test_warc_payloads_are_held_against_their_digests():
+    digest = hashlib.sha1(b"body").hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n"
+    head = lambda n, kind="response": f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x-page:7>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {n}\r\n\r\n".encode()
+    good, end = http + b"body", b"\r\n\r\n"
+    archive = head(len(good)) + good + end + head(len(http), "revisit") + http + end
+    got = [warc.row_of(h, b, True) for h, b in warc.records(io.BytesIO(archive))]
+    assert [(r[0], r[2], r[4], r[6]) for r in got] == [(7, 4, "response", "body"), (7, 4, "revisit", None)]
+    ((h, b),) = warc.records(io.BytesIO(head(len(good)) + http + b"bodY" + end))
+    with pytest.raises(ValueError, match="not what its headers say"):
+        warc.row_of(h, b, False)
+    for broken in (archive[:-2], archive[:40], archive[:-6], b"x" + archive):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(broken)))
