@@ -46,10 +46,10 @@ def with_index(legs: DataFrame, index: DataFrame, columns: list[str]) -> DataFra
     return legs.join(right, on, "left").drop("_route", "_direction", "_stop")
 
 
-def segments(legs: DataFrame) -> DataFrame:
-    """Walks, outdoor waits before a leg, and rides, with where and when they are sampled.
+def with_segments(legs: DataFrame) -> DataFrame:
+    """Keyed legs with their segments: outdoor waits before them, walks and rides, with where and when they are sampled.
 
-    wait_s and so on do not depend on coordinates; key is null where they are unusable.
+    precip_s and temp_s do not depend on coordinates; key is null where they are unusable.
     """
     before = F.lag("end_ms").over(Window.partitionBy(*ITINERARY).orderBy("leg_idx"))
     g = keyed(legs).withColumn("prev_end", before)
@@ -59,11 +59,18 @@ def segments(legs: DataFrame) -> DataFrame:
     wait = F.when(wx.finite(gap) & (gap > 0), gap).otherwise(zero)
     walk = F.when(F.col("mode") == "WALK", length).otherwise(zero)
     ride = F.when((F.coalesce(F.col("mode"), F.lit("")) != "WALK") & F.col("is_transit"), length * temperature_coefficient(F.col("mode"))).otherwise(zero)
-    part = lambda at, precip, temp: F.struct(at.alias("at_ms"), precip.alias("precip_s"), temp.alias("temp_s"))
+
+    def part(at: Column, precip: Column, temp: Column) -> Column:
+        return F.struct(at.alias("at_ms"), precip.alias("precip_s"), temp.alias("temp_s"), wx.sample_key(F.col("lat"), F.col("lon"), at).alias("key"))
+
     parts = F.array(part(F.col("prev_end"), wait, wait), part(F.col("start_ms"), walk, walk), part(F.col("start_ms"), zero, ride))
-    rows = g.select(*ITINERARY, "leg_idx", "lat", "lon", F.explode(parts).alias("p")).filter("p.temp_s > 0")
-    key = wx.sample_key(F.col("lat"), F.col("lon"), F.col("p.at_ms"))
-    return rows.select(*ITINERARY, "leg_idx", "p.at_ms", "p.precip_s", "p.temp_s", key.alias("key"))
+    return g.withColumn("segments", F.filter(parts, lambda p: p["temp_s"] > 0))
+
+
+def segments(legs: DataFrame) -> DataFrame:
+    """A row for each of with_segments()' segments."""
+    rows = with_segments(legs).select(*ITINERARY, "leg_idx", F.explode("segments").alias("p"))
+    return rows.select(*ITINERARY, "leg_idx", "p.at_ms", "p.precip_s", "p.temp_s", "p.key")
 
 
 def exposure(legs: DataFrame) -> DataFrame:
@@ -136,6 +143,31 @@ def factors(legs: DataFrame, index: DataFrame, weather: DataFrame | None = None)
     return out.join(weather, ITINERARY, "left").withColumn("weather_penalty", F.coalesce("weather_penalty", F.lit(0.0)))
 
 
+def factors_in_weather(legs: DataFrame, index: DataFrame, forecast: DataFrame) -> DataFrame:
+    """factors() with penalties(), from one shuffle of the legs by itinerary: segments stay with their leg until it is added up.
+
+    Segments without a cell match no forecast and are dealt out by itinerary.
+    """
+    g = with_index(with_segments(legs), index, ["on_time_rate"])
+    rows = g.select(*ITINERARY, "mode", "is_transit", "duration_s", "distance_m", "on_time_rate", F.posexplode_outer("segments").alias("k", "p"))
+    f = badness_columns(forecast).select(*[F.col(c).alias(f"_{c}") for c in CELL], "rain", "temp")
+    nowhere = -F.lit(10**9) - F.pmod(F.xxhash64(*ITINERARY), F.lit(10**9))
+    key = lambda c: F.col(f"p.key.{c}")
+    on = (F.coalesce(key("q_lat"), nowhere) == F.col("_q_lat")) & (key("q_lon") == F.col("_q_lon")) & (key("utc_hour") == F.col("_utc_hour")) & key("utc_date").eqNullSafe(F.col("_utc_date"))
+    x = rows.join(f, on, "left")
+    leg = F.coalesce("k", F.lit(0)) == 0  # each leg counts with its first segment
+    km = F.col("distance_m") / F.lit(1000.0)
+    walk = leg & (F.col("mode") == "WALK") & ~F.col("is_transit")
+    rate = F.when(leg, F.col("on_time_rate"))
+    return x.groupBy(*ITINERARY).agg(
+        F.coalesce(exact_sum(rate, 15) / F.nullif(F.count(rate), F.lit(0)), F.lit(NEUTRAL)).alias("reliability"),
+        F.count_if(leg & F.col("is_transit")).cast("double").alias("transfers"),
+        F.sum(F.when(walk, F.coalesce("duration_s", F.lit(0.0))).otherwise(F.lit(0.0))).alias("walk_s"),
+        F.sum(F.when(leg & (F.col("distance_m") > 0), co2_per_km(F.coalesce("mode", F.lit(""))) * km).otherwise(F.lit(0.0))).alias("co2_g"),
+        F.coalesce(exact_sum(penalty(F.col("p.precip_s"), F.col("p.temp_s"), F.col("rain"), F.col("temp"))), F.lit(0.0)).alias("weather_penalty"),
+    )
+
+
 def benefit(value: str, higher_is_better: bool) -> Column:
     """Min-max within the plan; 0.5 where all are equal, and for the value itself if it is not finite."""
     plan = Window.partitionBy(*PLAN)

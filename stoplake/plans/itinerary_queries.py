@@ -86,7 +86,7 @@ def thousandths(df):
 
 @query("agg_itinerary_factors", f"{ALL} SELECT * FROM stable")
 def factors(spark, d):
-    return thousandths(steady(ops.factors(legs(spark, d), rel.on_time_index(tier2(spark, d)), ops.penalties(legs(spark, d), bridge.forecast(spark, d)))))
+    return thousandths(steady(ops.factors_in_weather(legs(spark, d), rel.on_time_index(tier2(spark, d)), bridge.forecast(spark, d))))
 
 
 BENEFIT = lambda c, up: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN {'' if up else '1 - '}({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0.5 END"

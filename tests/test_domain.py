@@ -142,6 +142,17 @@ def test_exposure_and_annotation(spark):
     assert (row.plan_id, row.seconds, row.p50_seconds, row.sample_count, row.source) == ("not", 180.0, 45.0, 12, "historical")
 
 
+def test_factors_in_one_pass(spark, sf_dir):
+    """The same figures as factors and penalties apart, leg by leg and segment by segment."""
+    from stoplake.plans import bridge, reliability_queries
+
+    legs, index, forecast = bridge.legs(spark, sf_dir), reliability_queries.on_time_index(spark, sf_dir), bridge.forecast(spark, sf_dir)
+    rounded_ = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    one, two = itineraries.factors_in_weather(legs, index, forecast), itineraries.factors(legs, index, itineraries.penalties(legs, forecast))
+    got = rounded_(one)
+    assert got == rounded_(two.select(*one.columns)) and any(r[-1] > 0 for r in got)
+
+
 def test_forecast_documents(spark):
     h = {"time": ["2026-06-29T08:00", "2026-06-29T09:00"], "temperature_2m": [6.0], "apparent_temperature": [4.0], "precipitation": [9.0], "uv_index": [], "wind_speed_10m": []}
     bodies = spark.createDataFrame([([4190], [1250], json.dumps({"hourly": h})), ([1, 2], [3, 4], json.dumps([{"hourly": h}, {"hourly": h}])), ([1], [2], "nonsense")], "q_lats array<long>, q_lons array<long>, body string")
