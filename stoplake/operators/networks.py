@@ -21,7 +21,7 @@ DRAWN = ("tram", "light_rail", "rail", "regional_rail")
 
 
 def rules(spark: SparkSession, *more: tuple) -> DataFrame:
-    """The known networks, a row for each; more: rows of RULES, of which one with a known owner takes its place."""
+    """The known networks, a row for each (L03, L14); more: rows of RULES, of which one with a known owner takes its place."""
     rows = {r[0]: r for r in (ROME, *more)}
     return spark.createDataFrame(list(rows.values()), RULES)
 

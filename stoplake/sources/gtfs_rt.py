@@ -80,7 +80,7 @@ def flatten(raw: bytes) -> list[tuple]:
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """Rows of feeds in a binaryFile DataFrame, batch or stream; a feed that cannot be read gives none: see unreadable()."""
+    """Rows of feeds (A01) in a binaryFile DataFrame, batch or stream; a feed that cannot be read gives none: see unreadable()."""
     ship_package(files.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
