@@ -42,11 +42,18 @@ def elements(spark, d):
     return nodes.unionByName(ways).unionByName(relations)
 
 
-def read_back(spark, d):
+def read_back(spark, d, kinds=osm_pbf.KINDS):
     """The elements, written as extract files and read in ranges of 64 KiB."""
     folder = fresh_folder(spark, "extract")
     osm_pbf.write(elements(spark, d), folder)
-    return osm_pbf.read(spark, folder, range_bytes=64 << 10)
+    return osm_pbf.read(spark, folder, kinds, range_bytes=64 << 10)
+
+
+def decoded(spark, d, kinds=osm_pbf.KINDS):
+    """read_back() as a table, decoded once for queries that scan it several times."""
+    folder = fresh_folder(spark, "decoded")
+    read_back(spark, d, kinds).write.partitionBy("kind").parquet(folder)
+    return spark.read.schema(osm_pbf.SCHEMA).parquet(folder)
 
 
 @query(
@@ -63,12 +70,12 @@ def all_elements(spark, d):
 
 @query("scan_subway_entrances", f"{SQL} SELECT id AS node_id, coalesce(name, 'Uscita ' || ref, 'Uscita') AS name, lon, lat FROM nd WHERE railway = 'subway_entrance'")
 def entrances(spark, d):
-    return ops.entrances(read_back(spark, d))
+    return ops.entrances(read_back(spark, d, ("node",)))
 
 
 @query("scan_subway_tracks", f"{SQL} SELECT id AS way_id, array_to_string(refs, ' ') AS refs FROM wy WHERE railway = 'subway'")
 def tracks(spark, d):
-    return ops.track_ways(read_back(spark, d)).select("way_id", F.array_join("refs", " ").alias("refs"))
+    return ops.track_ways(read_back(spark, d, ("way",))).select("way_id", F.array_join("refs", " ").alias("refs"))
 
 
 @query(
@@ -77,7 +84,7 @@ def tracks(spark, d):
 WHERE m.kind = 'node' AND starts_with(m.role, 'stop') AND rl.route = 'subway' AND rl.ref IN ('A', 'B', 'C')""",
 )
 def metro_stops(spark, d):
-    e = read_back(spark, d)
+    e = decoded(spark, d, ("node", "relation"))
     stops = ops.metro_stops(e)
     return stops.join(ops.stop_nodes(e, stops), "node_id").select("rel_id", "line", "seq", "node_id", "name", "lon", "lat")
 
@@ -89,6 +96,6 @@ SELECT branch, (place * 1000000 + m.seq)::INT AS seq, m.ref AS way_id, len(refs)
 FROM kept JOIN mb USING (id) JOIN wy ON m.ref = wy.id WHERE m.kind = 'way' AND m.role <> 'platform'""",
 )
 def rail_members(spark, d):
-    e = read_back(spark, d)
+    e = decoded(spark, d)
     branches = ops.route_relations(e).filter(F.col("ref").startswith("FL")).select("rel_id", F.col("ref").alias("branch"))
     return ops.rail_members(e, branches).select("branch", "seq", "way_id", F.size("lons").cast("long").alias("n_points"), F.get("lons", F.lit(0)).alias("first_lon"))
