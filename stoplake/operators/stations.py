@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from stoplake.functions.geo import from_metres, to_metres
 from stoplake.functions.modes import metro_colour, relabel_branch
@@ -22,6 +23,8 @@ EXIT_M = 400.0
 #: Grid cells of the first search for a track, and how far a track may be from a stop at all, in metres.
 NEAR_M, REACH_M = 500.0, 20_000.0
 POINTS = "array<struct<x: double, y: double>>"
+#: Rings of a batch, at most.
+RINGS = 4096
 
 
 def polylines(tracks: DataFrame) -> DataFrame:
@@ -42,18 +45,25 @@ def platforms(stops: DataFrame, tracks: DataFrame, reach_m: float = REACH_M) ->
     points = stops.select(F.col("stop").alias("point_id"), "x", "y")
     near = nearest(points, vertices, NEAR_M)
     far = nearest(points.join(near, "point_id", "left_anti"), vertices, reach_m)
-    chosen = near.unionByName(far).select(F.col("point_id").alias("stop"), "name.track", "name.at").join(lines, "track").select("stop", "line", "at")
+    chosen = near.unionByName(far).select(F.col("point_id").alias("stop"), "name.track", "name.at")
+    # a track goes to its stops' vertices, not to each stop
+    drawn = chosen.groupBy("track").agg(F.array_sort(F.collect_set("at")).alias("ats")).join(lines, "track").select("track", "ats", "line")
+    track_type = pa_type(drawn.schema["track"].dataType)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("track", track_type), ("at", pa.int32()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]
         for batch in batches:
-            rings = []
-            for line, at in zip(batch.column("line").to_pylist(), batch.column("at").to_pylist()):
-                ring = geometry.platform_ring(np.array([(p["x"], p["y"]) for p in line]), at)
-                rings.append(None if ring is None else [{"x": x, "y": y} for x, y in ring.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column("stop"), pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], names=["stop", "ring"])
+            for k in range(batch.num_rows):
+                track, ats, points = batch.column("track")[k].as_py(), batch.column("ats")[k].as_py(), batch.column("line")[k].values
+                line = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1)
+                for low in range(0, len(ats), RINGS):
+                    some = ats[low : low + RINGS]
+                    rings = [geometry.platform_ring(line, at) for at in some]
+                    rings = [None if ring is None else [{"x": x, "y": y} for x, y in ring.tolist()] for ring in rings]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(([track] * len(some), some, rings), kinds)], names=[n for n, _ in kinds])
 
-    found = chosen.mapInArrow(work, f"stop {chosen.schema['stop'].dataType.simpleString()}, ring {POINTS}")
-    return stops.join(found, "stop", "left")
+    rings = drawn.mapInArrow(work, f"track {drawn.schema['track'].dataType.simpleString()}, at int, ring {POINTS}")
+    return stops.join(chosen.join(rings, ["track", "at"]).select("stop", "ring"), "stop", "left")
 
 
 def concourses(parts: DataFrame) -> DataFrame:
@@ -73,7 +83,8 @@ def concourses(parts: DataFrame) -> DataFrame:
         ring = geometry.dissolve(geometry.smooth(hull, stops), [np.array(x[:-1]) for x in points["strip"]], stops)
         return pd.DataFrame({"station": [g.station.iloc[0]], "ring": [[{"x": x, "y": y} for x, y in [*ring.tolist(), ring[0].tolist()]]]})
 
-    return parts.groupBy("station").applyInPandas(one, f"station string, ring {POINTS}")
+    # hulls and unions are of sets: what lies at one place counts once
+    return parts.select("station", "kind", "points").distinct().groupBy("station").applyInPandas(one, f"station string, ring {POINTS}")
 
 
 def _coordinates(points: Column) -> Column:

@@ -686,6 +686,26 @@ def test_platforms_of_stops(spark):
     assert got == {"a": (40, 1.2), "b": (40, 41.2), "mid": (40, 1.2), "f": (9000, 9001.2), "none": None}
 
 
+def test_many_stops_beside_a_long_track(spark):
+    """A track's vertices do not travel to each of its stops: 40 million of them would take minutes."""
+    line = np.array([(30.0 * k, 3.0 * (k % 2)) for k in range(20_000)])
+    tracks = spark.range(len(line)).select(F.lit(7).alias("track"), F.col("id").alias("pos"), (F.col("id") * 30.0).alias("x"), (F.col("id") % 2 * 3.0).alias("y"))
+    stops = spark.range(2000).select(F.col("id").alias("stop"), (F.col("id") * 300.0 + 1).alias("x"), F.lit(1.0).alias("y"))
+    began = time.time()
+    found = {r.stop: [tuple(p) for p in r.ring] for r in stations.platforms(stops, tracks).collect()}
+    assert time.time() - began < 30
+    assert len(found) == 2000 and all(found[k] == [tuple(p) for p in geometry.platform_ring(line, 10 * k).tolist()] for k in (0, 1, 777, 1999))
+
+
+def test_many_points_and_centres_at_a_place(spark):
+    """Places meet, not all points with all centres: 2.5 billion pairs here."""
+    points = spark.range(50_000).select(F.col("id").alias("point_id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    centres = spark.range(50_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"), F.lit(4.0).alias("x"), F.lit(6.0).alias("y"))
+    began = time.time()
+    assert places.nearest(points, centres, 5.0).groupBy("name", "distance_m").count().collect() == [("c00000", 5.0, 50_000)]
+    assert time.time() - began < 30
+
+
 def test_hulls_are_dug_in():
     shape = [(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20), (5, 5)]
     assert geometry.concave_hull(shape, 60).tolist() == [[0, 0], [20, 0], [20, 10], [10, 20], [0, 20]]
