@@ -88,7 +88,8 @@ def local_hour(epoch_s: Column, zone: str = "Europe/Rome") -> Column:
 
 
 def utc_date_text(epoch_s: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch_s), "yyyy-MM-dd")
+    """ISO date of an instant; years of more than four digits have no plus sign."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(epoch_s), "yyyy-MM-dd"), F.lit("+"))
 
 
 def day_offset(start: Column, later: Column) -> Column:

@@ -66,6 +66,11 @@ def test_merge_equals_fold_of_all(spark):
     assert merged.collect() == fold(one_half + other).select(*merged.columns).collect()
 
 
+def test_years_of_five_digits(spark):
+    texts = [one(spark, calendar.utc_date_text(F.lit(s))) for s in (0, 253_402_300_799, 253_402_300_800, 9_000_000 * 86_399)]
+    assert texts == ["1970-01-01", "9999-12-31", "10000-01-01", "26610-11-17"]
+
+
 @pytest.mark.parametrize(
     "ymd, kind",
     [("20260629", "weekday"), ("20260627", "saturday"), ("20260628", "sunday-holiday"), ("20261225", "sunday-holiday"), ("20260815", "sunday-holiday"), ("20260602", "sunday-holiday"), ("20260406", "sunday-holiday"), ("20240401", "sunday-holiday"), ("20260407", "weekday"), ("notadate", None), ("20261301", None), ("20260231", None), ("20260229", None), ("20240229", "weekday")],
