@@ -13,6 +13,7 @@ from stoplake.functions import weather as wx
 from stoplake.functions.geo import exact_sum, rounded
 from stoplake.functions.keys import local_id
 from stoplake.functions.modes import PROFILES, co2_per_km, is_transit_leg, temperature_coefficient
+from stoplake.sources.storage import fresh_folder
 
 PLAN, ITINERARY = ["plan_id"], ["plan_id", "itin_idx"]
 NEUTRAL = 0.5
@@ -122,8 +123,13 @@ def fetch_cells(points: DataFrame) -> DataFrame:
 
     points: pos, q_lat, q_lon, utc_date.
     """
-    cells = points.groupBy("q_lat", "q_lon").agg(F.min("pos").alias("first_pos"))
-    span = points.agg(F.min("utc_date").alias("first_date"), F.max("utc_date").alias("last_date"))
+    spark = points.sparkSession
+    folder = fresh_folder(spark, "cells")
+    # a table of places and days, which are few: both results come from it, so that the points are read once
+    points.groupBy("q_lat", "q_lon", "utc_date").agg(F.min("pos").alias("pos")).write.parquet(folder)
+    days = spark.read.schema(points.select("q_lat", "q_lon", "utc_date", "pos").schema).parquet(folder)
+    cells = days.groupBy("q_lat", "q_lon").agg(F.min("pos").alias("first_pos"))
+    span = days.agg(F.min("utc_date").alias("first_date"), F.max("utc_date").alias("last_date"))
     return cells.crossJoin(F.broadcast(span))  # span is one row
 
 
@@ -148,23 +154,28 @@ def factors_in_weather(legs: DataFrame, index: DataFrame, forecast: DataFrame) -
 
     Segments without a cell match no forecast and are dealt out by itinerary.
     """
-    g = with_index(with_segments(legs), index, ["on_time_rate"])
-    rows = g.select(*ITINERARY, "mode", "is_transit", "duration_s", "distance_m", "on_time_rate", F.posexplode_outer("segments").alias("k", "p"))
+    km = F.col("distance_m") / F.lit(1000.0)
+    walk = (F.col("mode") == "WALK") & ~F.col("is_transit")
+    part = F.transform("segments", lambda p: F.struct(p["precip_s"].alias("precip_s"), p["temp_s"].alias("temp_s"), *[p["key"][c].alias(c) for c in CELL]))
+    # what a leg adds is worked out before it travels: the columns that it comes from stay behind
+    adds = with_segments(legs).select(
+        *ITINERARY, "key_route", "key_direction", "key_stop", "is_transit",
+        F.when(walk, F.coalesce("duration_s", F.lit(0.0))).alias("walk_s"),
+        F.when(F.col("distance_m") > 0, co2_per_km(F.coalesce("mode", F.lit(""))) * km).alias("co2_g"), part.alias("segments"),
+    )
+    g = with_index(adds, index, ["on_time_rate"]).select(*ITINERARY, "is_transit", "walk_s", "co2_g", "on_time_rate", F.posexplode_outer("segments").alias("k", "p"))
+    first = F.coalesce("k", F.lit(0)) == 0  # each leg counts with its first segment
+    of_leg = {c: F.when(first & F.col(c), True) if c == "is_transit" else F.when(first, F.col(c)) for c in ("is_transit", "walk_s", "co2_g", "on_time_rate")}
+    rows = g.select(*ITINERARY, *[x.alias(c) for c, x in of_leg.items()], "p.*")
     f = badness_columns(forecast).select(*[F.col(c).alias(f"_{c}") for c in CELL], "rain", "temp")
     nowhere = -F.lit(10**9) - F.pmod(F.xxhash64(*ITINERARY), F.lit(10**9))
-    key = lambda c: F.col(f"p.key.{c}")
-    on = (F.coalesce(key("q_lat"), nowhere) == F.col("_q_lat")) & (key("q_lon") == F.col("_q_lon")) & (key("utc_hour") == F.col("_utc_hour")) & key("utc_date").eqNullSafe(F.col("_utc_date"))
-    x = rows.join(f, on, "left")
-    leg = F.coalesce("k", F.lit(0)) == 0  # each leg counts with its first segment
-    km = F.col("distance_m") / F.lit(1000.0)
-    walk = leg & (F.col("mode") == "WALK") & ~F.col("is_transit")
-    rate = F.when(leg, F.col("on_time_rate"))
-    return x.groupBy(*ITINERARY).agg(
-        F.coalesce(exact_sum(rate, 15) / F.nullif(F.count(rate), F.lit(0)), F.lit(NEUTRAL)).alias("reliability"),
-        F.count_if(leg & F.col("is_transit")).cast("double").alias("transfers"),
-        F.sum(F.when(walk, F.coalesce("duration_s", F.lit(0.0))).otherwise(F.lit(0.0))).alias("walk_s"),
-        F.sum(F.when(leg & (F.col("distance_m") > 0), co2_per_km(F.coalesce("mode", F.lit(""))) * km).otherwise(F.lit(0.0))).alias("co2_g"),
-        F.coalesce(exact_sum(penalty(F.col("p.precip_s"), F.col("p.temp_s"), F.col("rain"), F.col("temp"))), F.lit(0.0)).alias("weather_penalty"),
+    on = (F.coalesce("q_lat", nowhere) == F.col("_q_lat")) & (F.col("q_lon") == F.col("_q_lon")) & (F.col("utc_hour") == F.col("_utc_hour")) & F.col("utc_date").eqNullSafe(F.col("_utc_date"))
+    return rows.join(f, on, "left").groupBy(*ITINERARY).agg(
+        F.coalesce(exact_sum(F.col("on_time_rate"), 15) / F.nullif(F.count("on_time_rate"), F.lit(0)), F.lit(NEUTRAL)).alias("reliability"),
+        F.count("is_transit").cast("double").alias("transfers"),
+        F.coalesce(F.sum("walk_s"), F.lit(0.0)).alias("walk_s"),
+        F.coalesce(F.sum("co2_g"), F.lit(0.0)).alias("co2_g"),
+        F.coalesce(exact_sum(penalty(F.col("precip_s"), F.col("temp_s"), F.col("rain"), F.col("temp"))), F.lit(0.0)).alias("weather_penalty"),
     )
 
 

@@ -160,6 +160,18 @@ def test_factors_in_one_pass(spark, sf_dir):
     assert got == rounded_(two.select(*one.columns)) and any(r[-1] > 0 for r in got)
 
 
+def test_legs_travel_with_what_they_add(spark, sf_dir):
+    """The shuffle to the forecast holds no column that a leg's share was worked out from."""
+    plan = registry.queries()["agg_itinerary_factors"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    generate = next(x for x in plan.splitlines() if "Generate posexplode" in x)
+    assert "co2_g" in generate and "distance_m" not in generate and "mode" not in generate
+
+
+def test_fetch_cells_read_their_points_once(spark, sf_dir):
+    plan = registry.queries()["agg_fetch_cells"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
 def test_forecast_documents(spark):
     h = {"time": ["2026-06-29T08:00", "2026-06-29T09:00"], "temperature_2m": [6.0], "apparent_temperature": [4.0], "precipitation": [9.0], "uv_index": [], "wind_speed_10m": []}
     bodies = spark.createDataFrame([([4190], [1250], json.dumps({"hourly": h})), ([1, 2], [3, 4], json.dumps([{"hourly": h}, {"hourly": h}])), ([1], [2], "nonsense")], "q_lats array<long>, q_lons array<long>, body string")
