@@ -62,10 +62,13 @@ def with_segments(legs: DataFrame) -> DataFrame:
     ride = F.when((F.coalesce(F.col("mode"), F.lit("")) != "WALK") & F.col("is_transit"), length * temperature_coefficient(F.col("mode"))).otherwise(zero)
 
     def part(at: Column, precip: Column, temp: Column) -> Column:
-        return F.struct(at.alias("at_ms"), precip.alias("precip_s"), temp.alias("temp_s"), wx.sample_key(F.col("lat"), F.col("lon"), at).alias("key"))
+        return F.struct(at.alias("at_ms"), precip.alias("precip_s"), temp.alias("temp_s"))
 
     parts = F.array(part(F.col("prev_end"), wait, wait), part(F.col("start_ms"), walk, walk), part(F.col("start_ms"), zero, ride))
-    return g.withColumn("segments", F.filter(parts, lambda p: p["temp_s"] > 0))
+    held = F.filter(parts, lambda p: p["temp_s"] > 0)
+    # keys, whose dates are texts, are made for the segments that there are
+    key = lambda p: wx.sample_key(F.col("lat"), F.col("lon"), p["at_ms"]).alias("key")
+    return g.withColumn("segments", F.transform(held, lambda p: F.struct(p["at_ms"].alias("at_ms"), p["precip_s"].alias("precip_s"), p["temp_s"].alias("temp_s"), key(p))))
 
 
 def segments(legs: DataFrame) -> DataFrame:

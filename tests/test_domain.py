@@ -20,7 +20,7 @@ from stoplake.operators import extract as extracts
 from stoplake.operators import feed as feeds
 from stoplake.operators import geometry, itineraries, lines, places, regions, reliability, stations
 from stoplake.operators.numbering import numbered
-from stoplake.plans import place_queries, registry
+from stoplake.plans import bridge, place_queries, registry
 from stoplake.sources import files, gtfs_rt, netex, osm_pbf, sinks, zipped
 from stoplake.streaming import ingest, polls
 
@@ -160,6 +160,11 @@ def test_factors_in_one_pass(spark, sf_dir):
     assert got == rounded_(two.select(*one.columns)) and any(r[-1] > 0 for r in got)
 
 
+def test_keys_are_made_for_segments_that_there_are(spark):
+    plan = itineraries.with_segments(bridge.legs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("date_format") == 1  # it was made for a wait, a walk and a ride of each leg
+
+
 def test_legs_travel_with_what_they_add(spark, sf_dir):
     """The shuffle to the forecast holds no column that a leg's share was worked out from."""
     plan = registry.queries()["agg_itinerary_factors"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
