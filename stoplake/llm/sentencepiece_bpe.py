@@ -4,13 +4,13 @@ A merge-type model is encoded exactly without running its merges over the text.
 Aho-Corasick automaton of the vocabulary gives the pieces that begin there, longest first. A piece is
 accepted if the pair it forms with the piece before is compatible: merging the characters of the two
 anew gives just these two. Where no piece fits, the last one is taken back, and its end is marked in a
-bit field, so that no position fails twice. A sequence of pairwise compatible pieces is what the merges
+bit field, so that no position fails twice; shorter pieces are looked up where they are needed. A sequence of pairwise compatible pieces is what the merges
 give, and there is one such sequence only.
 
 Where no piece holds two neighbouring characters, no merge joins them. So a text falls apart before each
 run of space marks that follows another character (the constructor checks that no piece has one inside),
 and between letters and the marks that no piece holds beside a letter. The parts repeat, so each worker
-keeps the encodings of the parts it met, in a table of bounded size.
+keeps the encodings of the parts it met, in tables of bounded size that forget what was not met for long.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,34 @@ from stoplake.llm.common import prepare, texts_of
 
 SPACE = "▁"
 UNCLEAR = "\uffff"
-#: Entries of a worker's word table and pair table; a full table is emptied.
+#: Entries of a worker's pair table, which is emptied when it is full, and of each half of its word table.
 TABLE_ENTRIES = 150_000
+WORD_ENTRIES = 250_000
 #: Longer parts (texts without spaces) are encoded anew each time, not kept.
 KEPT_CHARS = 40
 
 
+class Recent(dict):
+    """Values of keys, made where they are not known. At most so many are young; then these become the old ones, and a key that is met again becomes young."""
+
+    def __init__(self, make: Callable[[str], str], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+        self.old: dict[str, str] = {}
+
+    def __missing__(self, key: str) -> str:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > KEPT_CHARS:
+                return value
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 class MergeModel:
     """The pieces of a merge-type (BPE) model with byte fallback and identity normalisation."""
 
@@ -71,8 +93,11 @@ class MergeModel:
         self.order = {p: self.order[s] for p, s in self.scores.items()}
         self.halves: dict[str, tuple[str, str]] = {}
         self.automaton = ahocorasick.Automaton()
+        self.held = {p for p in self.ids if len(p) == 1 or self.merged(p, self.halves) == [p]}  # others never come out of the merges
+        self.longest = max(map(len, self.held))
+        self.decimal = {p: str(i) for p, i in self.ids.items()}
         for p in self.ids:
-            if len(p) == 1 or self.merged(p, self.halves) == [p]:  # others never come out of the merges
+            if p in self.held:
                 self.automaton.add_word(p, len(p))
         #: Pieces with a half that merges later than the whole: the border rule does not hold for them.
         self.irregular: set[str] = set()
@@ -81,8 +106,8 @@ class MergeModel:
                 self.irregular.add(p)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, str] = {}
-        self.runs: dict[str, str] = {}
+        self.words = Recent(self.split_ids, WORD_ENTRIES // 4)
+        self.runs = Recent(self.run_ids, WORD_ENTRIES)
         #: The text of each id; UNCLEAR, which no piece has, for ids whose text depends on others.
         self.shown = {str(i): self.pieces[i].replace(SPACE, " ") for i in self.ids.values()}
         self.shown |= {str(i): chr(b) if b < 128 else UNCLEAR for i, b in self.bytes_of.items()}
@@ -159,37 +184,29 @@ class MergeModel:
             at = last + 1
         if at == len(text):
             return fast
-        n = len(text)
-        begins: list[list[int]] = [[] for _ in range(n)]
-        for last, length in self.automaton.iter(text):
-            begins[last - length + 1].append(length)  # ends ascend, so lengths do
+        # on from there: what fitted so far is what comes first, as each was the longest
+        n, held, out = len(text), self.held, fast
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, pick = 0, -1  # pick: index into the lengths that begin here, from the longest
-        picks: list[int] = []
+        size = min(self.longest, n - at)  # of the next piece to try
         while at < n:
-            lengths = begins[at]
-            if not lengths:  # unknown: a boundary for the merges as well
-                out.append(text[at])
-                picks.append(0)
-                at, pick = at + 1, -1
-                continue
-            if pick == -1:
-                pick = len(lengths) - 1
-            while pick >= 0:
-                to = at + lengths[pick]
+            while size > 0:
+                to = at + size
                 if not failed[to >> 3] >> (to & 7) & 1:
                     piece = text[at:to]
-                    if not out or compatible(out[-1], piece):
+                    if piece in held and (not out or compatible(out[-1], piece)):
                         out.append(piece)
-                        picks.append(pick)
-                        at, pick = to, -1
+                        at, size = to, min(self.longest, n - to)
                         break
-                pick -= 1
+                size -= 1
             else:
+                if not any(text[at:to] in held for to in range(at + 1, min(at + self.longest, n) + 1)):  # unknown: a boundary for the merges as well
+                    out.append(text[at])
+                    at, size = at + 1, min(self.longest, n - at - 1)
+                    continue
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                pick = picks.pop()  # its end is marked now, so a shorter piece comes next
+                size = len(out.pop())
+                at -= size
+                size -= 1
         return out
 
     def piece_ids(self, pieces: list[str]) -> list[int]:
@@ -213,35 +230,22 @@ class MergeModel:
         """Ids in decimals, joined by a space for each part of the text."""
         words = text.split(" ") if text else []
         if "" in words or SPACE in text:  # runs of spaces can be one piece
-            return [self.word(w) for w in self.part.findall(SPACE + text.replace(" ", SPACE))]
-        kept = self.runs
+            return list(map(self.words.__getitem__, self.part.findall(SPACE + text.replace(" ", SPACE))))
+        return list(map(self.runs.__getitem__, words))
+
+    def split_ids(self, part: str) -> str:
+        pieces = self.split(part)
         try:
-            return [kept[w] for w in words]
+            return " ".join([self.decimal[p] for p in pieces])
         except KeyError:
-            return [kept.get(w) or self.spaced(w) for w in words]
-
-    def word(self, w: str) -> str:
-        """The ids of a part."""
-        found = self.words.get(w)
-        if found is None:
-            found = " ".join(map(str, self.piece_ids(self.split(w))))
-            self.keep(self.words, w, found, TABLE_ENTRIES // 2)
-        return found
+            return " ".join(map(str, self.piece_ids(pieces)))
 
-    def spaced(self, w: str) -> str:
+    def run_ids(self, run: str) -> str:
         """The ids of a space mark and the characters up to the next one."""
-        found = self.runs.get(w)
-        if found is None:
-            found = " ".join([self.word(x) for x in self.part.findall(SPACE + w)])
-            self.keep(self.runs, w, found, TABLE_ENTRIES)
-        return found
-
-    @staticmethod
-    def keep(table: dict, key: str, value: str, most: int) -> None:
-        if len(key) <= KEPT_CHARS:
-            if len(table) >= most:
-                table.clear()
-            table[key] = value
+        parts = self.part.findall(SPACE + run)
+        if len(parts) == 1:  # kept as a run, not twice
+            return self.split_ids(parts[0])
+        return " ".join(map(self.words.__getitem__, parts))
 
     def plain(self, ids: list[int]) -> str:
         """Pieces as text, without the rule for the first space; runs of bytes are read as UTF-8."""

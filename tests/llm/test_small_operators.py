@@ -506,6 +506,15 @@ def test_backtracking_is_the_merges(text):
     assert m.split(text) == m.merged(text)
 
 
+def test_a_full_word_table_keeps_the_words_that_return():
+    made = []
+    table = sentencepiece_bpe.Recent(lambda w: made.append(w) or w.upper(), 50)
+    for k in range(2000):
+        assert [table["often"], table[f"rare{k}"]] == ["OFTEN", f"RARE{k}"]
+    assert made.count("often") == 1 and len(table) <= 50 and len(table.old) <= 50
+    assert table["x" * 100] == "X" * 100 and "x" * 100 not in table
+
+
 # --- 9: decontamination -----------------------------------------------------------------------------------
 
 
