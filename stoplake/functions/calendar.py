@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def civil_date(ymd: Column) -> Column:
     return F.when(ymd.rlike("^[0-9]{8}$"), F.try_to_date(ymd, "yyyyMMdd"))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x worked out once for each row, however often use names it."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def easter_sunday(year: Column) -> Column:
     """Gregorian Easter by the anonymous computus in integer arithmetic."""
     div = lambda a, b: F.floor(a / b)
@@ -48,15 +55,19 @@ def easter_sunday(year: Column) -> Column:
 
 
 def is_holiday(date: Column) -> Column:
-    """Fixed holidays and Easter Monday."""
-    return F.date_format(date, "MM-dd").isin(*FIXED_HOLIDAYS) | (date == F.date_add(easter_sunday(F.year(date)), 1))
+    """Fixed holidays and Easter Monday (I04, I05), which is sought on the Mondays of March and April only."""
+    monday = (F.dayofweek(date) == 2) & F.month(date).between(3, 4)
+    return F.date_format(date, "MM-dd").isin(*FIXED_HOLIDAYS) | (monday & (date == F.date_add(once(F.year(date), easter_sunday), 1)))
 
 
 def day_type(ymd: Column) -> Column:
     """weekday, saturday or sunday-holiday; a holiday on any day is the last; null if not a date."""
-    date = civil_date(ymd)
-    weekday = F.dayofweek(date)
-    return F.when(date.isNull(), None).when(is_holiday(date) | (weekday == 1), "sunday-holiday").when(weekday == 7, "saturday").otherwise("weekday")
+
+    def of(date: Column) -> Column:
+        weekday = F.dayofweek(date)
+        return F.when(date.isNull(), None).when(is_holiday(date) | (weekday == 1), "sunday-holiday").when(weekday == 7, "saturday").otherwise("weekday")
+
+    return once(civil_date(ymd), of)
 
 
 def epoch_day(ymd: Column) -> Column:
