@@ -13,7 +13,7 @@ from stoplake.functions import weather as wx
 from stoplake.functions.geo import exact_sum, rounded
 from stoplake.functions.keys import local_id
 from stoplake.functions.modes import PROFILES, co2_per_km, is_transit_leg, temperature_coefficient
-from stoplake.sources.storage import fresh_folder
+from stoplake.sources.storage import fresh_folder, stored
 
 PLAN, ITINERARY = ["plan_id"], ["plan_id", "itin_idx"]
 NEUTRAL = 0.5
@@ -47,6 +47,15 @@ def with_index(legs: DataFrame, index: DataFrame, columns: list[str]) -> DataFra
     return legs.join(right, on, "left").drop("_route", "_direction", "_stop")
 
 
+def index_of_stops(index: DataFrame, stops: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of an index for the stops that legs name, stored: where they are few, the legs need not be shuffled to meet them.
+
+    stops: transit_leg, route_id, direction_id, stop_id of all legs, or of more.
+    """
+    keys = keyed(stops).filter("key_route IS NOT NULL").select(F.col("key_route").alias("route_id"), F.col("key_direction").alias("direction_id"), F.col("key_stop").alias("stop_id"))
+    return stored(index.join(keys.distinct(), ["route_id", "direction_id", "stop_id"], "left_semi").select("route_id", "direction_id", "stop_id", *columns), "index")
+
+
 def with_segments(legs: DataFrame) -> DataFrame:
     """Keyed legs with their segments: outdoor waits before them, walks and rides, with where and when they are sampled.
 
@@ -170,7 +179,7 @@ def factors_in_weather(legs: DataFrame, index: DataFrame, forecast: DataFrame) -
     first = F.coalesce("k", F.lit(0)) == 0  # each leg counts with its first segment
     of_leg = {c: F.when(first & F.col(c), True) if c == "is_transit" else F.when(first, F.col(c)) for c in ("is_transit", "walk_s", "co2_g", "on_time_rate")}
     rows = g.select(*ITINERARY, *[x.alias(c) for c, x in of_leg.items()], "p.*")
-    f = badness_columns(forecast).select(*[F.col(c).alias(f"_{c}") for c in CELL], "rain", "temp")
+    f = stored(badness_columns(forecast), "badness").select(*[F.col(c).alias(f"_{c}") for c in CELL], "rain", "temp")
     nowhere = -F.lit(10**9) - F.pmod(F.xxhash64(*ITINERARY), F.lit(10**9))
     on = (F.coalesce("q_lat", nowhere) == F.col("_q_lat")) & (F.col("q_lon") == F.col("_q_lon")) & (F.col("utc_hour") == F.col("_utc_hour")) & F.col("utc_date").eqNullSafe(F.col("_utc_date"))
     return rows.join(f, on, "left").groupBy(*ITINERARY).agg(

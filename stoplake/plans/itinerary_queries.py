@@ -46,6 +46,10 @@ def legs(spark, d):
     return bridge.legs(spark, d)
 
 
+def of_stops(spark, d, index, *columns):
+    return ops.index_of_stops(index, bridge.leg_stops(spark, d), list(columns))
+
+
 @query("filter_transit_legs", f"{LEGS}, {KEYED} SELECT plan_id, itin_idx, leg_idx, is_transit, coalesce(real_time, false) AS live, key_route, key_direction, key_stop FROM keyed")
 def transit_legs(spark, d):
     return ops.keyed(legs(spark, d)).select("plan_id", "itin_idx", "leg_idx", "is_transit", F.coalesce("real_time", F.lit(False)).alias("live"), "key_route", "key_direction", "key_stop")
@@ -53,7 +57,7 @@ def transit_legs(spark, d):
 
 @query("join_leg_on_time", f"WITH {bridge.SQL['legs']}, {KEYED}, {INDEX}, i AS (SELECT route_id AS r, direction_id AS d, stop_id AS s, {R('sum(on_time_count) / sum(n)')} AS on_time_rate FROM t2 GROUP BY ALL) SELECT plan_id, itin_idx, leg_idx, on_time_rate FROM keyed LEFT JOIN i ON r = key_route AND d = key_direction AND s = key_stop")
 def leg_on_time(spark, d):
-    return ops.with_index(ops.keyed(legs(spark, d)), on_time_index(spark, d), ["on_time_rate"]).select("plan_id", "itin_idx", "leg_idx", "on_time_rate")
+    return ops.with_index(ops.keyed(legs(spark, d)), of_stops(spark, d, on_time_index(spark, d), "on_time_rate"), ["on_time_rate"]).select("plan_id", "itin_idx", "leg_idx", "on_time_rate")
 
 
 @query("win_wait_segments", f"{LEGS}, {KEYED}, {SEGMENTS} SELECT plan_id, itin_idx, leg_idx, CAST(at_ms AS BIGINT) AS at_ms, {R('precip_s')} AS precip_s, {R('temp_s')} AS temp_s, CASE WHEN lat IS NOT NULL THEN q_lat END AS q_lat, CASE WHEN lat IS NOT NULL THEN q_lon END AS q_lon, CASE WHEN lat IS NOT NULL THEN utc_hour END AS utc_hour, CASE WHEN lat IS NOT NULL THEN utc_date END AS utc_date FROM cells")
@@ -86,7 +90,7 @@ def thousandths(df):
 
 @query("agg_itinerary_factors", f"{ALL} SELECT * FROM stable")
 def factors(spark, d):
-    return thousandths(steady(ops.factors_in_weather(legs(spark, d), rel.on_time_index(tier2(spark, d)), bridge.forecast(spark, d))))
+    return thousandths(steady(ops.factors_in_weather(legs(spark, d), of_stops(spark, d, rel.on_time_index(tier2(spark, d)), "on_time_rate"), bridge.forecast(spark, d))))
 
 
 BENEFIT = lambda c, up: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN {'' if up else '1 - '}({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0.5 END"
@@ -134,7 +138,7 @@ an AS (SELECT plan_id, itin_idx, leg_idx, {R('p85_s', 1)} AS seconds, {R('p50_s'
 
 @query("join_annotate_legs", f"{ANNOTATED} SELECT * FROM an")
 def annotate_legs(spark, d):
-    return ops.annotate_legs(legs(spark, d), typical_delay_index(spark, d))
+    return ops.annotate_legs(legs(spark, d), of_stops(spark, d, typical_delay_index(spark, d), "p50_s", "p85_s", "n"))
 
 
 @query("agg_annotation_summary", f"{ANNOTATED} SELECT plan_id, itin_idx, count(*) AS annotated_legs, max(seconds) AS worst_seconds FROM an GROUP BY ALL")

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -39,6 +39,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/stoplake/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a fresh folder, so that its size is known when a join with it is planned."""
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def in_pieces(f, start: int, end: int, size: int = 1 << 20) -> Iterator[bytes]:
     """The bytes of an open file from start to end, a piece at a time."""
     f.seek(start)

@@ -817,3 +817,21 @@ def test_nearest_ties(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 0.0)], "point_id long, x double, y double")
     c = spark.createDataFrame([("b", 10.0, 0.0), ("a", -10.0, 0.0)], "name string, x double, y double")
     assert [(r.point_id, r.name) for r in places.nearest(p, c, 400.0).collect()] == [(1, "a")]
+
+
+def test_legs_are_not_shuffled_to_a_large_index_of_which_they_need_little(spark, sf_dir):
+    from stoplake.plans import itinerary_queries
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        plan = itinerary_queries.factors(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "key_route" in x]
+
+
+def test_an_index_of_stops_holds_what_legs_name(spark):
+    index = spark.createDataFrame([("R", 0, "1", 0.5), ("R", 0, "2", 0.25), ("Q", 1, "1", 1.0)], "route_id string, direction_id int, stop_id string, on_time_rate double")
+    stops = spark.createDataFrame([(True, "F:R", None, "F:1"), (None, "R", 0, "1"), (False, "Q", 1, "1"), (None, None, 1, "1")], "transit_leg boolean, route_id string, direction_id int, stop_id string")
+    assert itineraries.index_of_stops(index, stops, ["on_time_rate"]).collect() == [("R", 0, "1", 0.5)]
