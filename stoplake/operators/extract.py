@@ -85,8 +85,8 @@ def rail_members(elements: DataFrame, branches: DataFrame) -> DataFrame:
     members = relation_ways(elements).filter(is_rail_role(F.coalesce("role", F.lit("")))).join(kept, "rel_id").select("branch", "rel_id", "seq", "way_id")
     refs = way_refs(elements).join(members.select("way_id").distinct(), "way_id", "left_semi").select("way_id", F.posexplode("refs").alias("k", "node_id"))
     points = refs.join(nodes(elements), "node_id").groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("k", "lon", "lat"))).alias("p"))
-    # relations of a branch follow one another by id, their ways in their own order
-    order = (F.dense_rank().over(_by_branch()) * 1_000_000 + F.col("seq")).cast("int")
+    # relations of a branch follow one another by id, their ways in their own order; from the 2148th on this is beyond an int
+    order = F.dense_rank().over(_by_branch()).cast("long") * 1_000_000 + F.col("seq")
     placed = members.withColumn("seq", order)
     return placed.join(points, "way_id").select("branch", "seq", "way_id", F.transform("p", lambda x: x["lon"]).alias("lons"), F.transform("p", lambda x: x["lat"]).alias("lats"))
 

@@ -683,6 +683,15 @@ def test_joins_of_an_extract_decode_it_once(spark, name):
     assert "map_extract" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_relations_of_a_branch_have_places(spark):
+    """The 2148th relation's place times a million is no int."""
+    rows = [("node", 1, 1.0, 2.0, {}, None, None), ("way", 7, None, None, {}, [1, 1], None)]
+    rows += [("relation", i, None, None, {"route": "train", "ref": "FL1"}, None, [("way", 7, "platform"), ("way", 7, "")]) for i in range(2500)]
+    e = spark.createDataFrame(rows, osm_pbf.SCHEMA)
+    found = extracts.rail_members(e, extracts.route_relations(e).select("rel_id", F.col("ref").alias("branch"))).collect()
+    assert sorted(r.seq for r in found) == [1_000_000 * k + 1 for k in range(1, 2501)]
+
+
 def test_rings(spark):
     square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
     assert geometry.area(square) == 10_000 and geometry.covers(square, (50, 50)) and geometry.covers(square, (0, 50)) and not geometry.covers(square, (101, 50))
